@@ -54,12 +54,14 @@ def fit(
     bins: int = 64,
     penalty: float = 1.0,
     least_weight: float = 3.0,
+    weight: np.ndarray | None = None,
 ) -> Trees:
     """Fit logistic loss. No rows, or one class alone, give a constant score:
     the smoothed share of label 1 (0.5 for no rows)."""
     y = np.asarray(y, dtype=np.float64)
+    w = np.ones(len(y)) if weight is None else np.asarray(weight, dtype=np.float64)
     positives = float(y.sum())
-    share = (positives + 0.5) / (len(y) + 1.0)
+    share = (float((w * y).sum()) + 0.5) / (float(w.sum()) + 1.0)
     bias = float(np.log(share / (1 - share)))
     inner, leaves = 2**depth - 1, 2**depth
     if len(y) == 0 or positives in (0.0, float(len(y))):
@@ -71,7 +73,7 @@ def fit(
     features, thresholds, values = [], [], []
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
+        g, h = w * (p - y), w * p * (1 - p)
         feature = np.zeros(inner, np.int64)
         threshold = np.full(inner, np.inf)
         cut = np.full(inner, width, np.int64)

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import exact_dedup, packing, quality, sharding, token_counts, url_filter
+from tagweave.llm import exact_dedup, packing, quality, sharding, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_sharding": sharding.op7_sharding,

@@ -38,7 +38,8 @@ RULES = (
 TRAIN_ROWS = 20_000
 #: Suffix statistics are kept for this many hashed suffixes at most.
 SUFFIX_SLOTS = 4096
-BLOCK_FROM = 0.5
+#: Both labels weigh the same in training, so 0.5 is no evidence; a block needs clear evidence.
+BLOCK_FROM = 0.8
 SEED = 7
 
 
@@ -107,18 +108,20 @@ def _features(frame: pd.DataFrame, stats: np.ndarray) -> np.ndarray:
 def train(labelled: pd.DataFrame) -> tuple[gbdt.Trees, np.ndarray]:
     """From url, host, path and block (0 or 1). A row's own label is taken out of
     the suffix statistics that it is trained with."""
-    prior = float(labelled["block"].mean()) if len(labelled) else 0.5
+    prior = 0.5
     hits, seen = np.zeros(SUFFIX_SLOTS), np.zeros(SUFFIX_SLOTS)
     slots = np.array([[_slot(s) for s in _suffixes(h, p)] for h, p in zip(labelled["host"], labelled["path"], strict=True)], np.int64).reshape(-1, 3)
     y = labelled["block"].to_numpy(np.float64)
+    weight = np.where(y == 1, 0.5 / max(1e-9, y.mean()), 0.5 / max(1e-9, 1 - y.mean())) if len(y) else y
     for k in range(3):
-        np.add.at(hits, slots[:, k], y)
-        np.add.at(seen, slots[:, k], 1.0)
+        np.add.at(hits, slots[:, k], weight * y)
+        np.add.at(seen, slots[:, k], weight)
     stats = (hits + 2 * prior) / (seen + 2)
     x = _features(labelled, stats)
     if len(labelled):
-        x[:, -3:] = (hits[slots] - y[:, None] + 2 * prior) / (seen[slots] + 1)
-    return gbdt.fit(x, y, rounds=60, depth=4), stats
+        own = weight[:, None]
+        x[:, -3:] = (hits[slots] - own * y[:, None] + 2 * prior) / (seen[slots] - own + 2)
+    return gbdt.fit(x, y, rounds=60, depth=4, weight=weight), stats
 
 
 def judge_urls(
