@@ -29,6 +29,8 @@ SHARDS = 40
 #: Bytes that a bucket should hold; the measured total sets the number of buckets.
 BUCKET_BYTES = 16 << 20
 SEED = 20_240_117
+#: Most rows of the table of bucket starts that is broadcast.
+BROADCAST_ROWS = 20_000
 
 _JUMP_MULTIPLIER = 2862933555777941757
 
@@ -89,23 +91,24 @@ def shards(
         F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "text"), F.lit(buckets)).cast("int").alias("bucket"),
     )
 
+    # shards x buckets rows; their number is the table's bytes over bucket_bytes. Where it is
+    # small the starts are broadcast; else they are joined on the keys that the shuffle of
+    # pass one deals by, so the records move once either way.
+    counts = dealt.groupBy("shard", "bucket").count()
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    started = dealt.join(F.broadcast(starts) if count * buckets <= BROADCAST_ROWS else starts, ["shard", "bucket"])
+
     def shuffle(batch: pa.Table) -> pa.Table:
         batch = batch.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
         where = (seed, batch["shard"][0].as_py(), batch["bucket"][0].as_py())
-        place = np.empty(batch.num_rows, np.int64)
-        order = fisher_yates(batch.num_rows, where)
-        place[order] = np.arange(batch.num_rows)
-        return batch.append_column("place", pa.array(place))
+        slot = np.empty(batch.num_rows, np.int64)
+        slot[fisher_yates(batch.num_rows, where)] = np.arange(batch.num_rows) + batch["start"][0].as_py()
+        batch = batch.append_column("slot", pa.array(slot))
+        return batch.select(["doc_id", "text", "size", "shard", "bucket", "slot", "grown_shard"])
 
-    shuffled = dealt.groupBy("shard", "bucket").applyInArrow(
-        shuffle, "doc_id long, text string, size long, shard int, grown_shard int, bucket int, place long"
-    )
-    # shards x buckets rows; their number is the table's bytes over bucket_bytes.
-    counts = dealt.groupBy("shard", "bucket").count()
-    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
-    return shuffled.join(starts, ["shard", "bucket"]).select(
-        "doc_id", "text", "size", "shard", "bucket", (F.col("start") + F.col("place")).alias("slot"), "grown_shard"
+    return started.groupBy("shard", "bucket").applyInArrow(
+        shuffle, "doc_id long, text string, size long, shard int, bucket int, slot long, grown_shard int"
     )
 
 
