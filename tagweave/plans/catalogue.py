@@ -1,6 +1,6 @@
 """All queries of the analytics engine, by name."""
 
-from tagweave.plans import basics, timeseries  # noqa: F401
+from tagweave.plans import basics, graphs, reports, timeseries  # noqa: F401
 from tagweave.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
