@@ -15,3 +15,8 @@ def durable(df: DataFrame) -> DataFrame:
         configured = session.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tagweave-"))
     return df.checkpoint(eager=True)
+
+
+def shared_folder(session) -> str:  # noqa: ANN001
+    """The cluster's shared folder; a local one only where none is configured."""
+    return session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagweave-")

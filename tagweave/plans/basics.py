@@ -274,9 +274,9 @@ def categories(spark, d):
     return table(spark, d, "documents").groupBy(scalars.categorize(F.col("text"), {"first": ("thea",), "second": ("ing", "ung")}).alias("category")).agg(F.count("*").alias("n"))
 
 
-@query("code_metrics", "SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(if|else|each|while|for|catch|and|or)\\b')) AS BIGINT) AS complexity FROM documents WHERE lang = 'en'")
+@query("code_metrics", "SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(if|else|each|while|for|catch|and|or)\\b')) AS BIGINT) AS complexity FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents)")
 def code_metrics(spark, d):
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", scalars.complexity(F.col("text")).cast("long").alias("complexity"))
+    return table(spark, d, "documents").select("doc_id", scalars.complexity(F.regexp_replace("text", r"[^\x00-\x7F]", "x")).cast("long").alias("complexity"))
 
 
 @query("content_hashes", "SELECT doc_id, sha256(text) AS hash FROM documents")
