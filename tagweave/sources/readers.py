@@ -31,10 +31,8 @@ def parse_records(text: str, form: str) -> list[dict[str, Any]]:
 
 def scan_files(spark: SparkSession, path: str, include: str | None = None) -> DataFrame:
     """(path, text) of every file below a folder whose name fits the glob."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-    if include:
-        reader = reader.option("pathGlobFilter", include)
-    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=include)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_records(spark: SparkSession, path: str, form: str, include: str | None = None) -> DataFrame:
