@@ -5,7 +5,8 @@
 A filter is parsed to a small tree; `Compiler` turns the tree into one Column, and each
 distinct reference hop into one left join, so pushdown and join choice are Catalyst's.
 A missing tag, a null and a not-available value are all SQL NULL; every predicate of
-a missing tag is false, `not tag` is true.
+a missing tag is null, which a filter takes as false, and `not tag` is true. Nothing
+wraps a comparison, so a scan can be given it.
 """
 
 from __future__ import annotations
@@ -389,8 +390,8 @@ class Compiler:
         kinds = _KINDS[type(value)]
         if isinstance(info.dataType, T.ArrayType):
             one = T.StructField("x", info.dataType.elementType, True, info.metadata)
-            return F.coalesce(F.exists(column, lambda x: self._against(x, one, node.op, value, kinds)), F.lit(False))
-        return F.coalesce(self._against(column, info, node.op, value, kinds), F.lit(False))
+            return F.exists(column, lambda x: self._against(x, one, node.op, value, kinds))
+        return self._against(column, info, node.op, value, kinds)
 
     def _against(self, column: Column, info: T.StructField, op: str, value: Any, kinds: tuple) -> Column:
         if not isinstance(info.dataType, kinds):

@@ -22,7 +22,7 @@ class GridError(LookupError):
 
 def _predicate(df: DataFrame, condition: str | Column, model: Model | None = None) -> tuple[DataFrame, Column]:
     if isinstance(condition, Column):
-        return df, F.coalesce(condition, F.lit(False))
+        return df, condition
     compiler = Compiler(df, model)
     from tagweave.functions.filters import parse
 
@@ -37,7 +37,8 @@ def filter_rows(df: DataFrame, condition: str | Column, model: Model | None = No
 
 def remove(df: DataFrame, condition: str | Column, model: Model | None = None) -> tuple[DataFrame, DataFrame]:
     """(what stays, what was removed)."""
-    wide, predicate = _predicate(df, condition, model)
+    wide, held = _predicate(df, condition, model)
+    predicate = F.coalesce(held, F.lit(False))
     return wide.where(~predicate).select(*df.columns), wide.where(predicate).select(*df.columns)
 
 
@@ -55,7 +56,8 @@ def read_one(df: DataFrame, condition: str | Column, order: Sequence[str], check
 
 def matches(df: DataFrame, condition: str | Column) -> DataFrame:
     """One row: any, all. No rows: both false."""
-    wide, predicate = _predicate(df, condition)
+    wide, held = _predicate(df, condition)
+    predicate = F.coalesce(held, F.lit(False))
     return wide.agg(
         F.coalesce(F.bool_or(predicate), F.lit(False)).alias("any"),
         F.coalesce(F.bool_and(predicate), F.lit(False)).alias("all"),
