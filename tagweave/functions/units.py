@@ -149,3 +149,8 @@ def convert_rows(df: DataFrame, value: str, from_unit: str, to: str, name: str)
     joined = df.join(known, F.col(from_unit) == F.col("__unit"), "left")
     out = (F.col(value) * F.col("__scale") + F.col("__offset") - goal.offset) / goal.scale
     return joined.select(*df.columns, with_unit(out, name, to))
+
+
+def by_quantity(quantity: str) -> list[Unit]:
+    """The units of a quantity, smallest first."""
+    return sorted((u for u in UNITS.values() if u.quantity == quantity), key=lambda u: u.scale)
