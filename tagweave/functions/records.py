@@ -7,11 +7,20 @@ from pyspark.sql import functions as F
 
 #: Names that source texts call as built in, by what they do (fixed values).
 BUILTINS = {
-    "read": ("read", "readAll", "readById", "readByIds", "readCount"),
-    "write": ("commit", "diff"),
+    "database": ("read", "readAll", "readById", "readByIds", "readCount", "commit", "diff", "add", "update", "remove"),
     "history": ("hisRead", "hisWrite", "hisClear", "hisRollup", "hisInterpolate"),
-    "math": ("abs", "min", "max", "sqrt", "pow", "floor", "ceil", "round"),
-    "text": ("contains", "startsWith", "endsWith", "split", "trim", "replace"),
+    "grid": ("toGrid", "gridColNames", "gridRowCount", "gridGet"),
+    "record": ("point", "points", "equip", "equips", "site", "sites", "pointWrite", "pointWriteArray", "pointEmergencyWrite"),
+    "utility": ("now", "today", "yesterday", "dateTime", "date", "time", "toStr", "toNumber", "toBool", "toUnit"),
+    "collection": ("map", "filter", "find", "findAll", "each", "reduce", "fold", "sort", "sortr", "unique", "flatten", "join"),
+    "math": ("min", "max", "avg", "sum", "abs", "round", "floor", "ceil"),
+    "string": ("contains", "startsWith", "endsWith", "split", "trim", "replace"),
+    "logic": ("and", "or", "not", "if", "do", "end"),
+    "type": ("isDict", "isGrid", "isList", "isNumber", "isStr", "isBool", "isDate", "isTime", "isDateTime", "isRef", "isUri"),
+    "io": ("ioReadCsv", "ioReadZinc", "ioWriteCsv", "ioWriteZinc"),
+    "spark": ("sparkWrite", "sparkRead", "sparkHisRead"),
+    "project": ("proj", "projName", "projMeta"),
+    "other": ("echo", "log", "logInfo", "logWarn", "logErr", "throw", "try", "catch", "finally", "marker", "na", "null", "removeMarker"),
 }
 
 

@@ -56,17 +56,22 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-#: Words that put a name into a category, first match first (fixed values).
+#: Words that put a function into a category, first match first (fixed values).
 CATEGORY_WORDS: dict[str, Sequence[str]] = {
-    "hvac": ("ahu", "vav", "hvac", "chiller", "boiler"),
-    "energy": ("energy", "kwh", "meter", "demand"),
-    "fault": ("fault", "alarm", "spark"),
-    "report": ("report", "kpi"),
-    "history": ("his", "trend"),
+    "hvac": ("hvac", "ahu", "vav", "cooling", "heating", "airside"),
+    "energy": ("energy", "kwh", "kw", "consumption", "demand"),
+    "meter": ("meter", "metering"),
+    "spark_analysis": ("spark", "fault", "alarm"),
+    "reporting": ("report", "email", "summary"),
+    "admin": ("admin", "job", "monitor"),
+    "sensor": ("sensor", "temp", "pressure"),
+    "control": ("control", "setpoint", "cmd"),
+    "data_analysis": ("his", "data", "analysis"),
+    "utilities": ("util", "helper", "tool"),
 }
 
 
-def categorize(text: Column, rules: dict[str, Sequence[str]] | None = None, default: str = "general") -> Column:
+def categorize(text: Column, rules: dict[str, Sequence[str]] | None = None, default: str = "uncategorized") -> Column:
     out = None
     for name, words in (rules or CATEGORY_WORDS).items():
         test = F.lit(False)

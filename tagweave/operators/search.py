@@ -6,6 +6,7 @@ Scores are expressions; a ranked answer is a top-k, never a sort of everything.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -123,18 +124,28 @@ def filter_results(df: DataFrame, category: str | None = None, tags: Sequence[st
     return df
 
 
-#: Operators and the patterns that find them, longer ones guarded by look-around (fixed values).
-OPERATORS = {
-    "=>": r"=>", "->": r"->", "==": r"==", "!=": r"!=", "<=": r"<=(?!>)", ">=": r"(?<!=)>=", "<=>": r"<=>", "..": r"\.\.",
-    "<": r"(?<![<-])<(?![=<])", ">": r"(?<![-=>])>(?![=>])", "+": r"\+", "-": r"-(?!>)", "*": r"\*", "/": r"(?<!/)/(?!/)",
-    "=": r"(?<![=!<>])=(?![=>])", "?": r"\?", ":": r"(?<!:):(?!:)", "::": r"::", "|": r"\|", "&": r"&", "!": r"!(?!=)",
-    "and": r"\band\b", "or": r"\bor\b", "not": r"\bnot\b", ".": r"(?<!\.)\.(?!\.)",
-}
+#: The operators that are indexed (fixed values).
+OPERATORS = (
+    "==", "!=", ">", "<", ">=", "<=",
+    "+", "-", "*", "/", "%",
+    "&&", "||", "!",
+    "&", "|", "^", "~", "<<", ">>",
+    "?:", "=>", "..", "->", "?->",
+)
 
+#: Characters that may not stand before and after an operator, lest it be part of a longer one.
+_GUARDS = {">": ("-=>", "=>"), "<": ("-<=", "<="), "!": ("", "="), "&": ("&", "&"), "|": ("|", "|")}
 
-def operator_counts(df: DataFrame, key: str, text: str, operators: Sequence[str]) -> DataFrame:
+
+def operator_pattern(operator: str) -> str:
+    before, after = _GUARDS.get(operator, ("", ""))
+    ahead = f"(?<![{re.escape(before)}])" if before else ""
+    return ahead + re.escape(operator) + (f"(?![{re.escape(after)}])" if after else "")
+
+
+def operator_counts(df: DataFrame, key: str, text: str, operators: Sequence[str] = OPERATORS) -> DataFrame:
     """(key, operator, n) for the operators that a text uses; one pass over each text."""
-    pairs = F.array(*(F.struct(F.lit(o).alias("operator"), F.regexp_count(text, F.lit(OPERATORS[o])).cast("long").alias("n")) for o in operators))
+    pairs = F.array(*(F.struct(F.lit(o).alias("operator"), F.regexp_count(text, F.lit(operator_pattern(o))).cast("long").alias("n")) for o in operators))
     return df.select(key, F.inline(pairs)).where("n > 0")
 
 

@@ -92,19 +92,39 @@ def export_json(**tables: DataFrame) -> DataFrame:
     return out
 
 
-#: Cost of calls in a source text (fixed values), and how deep loops multiply it.
-CALL_COST = {"readAll": 50, "hisRead": 100, "read": 10, "commit": 80, "each": 5, "map": 5}
+#: Cost of operations in a source text (fixed values).
+OPERATION_COST = {
+    "readAll": 10, "read": 1, "eval": 5,
+    "map": 2, "each": 2, "fold": 3, "filter": 2, "findAll": 2, "sort": 5, "unique": 4,
+    "hisRead": 20, "hisWrite": 15, "hisRollup": 10,
+    "concat": 1, "split": 2, "regex": 3,
+    "join": 8, "union": 6, "diff": 6,
+}
+
+#: Rows that a read of such records is taken to give; the last that fits counts (fixed values).
+ROWS_READ = {"his": 10_000, "point": 1000, "equip": 100, "site": 10}
 
 
 def cost_model(source: Column) -> Column:
-    """Sum of call costs, times ten for each level of nested loops."""
-    total = F.lit(0)
-    for name, cost in CALL_COST.items():
-        total = total + cost * F.regexp_count(source, F.lit(rf"\b{name}\s*\("))
-    nesting = F.least(F.regexp_count(source, F.lit(r"\b(each|map|while|for)\b")), F.lit(3))
+    """1 and the costs of all operations, times ten for each level of nested loops."""
+    total = F.lit(1)
+    for name, cost in OPERATION_COST.items():
+        total = total + cost * F.regexp_count(source, F.lit(rf"\b{name}\b"))
+    loop = r"\b(?:each|map)\b"
+    nesting = F.when(source.rlike(rf"(?s){loop}.*{loop}.*{loop}"), 2).when(source.rlike(rf"(?s){loop}.*{loop}"), 1).otherwise(0)
     return total * F.pow(F.lit(10.0), nesting).cast("long")
 
 
+def duration_class(cost: Column, source: Column) -> Column:
+    """How long a text of such a cost is taken to run."""
+    last = F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all(source, F.lit(r"readAll\s*\(([^)]+)\)"), F.lit(1))), -1)
+    rows = F.lit(100)
+    for word, n in ROWS_READ.items():
+        rows = F.when(F.contains(last, F.lit(word)), n).otherwise(rows)
+    weight = cost * F.log10(rows + 1)
+    return F.when(weight < 100, "<1s").when(weight < 1000, "1-5s").when(weight < 5000, "5-30s").otherwise(">30s")
+
+
 def lint(source: Column) -> Column:
     """Names of the issues a source text shows."""
     return F.concat_ws(

@@ -271,7 +271,12 @@ def name_suggestions(spark, d):
 
 @query("categories", "SELECT CASE WHEN contains(lower(text), 'thea') THEN 'first' WHEN contains(lower(text), 'ing') OR contains(lower(text), 'ung') THEN 'second' ELSE 'general' END AS category, count(*) AS n FROM documents GROUP BY 1")
 def categories(spark, d):
-    return table(spark, d, "documents").groupBy(scalars.categorize(F.col("text"), {"first": ("thea",), "second": ("ing", "ung")}).alias("category")).agg(F.count("*").alias("n"))
+    return table(spark, d, "documents").groupBy(scalars.categorize(F.col("text"), {"first": ("thea",), "second": ("ing", "ung")}, "general").alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("categories_default", "SELECT CASE WHEN contains(lower(text), 'hvac') OR contains(lower(text), 'ahu') OR contains(lower(text), 'vav') OR contains(lower(text), 'cooling') OR contains(lower(text), 'heating') OR contains(lower(text), 'airside') THEN 'hvac' WHEN contains(lower(text), 'energy') OR contains(lower(text), 'kwh') OR contains(lower(text), 'kw') OR contains(lower(text), 'consumption') OR contains(lower(text), 'demand') THEN 'energy' WHEN contains(lower(text), 'meter') THEN 'meter' WHEN contains(lower(text), 'spark') OR contains(lower(text), 'fault') OR contains(lower(text), 'alarm') THEN 'spark_analysis' WHEN contains(lower(text), 'report') OR contains(lower(text), 'email') OR contains(lower(text), 'summary') THEN 'reporting' WHEN contains(lower(text), 'admin') OR contains(lower(text), 'job') OR contains(lower(text), 'monitor') THEN 'admin' WHEN contains(lower(text), 'sensor') OR contains(lower(text), 'temp') OR contains(lower(text), 'pressure') THEN 'sensor' WHEN contains(lower(text), 'control') OR contains(lower(text), 'setpoint') OR contains(lower(text), 'cmd') THEN 'control' WHEN contains(lower(text), 'his') OR contains(lower(text), 'data') OR contains(lower(text), 'analysis') THEN 'data_analysis' WHEN contains(lower(text), 'util') OR contains(lower(text), 'helper') OR contains(lower(text), 'tool') THEN 'utilities' ELSE 'uncategorized' END AS category, count(*) AS n FROM documents GROUP BY 1")
+def categories_default(spark, d):
+    return table(spark, d, "documents").groupBy(scalars.categorize(F.col("text")).alias("category")).agg(F.count("*").alias("n"))
 
 
 @query("code_metrics", "SELECT doc_id, CAST(1 + len(regexp_extract_all(text, '\\b(if|else|each|while|for|catch|and|or)\\b')) AS BIGINT) AS complexity FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents)")

@@ -93,9 +93,9 @@ def calls_extracted(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(graph.extract_calls(bare)).alias("name"))
 
 
-@query("builtin_kinds", "SELECT word, kind FROM (SELECT 'read' AS word, 'read' AS kind UNION ALL SELECT 'hisRollup', 'history' UNION ALL SELECT 'trim', 'text' UNION ALL SELECT 'other', NULL)")
+@query("builtin_kinds", "SELECT word, kind FROM (SELECT 'read' AS word, 'database' AS kind UNION ALL SELECT 'hisRollup', 'history' UNION ALL SELECT 'trim', 'string' UNION ALL SELECT 'myOwn', NULL)")
 def builtin_kinds(spark, d):
-    words = spark.createDataFrame([("read",), ("hisRollup",), ("trim",), ("other",)], "word string")
+    words = spark.createDataFrame([("read",), ("hisRollup",), ("trim",), ("myOwn",)], "word string")
     return words.select("word", records.builtin_kind(F.col("word")).alias("kind"))
 
 

@@ -76,13 +76,11 @@ def section_rank(spark, d):
 
 @query(
     "operator_counts",
-    """WITH c AS (SELECT doc_id, unnest(['*', '|', '&', 'and', '?']) AS operator, unnest([len(regexp_extract_all(text, '\\*')), len(regexp_extract_all(text, '\\|')), len(regexp_extract_all(text, '&')), len(regexp_extract_all(text, '\\band\\b')), len(regexp_extract_all(text, '\\?'))]) AS n FROM (SELECT doc_id, regexp_replace(text, '[^\x00-\x7F]', 'x', 'g') AS text FROM documents))
+    """WITH c AS (SELECT doc_id, unnest(['*', '%', '|', '&', '..']) AS operator, unnest([len(regexp_extract_all(text, '\\*')), len(regexp_extract_all(text, '%')), len(list_filter(regexp_extract_all(text, '\\|+'), lambda x: x = '|')), len(list_filter(regexp_extract_all(text, '&+'), lambda x: x = '&')), len(regexp_extract_all(text, '\\.\\.'))]) AS n FROM documents)
        SELECT doc_id, operator, CAST(n AS BIGINT) AS n FROM c WHERE n > 0""",
 )
 def operator_counts(spark, d):
-    # Letters beyond ASCII are word characters on both sides once they read x.
-    docs = table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "x"))
-    return search.operator_counts(docs, "doc_id", "text", ["*", "|", "&", "and", "?"])
+    return search.operator_counts(table(spark, d, "documents"), "doc_id", "text", ["*", "%", "|", "&", ".."])
 
 
 @query(

@@ -6,7 +6,6 @@ arrive as text or values; they are checked and converted before anything is plan
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -157,15 +156,31 @@ def run(name: str, tables: Mapping[str, DataFrame], **given: Any) -> DataFrame:
     return TEMPLATES[name].run(tables, given)
 
 
-def find(query: str, n: int = 5) -> list[tuple[str, float]]:
-    """Templates by intent: words in the name 10, title 5, category 4, keywords 3."""
-    words = set(re.findall(r"[a-z0-9]+", query.lower()))
-    scored = []
-    for t in TEMPLATES.values():
-        score = sum(10 * (w in t.name) + 5 * (w in t.title.lower()) + 4 * (w == t.category) + 3 * (w in t.keywords) for w in words)
-        if score:
-            scored.append((t.name, float(score)))
-    return sorted(scored, key=lambda x: (-x[1], x[0]))[:n]
+#: What an intent may ask for, and the words that say so (fixed values).
+ACTIONS = {
+    "consumption": ("usage", "consumed", "consumption", "energy use"),
+    "efficiency": ("efficiency", "performance", "cop", "kw/ton"),
+    "fault": ("fault", "problem", "issue", "broken", "offline", "down"),
+    "export": ("export", "download", "extract", "dump"),
+    "history": ("history", "historical", "trend", "over time", "past"),
+    "status": ("status", "state", "running", "online", "active"),
+}
+
+
+def intent_score(t: Template, intent: str) -> int:
+    """Name 10, category 5, words of the title 2, keywords 3, tables 4, actions 5 a word."""
+    said = intent.lower()
+    about = f"{t.name} {t.title}".lower()
+    score = 10 * (t.name in said) + 5 * (t.category in said)
+    score += sum(2 for w in t.title.lower().split() if len(w) > 3 and w in said)
+    score += sum(3 for w in t.keywords if w in said) + sum(4 for w in t.tables if w in said)
+    return score + sum(5 for action, words in ACTIONS.items() if action in about for w in words if w in said)
+
+
+def find(intent: str, n: int = 5) -> list[tuple[str, float]]:
+    """The templates that fit an intent best."""
+    scored = [(t.name, float(intent_score(t, intent))) for t in TEMPLATES.values()]
+    return sorted((x for x in scored if x[1]), key=lambda x: (-x[1], x[0]))[:n]
 
 
 __all__ = ["TEMPLATES", "Parameter", "Template", "TemplateError", "find", "run"]

@@ -88,5 +88,5 @@ def test_empty_grid_is_neither_any_nor_all(spark):
 
 def test_cost_model(spark):
     text = "readAll(site).each(s => readAll(point).map(p => hisRead(p)))"
-    row = spark.range(1).select(usage.cost_model(F.lit(text)).alias("cost"), usage.lint(F.lit(text)).alias("lint")).first()
-    assert row.cost == (50 + 50 + 100 + 5 + 5) * 100 and row.lint == "n+1,nested,unbounded"
+    row = spark.range(1).select(usage.cost_model(F.lit(text)).alias("cost"), usage.lint(F.lit(text)).alias("lint"), usage.duration_class(F.lit(300), F.lit(text)).alias("d")).first()
+    assert row.cost == (1 + 10 + 10 + 20 + 2 + 2) * 10 and row.d == "1-5s" and row.lint == "n+1,nested,unbounded"
