@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagweave.functions import scalars
+from tagweave.functions.partitions import spread
 
 
 def token_index(df: DataFrame, key: str, *texts: str) -> DataFrame:
     """(token, id) over one or more text columns."""
     joined = F.concat_ws(" ", *texts)
-    return df.select(F.explode(scalars.tokens(joined)).alias("token"), F.col(key).alias("id")).distinct()
+    return spread(df.select(key, *texts)).select(F.explode(scalars.tokens(joined)).alias("token"), F.col(key).alias("id")).distinct()
 
 
 def index_statistics(index: DataFrame) -> DataFrame:
