@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions.partitions import spread
 from tagweave.llm import gbdt
 from tagweave.llm.common import durable, table
 
@@ -84,7 +85,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def document_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(_measure, "doc_id long, stats array<double>")
+    return spread(named).mapInArrow(_measure, "doc_id long, stats array<double>")
 
 
 def held_out(key: Column) -> Column:

@@ -29,6 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions.partitions import spread
 from tagweave.llm.common import durable, table
 from tagweave.llm.components import connected_components
 
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(read, "doc_id long, fp long")
+    return spread(named).mapInArrow(read, "doc_id long, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tagweave.functions.partitions import spread
 from tagweave.llm.common import table
 
 LONG_WORD = 256
@@ -161,7 +162,7 @@ def count_tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", vocab
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array(tokens)], ["doc_id", "n_words", "n_tokens"])
 
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return named.mapInArrow(count, "doc_id long, n_words long, n_tokens long")
+    return spread(named).mapInArrow(count, "doc_id long, n_words long, n_tokens long")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
