@@ -186,27 +186,23 @@ def html_headings(spark, d):
 # --- streams: a stream over the whole table gives the batch answer ---
 
 
-def _name():
-    return "stream_" + uuid.uuid4().hex[:12]
-
-
-def _checkpoint(spark):
+def _folder(spark):
     from tagweave.functions.lineage import shared_folder
 
-    return f"{shared_folder(spark)}/{_name()}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 @query("stream_daily_counters", "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_daily_counters(spark, d):
     events = rules.read_table_stream(spark, f"{d}/events.parquet")
-    return rules.drain(rules.daily_counters(events, "event_type"), _name(), "complete", _checkpoint(spark))
+    return rules.drain(rules.daily_counters(events, "event_type"), "complete", _folder(spark))
 
 
 @query("stream_streaks", """WITH s AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts) AS k FROM events),
  r AS (SELECT user_id, event_type, k, count(*) AS n FROM s GROUP BY 1, 2, 3) SELECT user_id, max(n) AS longest FROM r GROUP BY 1""")
 def stream_streaks(spark, d):
     events = rules.read_table_stream(spark, f"{d}/events.parquet")
-    shown = rules.drain(rules.streaks(events, "user_id", "event_type"), _name(), "update", _checkpoint(spark))
+    shown = rules.drain(rules.streaks(events, "user_id", "event_type"), "update", _folder(spark))
     return shown.groupBy("user_id").agg(F.max("longest").alias("longest"))
 
 
@@ -214,7 +210,7 @@ def stream_streaks(spark, d):
 def stream_sessions(spark, d):
     """The same sessions as the batch form with its 2-hour gap."""
     events = rules.read_table_stream(spark, f"{d}/events.parquet")
-    return rules.drain(rules.stream_sessions(events, "user_id", "2 hours", "value"), _name(), "complete", _checkpoint(spark)).select("user_id", "n", "peak")
+    return rules.drain(rules.stream_sessions(events, "user_id", "2 hours", "value"), "complete", _folder(spark)).select("user_id", "n", "peak")
 
 
 @query("current_rule", "SELECT user_id, arg_max(value, ts) > 50 AS output FROM events GROUP BY 1")

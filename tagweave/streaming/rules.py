@@ -85,8 +85,20 @@ def streaks(events: DataFrame, key: str, state: str, ts: str = "ts") -> DataFram
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now into a memory table; for tests and small answers."""
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Runs a stream over what is there now. Each batch is written by the executors to the
+    shared folder, a repeated batch over itself; a complete stream's answer is its last
+    batch, an update or append stream's all of them."""
+    numbers: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/{number}")
+        numbers.append(number)
+
+    running = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     running.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    kept = numbers[-1:] if mode == "complete" else sorted(set(numbers))
+    return spark.read.schema(stream.schema).parquet(*(f"{folder}/out/{n}" for n in kept))
