@@ -81,3 +81,38 @@ def test_query_text():
     assert [[t.op for t in c] for c in q.tests] == [["equals", "starts_with"], ["equals", "in"]]
     with pytest.raises(graph_dsl.GraphQueryError):
         graph_dsl.parse("MATCH WHERE a ~ b")
+
+
+def test_current_rule_upserts_and_repeats(spark, tmp_path):
+    """A rule on a file stream: each batch's outputs replace the key's earlier one."""
+    from pyspark.sql import functions as F
+
+    from tagweave.streaming import rules
+
+    source = tmp_path / "in"
+    spark.createDataFrame([(1, "2024-01-01 00:00:00", 5.0), (2, "2024-01-01 00:00:00", 60.0)], "id int, ts string, v double").coalesce(1).write.parquet(str(source))
+    held = {}
+
+    def write(batch, number):
+        held.update({r.id: r.output for r in batch.collect()})
+
+    def run():
+        query = rules.run_current_rule(rules.read_table_stream(spark, str(source)), "id", F.col("v") > 50, write, str(tmp_path / "state"), "1 second")
+        query.processAllAvailable()
+        query.stop()
+
+    run()
+    assert held == {1: False, 2: True}
+    spark.createDataFrame([(1, "2024-01-01 00:01:00", 70.0)], "id int, ts string, v double").coalesce(1).write.mode("append").parquet(str(source))
+    run()
+    assert held == {1: True, 2: True}
+
+
+def test_windows_over_streams(spark, tmp_path):
+    from tagweave.streaming import rules
+
+    rows = [(1, f"2024-01-01 00:{m:02d}:00", float(m)) for m in range(0, 60, 10)]
+    spark.createDataFrame(rows, "id int, t string, v double").selectExpr("id", "CAST(t AS TIMESTAMP) AS ts", "v").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = rules.read_table_stream(spark, str(tmp_path / "in"))
+    out = rules.drain(rules.sliding_means(stream, "id", "v", "30 minutes", "15 minutes"), "complete", str(tmp_path / "a"))
+    assert {(r.start.hour, r.start.minute): r.n for r in out.collect()} == {(23, 45): 2, (0, 0): 3, (0, 15): 3, (0, 30): 3, (0, 45): 1}
