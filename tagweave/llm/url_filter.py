@@ -121,7 +121,11 @@ def train(labelled: pd.DataFrame) -> tuple[gbdt.Trees, np.ndarray]:
     if len(labelled):
         own = weight[:, None]
         x[:, -3:] = (hits[slots] - own * y[:, None] + 2 * prior) / (seen[slots] - own + 2)
-    return gbdt.fit(x, y, rounds=60, depth=4, weight=weight), stats
+    # Each row also counts once as if its suffixes were new: for those the lexical features must do.
+    unseen = x.copy()
+    unseen[:, -3:] = prior
+    both = gbdt.fit(np.vstack([x, unseen]), np.tile(y, 2), rounds=60, depth=4, weight=np.tile(weight, 2) / 2)
+    return both, stats
 
 
 def judge_urls(
