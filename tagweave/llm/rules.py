@@ -26,7 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import durable, join_small, table, text_of, words_of
+from tagweave.functions.partitions import spread
+from tagweave.llm.common import durable, small_enough, table, text_of, words_of
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -41,6 +42,8 @@ CUT = 60.0
 CHI2_MEDIAN = 3.357
 #: Bins of a distance histogram, even in the logarithm; and their width.
 BINS, BIN_WIDTH = 4000, 0.01
+#: Most groups whose parameters (some 25 numbers each) are broadcast.
+MOST_BROADCAST = 10_000
 SYMBOLS = "[#*$%&|<>]"
 
 #: The transformed statistics and the least spread each is given.
@@ -51,7 +54,7 @@ D = len(NAMES)
 
 def base_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    step = docs.select(*keep, text_of(text).alias("__text")).withColumn("__words", words_of(F.col("__text")))
+    step = spread(docs.select(*keep, text_of(text).alias("__text"))).withColumn("__words", words_of(F.col("__text")))
     step = step.withColumn("n_words", F.size("__words").cast("long"))
     windows = F.transform(
         F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW),
@@ -99,16 +102,28 @@ def _transformed() -> dict[str, Column]:
     return dict(zip(NAMES, values, strict=True))
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """Adds `grp`: language and source, or the pool that the row's group falls into."""
-    for level, key in enumerate((["lang", "source"], ["lang"], [])):
-        name = F.concat_ws("\x1f", F.lit(str(level)), *(F.coalesce(F.concat(F.lit("="), c), F.lit("-")) for c in key))
-        open_ = F.col("grp").isNull() if level else F.lit(True)
-        rows = rows.withColumn("__name", F.when(open_, name))
-        sizes = durable(rows.where("__name IS NOT NULL").groupBy("__name").count().where(F.col("count") >= LEAST_ROWS).select("__name", F.col("__name").alias("__grp")))
-        joined = join_small(rows, sizes, ["__name"], "left")
-        rows = joined.withColumn("grp", F.coalesce("grp", "__grp") if level else F.col("__grp")).drop("__name", "__grp")
-    return rows
+def _tag(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), column), F.lit("-"))
+
+
+def _grouped(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds `grp`: language and source, or the pool that the row's group falls into; null
+    where the last pool is too small. Also whether there are few enough groups to broadcast."""
+    keys = [_tag("lang").alias("__l"), _tag("source").alias("__s")]
+    sizes = durable(rows.groupBy(*keys).agg(F.count("*").alias("__n")))
+    thin = F.col("__n") < LEAST_ROWS
+    pools = sizes.where(thin).groupBy("__l").agg(F.sum("__n").alias("__p"))
+    pooled = sizes.join(pools, "__l", "left")
+    left = pooled.where(thin & (F.col("__p") < LEAST_ROWS)).agg(F.sum("__n")).first()[0] or 0
+    grp = (
+        F.when(~thin, F.concat_ws("\x1f", F.lit("0"), "__l", "__s"))
+        .when(F.col("__p") >= LEAST_ROWS, F.concat_ws("\x1f", F.lit("1"), "__l"))
+        .when(F.lit(left) >= LEAST_ROWS, F.lit("2"))
+    )
+    named = durable(pooled.select("__l", "__s", grp.alias("grp")))
+    few = small_enough(named, MOST_BROADCAST)
+    tagged = rows.select("*", *keys)
+    return tagged.join(F.broadcast(named) if few else named, ["__l", "__s"]).drop("__l", "__s"), few
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -163,9 +178,14 @@ def _radius(rows: DataFrame, share: float) -> DataFrame:
     return held.where(F.col("held") >= F.col("n") * F.lit(share)).groupBy("grp", "start").agg(F.min("bin").alias("radius"))
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
+def robust_estimates(rows: DataFrame, few: bool) -> DataFrame:
     """One row per group: location m*, factor l**, and `scale`, which brings the median
-    squared distance to that of the normal model."""
+    squared distance to that of the normal model. few: the groups were counted and their
+    parameters may be broadcast; else they are joined by shuffles."""
+
+    def with_groups(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        return left.join(F.broadcast(right) if few else right, on)
+
     # Start 0: medians and their absolute deviations. Start 1: the plain moments.
     medians = rows.groupBy("grp").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in NAMES))
     middle = medians.select(
@@ -179,13 +199,13 @@ def robust_estimates(rows: DataFrame) -> DataFrame:
     plain = _moments(rows, ["grp"]).withColumn("start", F.lit(1))
     params = durable(_factored(middle).unionByName(plain))
     for _ in range(STEPS):
-        measured = _distance(join_small(rows, params, ["grp"]))
+        measured = _distance(with_groups(rows, params, ["grp"]))
         radius = durable(_radius(measured, CORE))
-        inside = join_small(measured, radius, ["grp", "start"]).where(_bin() <= F.col("radius"))
+        inside = with_groups(measured, radius, ["grp", "start"]).where(_bin() <= F.col("radius"))
         params = durable(_moments(inside.select("grp", "start", *NAMES), ["grp", "start"]))
     best = params.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     params = durable(params.join(best, ["grp", "start"]))
-    half = _radius(_distance(join_small(rows, params, ["grp"])), 0.5)
+    half = _radius(_distance(with_groups(rows, params, ["grp"])), 0.5)
     middle = F.exp((F.col("radius") + 1) * BIN_WIDTH - 20)
     return params.join(half, ["grp", "start"]).withColumn("scale", F.greatest(middle / CHI2_MEDIAN, F.lit(1.0))).drop("start", "radius", "logdet")
 
@@ -195,9 +215,10 @@ def apply_rules(docs: DataFrame, text: str = "text", cut: float = CUT) -> DataFr
     scaled; null where no estimate judges the row) and kept."""
     measured = base_statistics(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text))
     measured = durable(measured.withColumns(_transformed()))
-    grouped = durable(_grouped(measured.where("NOT base_failed")))
-    estimates = durable(robust_estimates(grouped.where("grp IS NOT NULL")))
-    judged = _distance(join_small(grouped, estimates, ["grp"], "left")).withColumn("distance", F.col("d2") / F.col("scale"))
+    named, few = _grouped(measured.where("NOT base_failed"))
+    grouped = durable(named)
+    estimates = durable(robust_estimates(grouped.where("grp IS NOT NULL"), few))
+    judged = _distance(grouped.join(F.broadcast(estimates) if few else estimates, "grp", "left")).withColumn("distance", F.col("d2") / F.col("scale"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     passed = judged.select(*columns, "distance", F.coalesce(F.col("distance") <= cut, F.lit(True)).alias("kept"))
     failed = measured.where("base_failed").select(*columns, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
