@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm import gbdt
-from tagweave.llm.common import table
+from tagweave.llm.common import bounded_sample, table
 
 #: (host and path, verdict) in the contract's order.
 RULES = (
@@ -150,8 +150,7 @@ def judge_urls(
         known = ruled.where("ruled IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("block"))
     else:
         known = labels.where("url IS NOT NULL AND block IS NOT NULL").select(F.col("url").cast("string").alias("url"), F.col("block").cast("int").alias("block")).select("url", host.alias("host"), path.alias("path"), "block")
-    # A bounded top-k by hash: every executor keeps train_rows rows at most.
-    sample = known.orderBy(F.xxhash64(F.lit(SEED), "url"), "url").limit(train_rows).toPandas()
+    sample = bounded_sample(known, ["url"], train_rows, SEED).toPandas().sort_values(["url", "block"], ignore_index=True)
     trees, stats = train(sample)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
