@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.partitions import spread
 from tagweave.llm import gbdt
-from tagweave.llm.common import durable, table
+from tagweave.llm.common import bounded_sample, durable, table
 
 TRAIN_ROWS = 20_000
 KEEP_FROM = 0.7
@@ -95,7 +95,7 @@ def held_out(key: Column) -> Column:
 def train(measured: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> gbdt.Trees:
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
     # train_rows ids at most are sent to the executors.
-    chosen = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(train_rows)
+    chosen = bounded_sample(known.where(~held_out(F.col("doc_id"))), ["doc_id"], train_rows, SEED)
     sample = measured.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(train_rows).toPandas()
     x = np.array(sample["stats"].tolist(), np.float64).reshape(-1, len(STATISTICS))
     return gbdt.fit(x, sample["label"].to_numpy(np.float64), rounds=80, depth=4, rate=0.12)
@@ -120,8 +120,8 @@ def filter_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_F
     The trees are fitted on the labelled rows' statistics first; then one pass
     scores the texts where they are read, so no text is shuffled.
     """
-    ids = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-    chosen = ids.orderBy(F.xxhash64(F.lit(SEED), F.col("doc_id").cast("long")), "doc_id").limit(train_rows)
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"))
+    chosen = bounded_sample(known.where(~held_out(F.col("doc_id"))).distinct(), ["doc_id"], train_rows, SEED)
     some = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
     trees = train(durable(document_statistics(some)), labels, train_rows)
 
