@@ -10,9 +10,9 @@ smallest id keeps its lines, all other documents lose theirs.
 
 Each task collapses equal masked lines before they are shuffled, so a line in a third of
 all documents is a few rows. Leaves are counted first; one with more than `LEAF_LINES`
-lines is dealt over several tasks by a hash of the line, and a leaf compares a line with
-its `TEMPLATES` last used templates. Neither bound touches lines that are equal, which
-recur wherever they are. Texts are shuffled once, with the places of the lines they lose.
+lines is dealt over several tasks by a hash of the line. That bound doesn't touch lines
+that are equal, which recur wherever they are. A leaf keeps all its templates; a place that
+varies equals no token. Texts are shuffled once, with the places of the lines they lose.
 
 Defined cases: a null text stays null; lines of fewer than `LEAST_TOKENS` tokens and
 blank lines always stay; rows without an id count as one document after all others;
@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,8 @@ LEADING = 3
 LEAST_TOKENS = 5
 ALIKE = 0.8
 LEAF_LINES = 50_000
-TEMPLATES = 64
+#: Lines of a leaf up to which all templates are compared, without an index.
+SCANNED = 32
 WILDCARD = "<*>"
 LAST = (1 << 63) - 1
 SEED = 5
@@ -109,27 +112,49 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out(held)
 
 
+def blocks(tokens: list[str | None]) -> Iterator[tuple]:
+    """The tokens behind the leading ones in one run more than may differ, so two lines of
+    a leaf that are `ALIKE` have a run in common."""
+    runs = _differing(len(tokens)) + 1
+    rest = len(tokens) - LEADING
+    for i in range(runs):
+        yield (i, *tokens[LEADING + rest * i // runs : LEADING + rest * (i + 1) // runs])
+
+
+@cache
+def _differing(n: int) -> int:
+    """Most tokens of n that may differ."""
+    return next(d for d in range(n, -1, -1) if (n - d) / n >= ALIKE)
+
+
 def group_leaf(lines: list[tuple[int, str]]) -> list[int]:
-    """The template number of each (order, masked line) of one leaf."""
+    """The template number of each (order, masked line) of one leaf.
+
+    All templates are kept. Where there are many, those that share a run of tokens with
+    the line are compared, which are all that can be alike."""
     groups: list[int] = []
-    recent: list[tuple[int, list[str]]] = []  # last used at the end
-    made = 0
+    templates: list[list[str | None]] = []  # None is a place that varies
+    index: dict[tuple, set[int]] | None = {} if len(lines) > SCANNED else None
     for _, line in lines:
         tokens = line.split(" ")
-        best, at = 0.0, -1
-        for i, (_, template) in enumerate(recent):
-            same = sum(map(str.__eq__, template, tokens)) / len(tokens)
+        near = range(len(templates)) if index is None else sorted(set().union(*(index.get(x, ()) for x in blocks(tokens))))
+        best, number = 0.0, -1
+        for i in near:
+            same = sum(map(eq, templates[i], tokens)) / len(tokens)
             if same > best:
-                best, at = same, i
+                best, number = same, i
         if best >= ALIKE:
-            number, template = recent.pop(at)
-            recent.append((number, [a if a == b else WILDCARD for a, b in zip(template, tokens, strict=True)]))
+            old = templates[number]
+            new = [a if a == b else None for a, b in zip(old, tokens, strict=True)]
         else:
-            number = made
-            made += 1
-            recent.append((number, tokens))
-            if len(recent) > TEMPLATES:
-                recent.pop(0)
+            number, old, new = len(templates), None, tokens
+            templates.append(tokens)
+        if index is not None and new != old:
+            for x in blocks(old) if old else ():
+                index[x].discard(number)
+            for x in blocks(new):
+                index.setdefault(x, set()).add(number)
+        templates[number] = new
         groups.append(number)
     return groups
 

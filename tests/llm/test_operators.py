@@ -252,6 +252,21 @@ def test_templates_generalise():
     assert line_dedup.group_leaf(lines) == [0, 0, 1]
 
 
+def test_leaf_keeps_all_templates(monkeypatch):
+    far = [f"user alice logs w{i} x{i} y{i} z{i} v{i}" for i in range(200)]
+    lines = list(enumerate([*far, far[0].replace("v0", "other")]))
+    assert line_dedup.group_leaf(lines) == [*range(200), 0]
+    rng = np.random.default_rng(6)
+    mixed = list(enumerate({" ".join(["a", "b", "c", *rng.choice(list("def"), n)]) for n in (2, 3, 7, 12) for _ in range(150)}))
+    for n in (5, 6, 10, 15):
+        leaf = [x for x in mixed if x[1].count(" ") == n - 1]
+        found = []
+        for scanned in (0, 1000):
+            monkeypatch.setattr(line_dedup, "SCANNED", scanned)
+            found.append(line_dedup.group_leaf(leaf))
+        assert found[0] == found[1]
+
+
 def test_mixing(docs, empty, spark):
     out = rows(mixing.mix(docs, repeat_limit=2.0))
     assert {repr(r["doc_id"]) for r in out} == {repr(d[0]) for d in DOCS}
