@@ -10,9 +10,11 @@ smallest id keeps its lines, all other documents lose theirs.
 
 Each task collapses equal masked lines before they are shuffled, so a line in a third of
 all documents is a few rows. Leaves are counted first; one with more than `LEAF_LINES`
-lines is dealt over several tasks by a hash of the line. That bound doesn't touch lines
-that are equal, which recur wherever they are. A leaf keeps all its templates; a place that
-varies equals no token. Texts are shuffled once, with the places of the lines they lose.
+different lines is parted where lines have no run of tokens in common, even by way of
+others. No template lies across such parts, so the bound changes where lines are compared
+and never the result; lines that are all connected stay in one task. A leaf keeps all its
+templates; a place that varies equals no token. Texts are shuffled once, with the places
+of the lines they lose.
 
 Defined cases: a null text stays null; lines of fewer than `LEAST_TOKENS` tokens and
 blank lines always stay; rows without an id count as one document after all others;
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.llm.common import SEPARATORS, durable, join_small, table
+from tagweave.llm.components import connected_components
 
 LEADING = 3
 LEAST_TOKENS = 5
@@ -200,17 +203,48 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(rest)
 
 
+def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of a line: each run of its tokens, under its leaf."""
+    for batch in batches:
+        nodes, keys = [], []
+        for leaf, masked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            node = _hash(masked)
+            for run in blocks(masked.split(" ")):
+                nodes.append(node)
+                keys.append(_hash(f"{leaf} {run[0]} {' '.join(run[1:])}"))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(keys, pa.int64())], ["node", "key"])
+
+
+def _apart(lines: DataFrame) -> DataFrame:
+    """Lines of crowded leaves, each under the smallest line it is connected with by
+    shared runs of tokens. Lines of one template agree in a run, two by two, so no
+    template is torn apart."""
+    filed = lines.select("leaf", "masked").mapInArrow(_filed, "node long, key long")
+    least = filed.groupBy("key").agg(F.min("node").alias("least"))
+    roots = connected_components(filed.join(least, "key").select(F.col("node").alias("a"), F.col("least").alias("b")))
+    named = lines.mapInArrow(_with_node, "leaf long, masked string, lo long, hi long, node long")
+    return named.join(roots, "node", "left").select(F.xxhash64("leaf", F.coalesce("root", "node")).alias("leaf"), "masked", "lo", "hi")
+
+
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.append_column("node", pa.array([_hash(x) for x in batch.column(1).to_pylist()], pa.int64()))
+
+
 def recurring_lines(docs: DataFrame) -> DataFrame:
     """(line, keep): hashes of lines to drop outside document `keep`."""
     named = _named(docs)
-    sizes = named.select("text").mapInArrow(_leaf_sizes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    hot = durable(sizes.where(F.col("n") > LEAF_LINES).select("leaf", F.ceil(F.col("n") / LEAF_LINES).alias("parts")))
     lines = named.mapInArrow(_collapsed, "leaf long, masked string, lo long, hi long")
-    dealt = join_small(lines, hot, ["leaf"], "left")
-    part = F.pmod(F.xxhash64("masked"), F.coalesce("parts", F.lit(1)))
-    place = F.when(part == 0, F.col("leaf")).otherwise(F.xxhash64("leaf", part))
-    ready = dealt.select(place.alias("leaf"), "masked", "lo", "hi").repartition("leaf").sortWithinPartitions("leaf")
-    return ready.mapInArrow(_recurring, "line long, keep long")
+    sizes = named.select("text").mapInArrow(_leaf_sizes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
+    often = durable(sizes.where(F.col("n") > LEAF_LINES).select("leaf"))
+    if not often.isEmpty():
+        # Occurrences are counted so far; only leaves of many different lines are crowded.
+        different = durable(join_small(lines, often, ["leaf"], "left_semi").groupBy("leaf", "masked").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        crowded = durable(different.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"))
+        lines = join_small(lines, often, ["leaf"], "left_anti").unionByName(join_small(different, crowded, ["leaf"], "left_anti"))
+        if not crowded.isEmpty():
+            lines = lines.unionByName(_apart(join_small(different, crowded, ["leaf"], "left_semi")))
+    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_recurring, "line long, keep long")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -267,6 +267,19 @@ def test_leaf_keeps_all_templates(monkeypatch):
         assert found[0] == found[1]
 
 
+def test_crowded_leaves_keep_the_result(spark, monkeypatch):
+    names = ["alice", "bob", "carol", "dave", "erin", "frank"]
+    texts = [f"user {'xyz'[i % 3]} name {n} came from the office today\nuser x name {n} {n}a {n}b {n}c {n}d {n}e" for i, n in enumerate(names)]
+    texts += [f"user x name {n} left for the garden later\nuser x name {n}" for n in names]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = []
+    for bound in (50_000, 2):
+        monkeypatch.setattr(line_dedup, "LEAF_LINES", bound)
+        found.append(sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in rows(line_dedup.drop_recurring_lines(frame))))
+    assert found[0] == found[1]
+    assert [x[2] for x in found[1]] == [0, 0, 0, 1, 1, 1, 0, 1, 1, 1, 1, 1]
+
+
 def test_mixing(docs, empty, spark):
     out = rows(mixing.mix(docs, repeat_limit=2.0))
     assert {repr(r["doc_id"]) for r in out} == {repr(d[0]) for d in DOCS}
