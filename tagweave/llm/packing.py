@@ -66,48 +66,56 @@ def byte_alphabet() -> dict[str, int]:
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
-    """Byte strings and ids of a tokenizers file; special tokens are left out, so
-    their strings are ordinary text."""
+    """Byte strings and ids of a tokenizers file, but for its added tokens."""
     parsed = json.loads(Path(path).read_text(encoding="utf-8"))
     special = {x["content"] for x in parsed.get("added_tokens", [])}
     alphabet = byte_alphabet()
     return {bytes(alphabet[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in special}
 
 
+def read_added(path: str) -> dict[str, int]:
+    """Strings and ids of a tokenizers file's added tokens."""
+    return {x["content"]: x["id"] for x in json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens", [])}
+
+
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes."""
+    """Token ids as little-endian unsigned 32-bit bytes. Strings of added tokens are one
+    id each; without any they are ordinary text."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], added: dict[str, int]):
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("ids", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        self.encoding = tiktoken.Encoding("ids", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=added)
+        self.added = set(added)
 
     def __call__(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def _encoder(ranks: dict[bytes, int]) -> Encoder:
-    key = hash(frozenset(ranks.items()))
+def _encoder(ranks: dict[bytes, int], added: dict[str, int]) -> Encoder:
+    key = hash((frozenset(ranks.items()), frozenset(added.items())))
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks)
+        _ENCODERS[key] = Encoder(ranks, added)
     return _ENCODERS[key]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
-def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Full windows and rests of every document, with the checksum of their ids and,
-    if asked for, the ids (little-endian unsigned 32-bit)."""
+    if asked for, the ids (little-endian unsigned 32-bit). With `added`, the strings of
+    the vocabulary's added tokens are one id each, as tokenizers has them by default."""
+    path = vocabulary or default_vocabulary()
     # The vocabulary is a file of fixed size, a few MB.
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary or default_vocabulary()))
+    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(path), read_added(path) if added else {}))
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(shared.value)
+        encode = _encoder(*shared.value)
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -234,10 +242,10 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
     return dealt.repartition(tasks, "group").groupBy("group").applyInPandas(fill, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, vocabulary: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and with_ids the ids."""
-    parts = durable(pieces(docs, capacity=capacity, vocabulary=vocabulary, with_ids=with_ids))
+    parts = durable(pieces(docs, capacity=capacity, vocabulary=vocabulary, with_ids=with_ids, added=added))
     return pack(parts, capacity, group_tokens).drop("deal")
 
 
@@ -252,4 +260,4 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"))
+    return pack_documents(table(spark, sf_dir, "documents"), added=True)

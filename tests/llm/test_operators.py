@@ -360,6 +360,24 @@ def test_packing(docs, empty):
     assert sum(r["length"] for r in whole) == sum(len(r["ids"]) // 4 for r in whole) == sum(r["length"] for r in out)
 
 
+def test_queries_pack_the_ids_of_tokenizers(spark, tmp_path):
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n x", "two  <|endoftext|", None, "  <|endoftext|>  it's"]
+    spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    expect = {}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        expect[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert expect[0] == (5, zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes()))
+    for out in (packing.op10_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
+        assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows(out)} == expect
+
+
 def test_differencing_balances():
     sizes = np.random.default_rng(4).integers(1, 400, 500)
     part = packing.differencing(sizes, 50)
