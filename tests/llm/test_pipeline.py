@@ -32,3 +32,44 @@ def test_empty_table_passes_through(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0
+
+
+def test_near_copies_are_all_found(spark, monkeypatch):
+    import numpy as np
+    from tagweave.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SAMPLE", 60)  # some shingles count as frequent
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = ["", None, " ", "One two", "one  TWO", "one three"]
+    for _ in range(12):
+        base = rng.choice(words, int(rng.integers(5, 150))).tolist()
+        for _ in range(int(rng.integers(1, 14))):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), int(rng.integers(0, 4))):
+                copy[at] = str(rng.choice(words))
+            texts.append(" ".join(copy))
+    passage = " ".join(words[:30])
+    texts += [f"{passage} {' '.join(rng.choice(words, 12))}" for _ in range(20)]
+
+    def cut(text):
+        t = (text or "").lower().split()
+        return {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
+
+    sets = [cut(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((top(i), top(j)))
+                parent[y] = x
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, DIR).collect()} == {top(i) for i in range(len(texts))}
