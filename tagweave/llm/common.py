@@ -17,9 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is configured."""
+    """The cluster's shared folder. One of our own only in local mode, where driver and
+    tasks are one process; on a cluster an unset folder is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or tempfile.mkdtemp(prefix="tagweave-")
+    if configured:
+        return configured
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tagweave-")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -56,14 +61,45 @@ def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
 
 
 def bounded_sample(df: DataFrame, keys: list[str], rows: int, seed: int) -> DataFrame:
-    """At most `rows` rows, those of smallest hash of the keys, whatever the partitioning.
+    """At most `rows` different rows, those of smallest hash of the keys, whatever the
+    partitioning and however often a row repeats.
 
-    The rows are counted first and cut by a hash bound that leaves about a third too many,
-    so that what is sorted and sent stays near `rows` however many tasks there are.
+    Different keys are counted first (approximately, in a sketch of fixed size) and cut by
+    a hash bound that leaves about a third too many, so that what is made distinct, sorted
+    and sent stays near `rows` however many tasks there are.
     """
-    n = df.count()
-    if n <= rows:
-        return df
+    n = df.agg(F.approx_count_distinct(F.xxhash64(*keys), 0.02)).first()[0]
     place = F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 40))
-    few = df.where(place < int((1 << 40) * min(1.0, 1.3 * rows / n)))
+    few = df.where(place < int((1 << 40) * min(1.0, 1.3 * rows / max(1, n)))).distinct()
     return few.orderBy(place, *keys).limit(rows)
+
+
+def row_key(key: Column, text: Column) -> Column:
+    """What tells rows apart that a filter may drop: the id, null for itself, and a digest
+    of the text, null as the empty text."""
+    return F.concat_ws(":", F.coalesce(key.cast("long").cast("string"), F.lit("-")), F.sha2(text_of(text).cast("binary"), 256))
+
+
+def keep_rows(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows whose `row_key` is in `marked` (row, stays) with stays false;
+    of rows that share a key with stays true, one remains. `marked` lists every row that
+    is dropped or repeats; rows with other keys aren't touched. Columns unchanged."""
+    once = marked.groupBy(F.col("row").alias("__row")).agg(F.max("stays").alias("__stays"))
+    joined = docs.withColumn("__row", row_key(F.col(key), F.col(text))).join(once, "__row", "left")
+    if not marked.where("stays").isEmpty():
+        # The join has dealt rows by their key already, so equal ones are together.
+        repeated = joined.where("__stays").dropDuplicates(["__row"])
+        joined = joined.where("__stays IS NULL").unionByName(repeated)
+    else:
+        joined = joined.where("__stays IS NULL")
+    return joined.select(*docs.columns)
+
+
+def one_row_each(members: DataFrame) -> DataFrame:
+    """`marked` for keep_rows, from (grp, row, doc_id): the row of the smallest id stays,
+    rows without an id after all others, then by `row`."""
+    different = members.groupBy("grp", "row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    order = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    best = different.groupBy("grp").agg(F.min(order).alias("best"))
+    joined = different.join(best, "grp").select("row", (F.col("row") == F.col("best.row")).alias("stays"), "n")
+    return joined.where(~F.col("stays") | (F.col("n") > 1)).select("row", "stays")

@@ -15,7 +15,8 @@ block of its own, so a hot key takes many tasks and no block grows with the data
 
 Defined cases: a null or blank text has fingerprint zero and is linked like any other;
 a null id counts as larger than any id; rows that repeat share a component; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored. Very long texts are read whole, in steps
+of `STEP` shingles.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.partitions import spread
-from tagweave.llm.common import durable, table
+from tagweave.llm.common import durable, keep_rows, one_row_each, row_key, table
 from tagweave.llm.components import connected_components
 
 SHINGLE_WORDS = 3
@@ -69,15 +70,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed 64-bit number."""
+    """doc_id, row (what tells the row from others, by `row_key`) and fp, the fingerprint
+    as a signed 64-bit number."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py(), words) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "row", "fp"])
 
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return spread(named).mapInArrow(read, "doc_id long, fp long")
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), row_key(F.col(key), F.col(text)).alias("row"), F.col(text).cast("string").alias("text"))
+    return spread(named).mapInArrow(read, "doc_id long, row string, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -227,24 +229,27 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLO
     return dealt.repartition("block").sortWithinPartitions("block").select("block", "fp").mapInArrow(_link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp, component_id for every row; the smallest id names a component."""
+def _members(docs: DataFrame, text: str, key: str, words: int) -> DataFrame:
+    """doc_id, row, fp, root (the component's smallest fingerprint) and component_id for every row."""
     prints = durable(fingerprints(docs, text, key, words))
     distinct = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = connected_components(links(distinct.select("fp")))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
+    """doc_id, fp, component_id for every row; the smallest id names a component."""
+    return _members(docs, text, key, words).select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each component, the one with the smallest id, columns unchanged;
-    of rows that repeat that id, one. Rows without an id in a component that has none
-    all stay."""
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
+    """One row of each component, columns unchanged: the one with the smallest id, rows
+    without an id after all others; rows are known by id and text, so others that repeat
+    the id are judged by their own text, and of rows equal in both one stays."""
+    members = _members(docs, text, key, words).select(F.col("root").alias("grp"), "row", "doc_id")
+    return keep_rows(docs, durable(one_row_each(members)), key, text)
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
