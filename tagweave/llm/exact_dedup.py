@@ -15,17 +15,24 @@ result; other columns of the input don't matter.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import durable, table, text_of
+from tagweave.llm.common import durable, keep_rows, table, text_of
 
-#: Share of all rows from which a digest must be split off; bounds the broadcast to its inverse.
-SUPPORT = 0.002
+#: A digest of more rows than this is split off, so no task joins more rows of one digest.
+MOST_ROWS = 200_000
+#: Bounds of the share of all rows from which a digest is split off. The inverse of the
+#: lower one is the most digests that are summarised and broadcast.
+LEAST_SUPPORT, MOST_SUPPORT = 5e-5, 0.002
 
 
-def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", support: float = SUPPORT) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256."""
+def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", support: float | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    support: the share of all rows from which a digest is frequent; by default it follows
+    the row count, so that digests shuffled the ordinary way have `MOST_ROWS` rows at most,
+    within the two bounds."""
     rows = durable(
         docs.select(
             F.col(key).cast("long").alias("doc_id"),
@@ -35,6 +42,8 @@ def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", su
     )
     # The earliest of equal ids is the largest (doc_id, -nth).
     rank = F.struct(F.col("doc_id").alias("doc_id"), (-F.col("nth")).alias("back"))
+    if support is None:
+        support = min(MOST_SUPPORT, max(LEAST_SUPPORT, MOST_ROWS / max(1, rows.count())))
     frequent = rows.stat.freqItems(["text_sha256"], support).select(
         F.explode("text_sha256_freqItems").alias("text_sha256")
     )
@@ -44,10 +53,9 @@ def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", su
         .agg(F.max(rank).alias("best"), F.count("*").alias("group_size"))
     )
     heavy = rows.join(F.broadcast(winners), "text_sha256")
-    group = Window.partitionBy("text_sha256")
-    light = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti").select(
-        "*", F.max(rank).over(group).alias("best"), F.count("*").over(group).alias("group_size")
-    )
+    rare = rows.join(F.broadcast(winners.select("text_sha256")), "text_sha256", "left_anti")
+    groups = rare.groupBy("text_sha256").agg(F.max(rank).alias("best"), F.count("*").alias("group_size"))
+    light = rare.join(groups, "text_sha256")
     return heavy.unionByName(light).select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
@@ -57,14 +65,12 @@ def mark_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", su
     )
 
 
-def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", support: float = SUPPORT) -> DataFrame:
-    """The documents that stay, with all their columns; of rows equal in id and
-    text, one."""
-    kept = mark_duplicates(docs, text, key, support).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")
-    )
-    digest = F.sha2(text_of(text).cast("binary"), 256)
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__id")) & (digest == F.col("__digest")), "left_semi").dropDuplicates([key, text])
+def drop_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", support: float | None = None) -> DataFrame:
+    """The documents that stay, with all their columns; of rows equal in id and text (null
+    and empty are equal), one."""
+    marked = mark_duplicates(docs.select(key, text), text, key, support).where("group_size > 1")
+    row = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256")
+    return keep_rows(docs, durable(marked.select(row.alias("row"), F.col("kept").alias("stays"))), key, text)
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
