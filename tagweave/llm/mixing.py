@@ -93,9 +93,10 @@ def mix_plan(counted: DataFrame, target_entropy: float | None = None, repeat_lim
     )
 
 
-def _draw(epoch: Column) -> Column:
-    """A row's place in [0, 1) in one epoch's permutation; rows are known by `base`."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), epoch, F.col("base")), 11) / F.lit(float(1 << 53))
+def _draw(epoch: Column, base: str = "base") -> Column:
+    """A row's place in [0, 1) in one epoch's permutation; rows are known by `base`, a
+    hash of id and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), epoch, F.col(base)), 11) / F.lit(float(1 << 53))
 
 
 def _counted(docs: DataFrame, tokens: Column | None) -> DataFrame:
@@ -107,9 +108,13 @@ def _counted(docs: DataFrame, tokens: Column | None) -> DataFrame:
     )
 
 
-def _sources_equal(left: DataFrame, plan: DataFrame) -> DataFrame:
-    tag = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source")))
-    return join_small(left.withColumn("__tag", tag), plan.withColumn("__tag", tag).drop("source", "tokens", "docs"), ["__tag"]).drop("__tag")
+def _sources_equal(left: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
+    """left with the plan's other columns; `source` is what the plan calls its sources."""
+
+    def tag(name: str) -> Column:
+        return F.when(F.col(name).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(name).cast("string")))
+
+    return join_small(left.withColumn("__tag", tag("source")), plan.withColumn("__tag", tag(source)).drop(source, "tokens", "docs"), ["__tag"]).drop("__tag")
 
 
 def laid_out(counted: DataFrame, plan: DataFrame) -> DataFrame:
@@ -153,10 +158,10 @@ def mixed_documents(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT,
     # One row per source, from the draws of the last epoch.
     bounds = laid_out(counted, plan).where("epoch = epochs").groupBy("source").agg(F.max("draw").alias("bound"))
     joined = plan.join(bounds.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", "tokens", "docs", F.col("epochs").alias("__epochs"), F.coalesce("bound", F.lit(-1.0)).alias("__bound"))
-    based = docs.withColumn("base", F.xxhash64("doc_id", "text")) if "base" not in docs.columns else docs
-    with_plan = _sources_equal(based, durable(joined))
-    copies = F.col("__epochs") + (_draw(F.col("__epochs")) <= F.col("__bound")).cast("int")
+        "source", F.col("epochs").alias("__epochs"), F.coalesce("bound", F.lit(-1.0)).alias("__bound"))
+    based = docs.withColumn("__base", F.xxhash64("doc_id", "text"))
+    with_plan = _sources_equal(based, durable(joined.withColumnRenamed("source", "__source")), "__source")
+    copies = F.col("__epochs") + (_draw(F.col("__epochs"), "__base") <= F.col("__bound")).cast("int")
     return with_plan.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
 
 
