@@ -8,7 +8,8 @@ Language, source, id and labels are no features.
 
 Defined cases: a null text is the empty text and gets the score of its statistics;
 labels that are null are not used, of several labels of one id the smallest counts;
-ids that repeat are scored row by row; without labels every score is 0.5.
+ids that repeat are scored row by row, and learned from by their least statistics;
+very long texts are read whole, one at a time; without labels every score is 0.5.
 """
 
 from __future__ import annotations
@@ -96,7 +97,9 @@ def train(measured: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("label"))
     # train_rows ids at most are sent to the executors.
     chosen = bounded_sample(known.where(~held_out(F.col("doc_id"))), ["doc_id"], train_rows, SEED)
-    sample = measured.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").limit(train_rows).toPandas()
+    # Of rows that repeat an id the one of least statistics, whatever the partitioning.
+    once = measured.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"), F.min("label").alias("label"))
+    sample = once.orderBy("doc_id").limit(train_rows).toPandas()
     x = np.array(sample["stats"].tolist(), np.float64).reshape(-1, len(STATISTICS))
     return gbdt.fit(x, sample["label"].to_numpy(np.float64), rounds=80, depth=4, rate=0.12)
 
