@@ -67,7 +67,10 @@ class Automaton:
                     text.append(entry[: i + 1])
                 node = child[node][byte]
         order = sorted(range(len(child)), key=lambda v: len(text[v]))
-        table = np.zeros((len(child), 256), np.int64)
+        longest = max(map(len, text))
+        if len(child) > 1 << _NODE_BITS or longest >= 1 << (31 - _NODE_BITS):
+            raise ValueError(f"vocabulary too large: {len(child)} nodes, entries of up to {longest} bytes; the table holds 2^{_NODE_BITS} nodes and pops below 2^{31 - _NODE_BITS}")
+        table = np.zeros((len(child), 256), np.int32)
         self.left = np.zeros(len(child), np.int64)  # pieces of a node's own text
         mask = (1 << _NODE_BITS) - 1
         for v in order:
@@ -79,13 +82,13 @@ class Automaton:
                     step = int(table[parent_fail, text[v][-1]])
                     fail, popped = step & mask, parent_popped + (step >> _NODE_BITS)
                 links[text[v]] = (fail, popped)
-                table[v] = table[fail] + (popped << _NODE_BITS)
+                table[v] = table[fail] + np.int32(popped << _NODE_BITS)
                 self.left[v] = popped + self.left[fail]
             else:
                 links: dict[bytes, tuple[int, int]] = {}
             for byte, to in child[v].items():
                 table[v, byte] = to
-        self.table = table.reshape(-1).astype(np.int32)
+        self.table = table.reshape(-1)
 
     def count(self, word: bytes) -> int:
         """Pieces of one word, byte by byte."""
