@@ -14,8 +14,8 @@ id and text are dealt by a running number of the scan.
 
 Tokens come from a byte-level BPE vocabulary.
 
-Defined cases: a null or empty text is the end id alone; very long texts are cut into
-as many windows as they need; repeated rows are packed each; an empty table packs
+Defined cases: a null or empty text is the end id alone; very long texts, and very long
+runs of one kind of character, are encoded whole and cut into as many windows as they need; repeated rows are packed each; an empty table packs
 into nothing. Every `FILLER_EVERY`th document's rest is cut into pieces of
 `FILLER_TOKENS`, wherever it falls in the corpus: rests of a few to a window don't
 balance well by themselves, and these small pieces even the windows out.
@@ -65,57 +65,59 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    """Byte strings and ids of a tokenizers file, but for its added tokens."""
-    parsed = json.loads(Path(path).read_text(encoding="utf-8"))
-    special = {x["content"] for x in parsed.get("added_tokens", [])}
-    alphabet = byte_alphabet()
-    return {bytes(alphabet[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in special}
-
-
-def read_added(path: str) -> dict[str, int]:
-    """Strings and ids of a tokenizers file's added tokens."""
-    return {x["content"]: x["id"] for x in json.loads(Path(path).read_text(encoding="utf-8")).get("added_tokens", [])}
-
-
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes. Strings of added tokens are one
-    id each; without any they are ordinary text."""
+    """Token ids as little-endian unsigned 32-bit bytes, those of `tokenizers` for the
+    given tokenizer file's text with add_special_tokens=False. With `added`, strings of the
+    vocabulary's added tokens are one id each, as there; without, they are ordinary text.
+
+    tiktoken computes them from the same vocabulary, three times as fast. Its pattern
+    can't match very long runs of white space; such texts go through `tokenizers` itself."""
 
-    def __init__(self, ranks: dict[bytes, int], added: dict[str, int]):
+    def __init__(self, file: str, added: bool = True):
         import tiktoken
 
-        self.encoding = tiktoken.Encoding("ids", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=added)
-        self.added = set(added)
+        parsed = json.loads(file)
+        tokens = {x["content"]: x["id"] for x in parsed.get("added_tokens", [])}
+        alphabet = byte_alphabet()
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in parsed["model"]["vocab"].items() if token not in tokens}
+        self.file, self.added, self.slow = file, added, None
+        self.allowed = set(tokens) if added else set()
+        self.fast = tiktoken.Encoding("ids", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=tokens if added else {})
 
     def __call__(self, text: str) -> bytes:
-        return self.encoding.encode_to_numpy(text, allowed_special=self.added, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special=self.allowed, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:
+            if self.slow is None:
+                from tokenizers import Tokenizer
+
+                self.slow = Tokenizer.from_str(self.file)
+                self.slow.encode_special_tokens = not self.added
+            return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
-_ENCODERS: dict[int, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(ranks: dict[bytes, int], added: dict[str, int]) -> Encoder:
-    key = hash((frozenset(ranks.items()), frozenset(added.items())))
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks, added)
-    return _ENCODERS[key]
+def _encoder(file: str, added: bool) -> Encoder:
+    """One per Python worker, vocabulary and kind."""
+    if (file, added) not in _ENCODERS:
+        _ENCODERS[file, added] = Encoder(file, added)
+    return _ENCODERS[file, added]
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 
 
-def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False, added: bool = True) -> DataFrame:
     """Full windows and rests of every document, with the checksum of their ids and,
-    if asked for, the ids (little-endian unsigned 32-bit). With `added`, the strings of
-    the vocabulary's added tokens are one id each, as tokenizers has them by default."""
-    path = vocabulary or default_vocabulary()
-    # The vocabulary is a file of fixed size, a few MB.
-    shared = docs.sparkSession.sparkContext.broadcast((read_ranks(path), read_added(path) if added else {}))
+    if asked for, the ids (little-endian unsigned 32-bit). `added` as in `Encoder`."""
+    # The vocabulary is a file of fixed size, a few MB; executors need no path to it.
+    shared = docs.sparkSession.sparkContext.broadcast(Path(vocabulary or default_vocabulary()).read_text(encoding="utf-8"))
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(*shared.value)
+        encode = _encoder(shared.value, added)
         for batch in batches:
             rows: list[tuple] = []
             held = 0
@@ -242,7 +244,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_T
     return dealt.repartition(tasks, "group").groupBy("group").applyInPandas(fill, f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, vocabulary: str | None = None, with_ids: bool = False, added: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS, vocabulary: str | None = None, with_ids: bool = False, added: bool = True) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, and with_ids the ids."""
     parts = durable(pieces(docs, capacity=capacity, vocabulary=vocabulary, with_ids=with_ids, added=added))
@@ -260,4 +262,4 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, **options) -> DataFrame
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(table(spark, sf_dir, "documents"), added=True)
+    return pack_documents(table(spark, sf_dir, "documents"))

@@ -336,7 +336,6 @@ def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out = rows(packing.pack_documents(docs, capacity=256))
     expect = {}
     for i, text, *_ in DOCS:
@@ -366,16 +365,23 @@ def test_queries_pack_the_ids_of_tokenizers(spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n x", "two  <|endoftext|", None, "  <|endoftext|>  it's"]
+    texts = [" " * 1_000_000 + "a", "b" + "\n" * 300_000 + "\t" * 700_000, "a" * 2_000_000, " " * 2_000_000 + "<|endoftext|> x", "a <|endoftext|> b", "<|endoftext|><|endoftext|>\n\n x", "two  <|endoftext|", None, "  <|endoftext|>  it's"]
     spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(texts)], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     expect = {}
     for i, text in enumerate(texts):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
         expect[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-    assert expect[0] == (5, zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes()))
+    assert expect[4] == (5, zlib.crc32(np.array([64, 220, 50256, 275, 1], "<u4").tobytes()))
     for out in (packing.op10_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, str(tmp_path))):
-        assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in rows(out)} == expect
+        found = rows(out)
+        assert {r["doc_id"]: r["doc_tokens"] for r in found} == {i: n for i, (n, _) in expect.items()}
+        assert {r["doc_id"]: r["ids_crc32"] for r in found if r["length"] == r["doc_tokens"]} == {i: c for i, (n, c) in expect.items() if n <= 2048}
+    encoders = [packing.Encoder(open(packing.default_vocabulary(), encoding="utf-8").read(), added) for added in (True, False)]
+    for special, encoder in zip((False, True), encoders, strict=True):
+        t.encode_special_tokens = special
+        for text in texts:
+            assert encoder(text or "") == np.array(t.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_differencing_balances():
