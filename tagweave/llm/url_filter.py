@@ -4,14 +4,20 @@ A rule is a host and a path; it fits that host and its subdomains where the url'
 path starts with the rule's, and the longest rule that fits decides. All other urls
 are scored by trees over lexical features: lengths, depth, digit ratio, entropy,
 parameter counts, and statistics of the host's suffix and first folder. The trees
-learn from labelled urls; without a label table the urls that a rule decides are
-the labels. A bounded sample of them is used, the `TRAIN_ROWS` smallest by a seeded
-hash of the url, so the sample doesn't depend on partitioning.
+learn from labelled urls. Without a label table, urls are labelled by seed terms: a
+host that has one of `SEED_TERMS` as a whole word counts as unwanted, all other hosts as
+wanted. The rules are no labels: that a folder is blocked says nothing of other hosts.
+
+A bounded sample of different urls is used, for each label the `TRAIN_ROWS` / 2 smallest
+by a seeded hash of the url, so neither partitioning nor a url that repeats changes it.
+Both labels weigh the same in training; a block needs a score over `BLOCK_FROM`. A url
+further outside the range of the learned features than that range is wide is allowed.
 
 Defined cases: a null url or one without `://` has an empty host and path, no rule,
 and is scored like any other; repeated urls get equal verdicts; without any labelled
 url the score is 0.5 and the verdict allow; of fitting rules equally long the one
-with the longer host, then the smaller text, wins.
+with the longer host, then the smaller text, wins; very long urls are scored whole;
+other columns of pages don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +40,15 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
+#: Words of a host that mark unwanted sites (gambling, drugs, adult, advertising), for
+#: labels where there is no table of them.
+SEED_TERMS = ("casino", "poker", "bets", "pills", "viagra", "adult", "porn", "xxx", "ads", "track", "spam")
 #: Largest number of labelled urls that the trees learn from.
 TRAIN_ROWS = 20_000
 #: Suffix statistics are kept for this many hashed suffixes at most.
 SUFFIX_SLOTS = 4096
-#: Both labels weigh the same in training, so 0.5 is no evidence; a block needs clear evidence.
-BLOCK_FROM = 0.8
+#: Both labels weigh the same in training, though few urls are unwanted; a block needs clear evidence.
+BLOCK_FROM = 0.95
 SEED = 7
 
 
@@ -116,11 +125,17 @@ def train(labelled: pd.DataFrame) -> tuple[gbdt.Trees, np.ndarray]:
     for k in range(3):
         np.add.at(hits, slots[:, k], weight * y)
         np.add.at(seen, slots[:, k], weight)
-    stats = (hits + 2 * prior) / (seen + 2)
+
+    def share(blocked: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        """A suffix that was seen under one label only says nothing."""
+        both = (blocked > 1e-9) & (all_ - blocked > 1e-9)
+        return np.where(both, (blocked + 2 * prior) / (all_ + 2), prior)
+
+    stats = share(hits, seen)
     x = _features(labelled, stats)
     if len(labelled):
         own = weight[:, None]
-        x[:, -3:] = (hits[slots] - own * y[:, None] + 2 * prior) / (seen[slots] - own + 2)
+        x[:, -3:] = share(hits[slots] - own * y[:, None], seen[slots] - own)
     # Each row also counts once as if its suffixes were new: for those the lexical features must do.
     unseen = x.copy()
     unseen[:, -3:] = prior
@@ -128,6 +143,18 @@ def train(labelled: pd.DataFrame) -> tuple[gbdt.Trees, np.ndarray]:
     return both, stats
 
 
+def seed_label(host: Column, terms: tuple[str, ...] = SEED_TERMS) -> Column:
+    """1 if the host has one of the terms as a whole word, else 0."""
+    return host.rlike(rf"(^|[.-])({'|'.join(terms)})([.-]|$)").cast("int")
+
+
+def training_sample(known: DataFrame, train_rows: int = TRAIN_ROWS) -> pd.DataFrame:
+    """Different rows of known (url, host, path, block), half of train_rows for each label
+    at most; a url under both labels counts as both."""
+    halves = [bounded_sample(known.where(F.col("block") == label), ["url"], train_rows // 2, SEED).toPandas() for label in (0, 1)]
+    return pd.concat(halves).sort_values(["url", "block"], ignore_index=True)
+
+
 def judge_urls(
     pages: DataFrame,
     url: str = "url",
@@ -135,10 +162,11 @@ def judge_urls(
     rules: tuple[tuple[str, str], ...] = RULES,
     labels: DataFrame | None = None,
     train_rows: int = TRAIN_ROWS,
+    terms: tuple[str, ...] = SEED_TERMS,
 ) -> DataFrame:
-    """page_id, url, host, path, rule, verdict, score (probability of block).
+    """page_id, url, host, path, rule, verdict, score (of being unwanted).
 
-    labels: optional (url, block 0/1); else the rules' verdicts are the labels.
+    labels: optional (url, block 0/1); else the seed terms label the urls of pages.
     """
     host, path = host_and_path(F.col("url"))
     parted = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url")).select(
@@ -147,17 +175,22 @@ def judge_urls(
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parted.select("*", rule.alias("rule"), verdict.alias("ruled"))
     if labels is None:
-        known = ruled.where("ruled IS NOT NULL").select("url", "host", "path", (F.col("ruled") == "block").cast("int").alias("block"))
+        known = parted.where("host <> ''").select("url", "host", "path", seed_label(F.col("host"), terms).alias("block"))
     else:
         known = labels.where("url IS NOT NULL AND block IS NOT NULL").select(F.col("url").cast("string").alias("url"), F.col("block").cast("int").alias("block")).select("url", host.alias("host"), path.alias("path"), "block")
-    sample = bounded_sample(known, ["url"], train_rows, SEED).toPandas().sort_values(["url", "block"], ignore_index=True)
+    sample = training_sample(known, train_rows)
     trees, stats = train(sample)
+    seen = _features(sample, stats)
+    low, high = (seen.min(0), seen.max(0)) if len(seen) else (np.zeros(22), np.zeros(22))
+    width = np.maximum(high - low, 1.0)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            by_trees = trees.score(_features(frame, stats))
+            x = _features(frame, stats)
+            by_trees = trees.score(x)
+            like = ((x >= low - width) & (x <= high + width)).all(1)
             ruled = frame.pop("ruled")
-            frame["verdict"] = ruled.where(ruled.notna(), np.where(by_trees > BLOCK_FROM, "block", "allow"))
+            frame["verdict"] = ruled.where(ruled.notna(), np.where(like & (by_trees > BLOCK_FROM), "block", "allow"))
             frame["score"] = by_trees
             yield frame
 
