@@ -241,6 +241,56 @@ def test_robust_outliers(spark):
     assert np.mean([out[i]["kept"] for i, *_ in good]) > 0.99
 
 
+def _logdet(x):
+    return 0.5 * np.linalg.slogdet(np.cov(x.T, bias=True) + np.diag([v**2 for v in rules.FLOOR.values()]))[1]
+
+
+def _least_logdet(x, rng):
+    """Least determinant of a core, from many starts of exact concentration steps."""
+    h = math.ceil(len(x) * rules.CORE)
+    best = np.inf
+    for _ in range(300):
+        core = x[rng.choice(len(x), 5, replace=False)]
+        for _ in range(30):
+            d = x - core.mean(0)
+            d2 = (d @ np.linalg.inv(np.cov(core.T, bias=True) + np.diag([v**2 for v in rules.FLOOR.values()])) * d).sum(1)
+            core = x[np.argsort(d2, kind="stable")[:h]]
+        best = min(best, _logdet(core))
+    return best
+
+
+def test_cores_have_the_least_determinant(spark):
+    rng = np.random.default_rng(12)
+    groups = {}
+    for n in (12, 15, 20, 33, 60):
+        x = rng.normal(size=(n, 4)) * [0.8, 0.2, 0.1, 0.3] + rng.normal(size=4)
+        x[: n // 6] += [4, 1, 0.8, 1.5]
+        groups[f"g{n}"] = x
+    frame = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "grp string, x0 double, x1 double, x2 double, x3 double").repartition(3)
+    out = {r["grp"]: r for r in rows(rules.core_moments(frame))}
+    for g, x in groups.items():
+        assert out[g]["n"] == math.ceil(len(x) * rules.CORE)
+        assert out[g]["logdet"] <= _least_logdet(x, rng) + 0.05  # two starts against 300
+    assert {r["grp"] for r in rows(rules.core_moments(frame, few=False))} == set(groups)
+
+
+def test_groups_of_any_size_are_judged_by_their_own_source(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(3, 8))) for _ in range(3000)]
+    texts, n = [], 0
+    for lang, source, count, mark in (("en", "plain", 400, ""), ("de", "symbols", 60, "#$"), ("en", "lone", 1, ""), ("en", "few", 5, "")):
+        for _ in range(count):
+            texts.append((n, " ".join(w + mark for w in rng.choice(words, 60)), lang, source, mark))
+            n += 1
+    strange = [(n, " ".join(w + "#$%" for w in rng.choice(words, 60)), "en", "plain", ""), (n + 1, " ".join(w + "#$%" for w in rng.choice(words, 60)), "en", "few", "")]
+    ties = [(n + 2 + i, " ".join(words[:40]), "en", "same", "") for i in range(30)] + [(n + 40, "one two three four five six seven eight nine ten eleven", None, None, "")]
+    frame = spark.createDataFrame(texts + strange + ties, "doc_id long, text string, lang string, source string, grp string").repartition(4)
+    out = {r["doc_id"]: r for r in rows(rules.apply_rules(frame))}
+    assert len(out) == n + 2 + 31
+    assert all(out[i]["kept"] for i, *_ in texts) and not out[n]["kept"] and not out[n + 1]["kept"]
+    assert len({(out[i]["kept"], out[i]["distance"]) for i, *_ in ties[:30]}) == 1 and out[n + 2]["kept"] and out[n + 40]["kept"]
+
+
 def test_token_counts(docs, empty):
     vocabulary = set(token_counts.read_vocabulary(token_counts.default_vocabulary()))
 
