@@ -84,15 +84,18 @@ def keep_rows(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str
     """docs without the rows whose `row_key` is in `marked` (row, stays) with stays false;
     of rows that share a key with stays true, one remains. `marked` lists every row that
     is dropped or repeats; rows with other keys aren't touched. Columns unchanged."""
-    once = marked.groupBy(F.col("row").alias("__row")).agg(F.max("stays").alias("__stays"))
-    joined = docs.withColumn("__row", row_key(F.col(key), F.col(text))).join(once, "__row", "left")
+    once = marked.groupBy("row").agg(F.max("stays").alias("stays"))
+    joined = whole(docs, row_key(F.col(key), F.col(text)).alias("row")).join(once, "row", "left")
+    others = joined.where("stays IS NULL")
     if not marked.where("stays").isEmpty():
         # The join has dealt rows by their key already, so equal ones are together.
-        repeated = joined.where("__stays").dropDuplicates(["__row"])
-        joined = joined.where("__stays IS NULL").unionByName(repeated)
-    else:
-        joined = joined.where("__stays IS NULL")
-    return joined.select(*docs.columns)
+        others = others.unionByName(joined.where("stays").dropDuplicates(["row"]))
+    return others.select("doc.*")
+
+
+def whole(docs: DataFrame, *more: Column) -> DataFrame:
+    """All columns of docs as one, `doc`, beside others, so no name can clash."""
+    return docs.select(F.struct("*").alias("doc"), *more)
 
 
 def one_row_each(members: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import SEPARATORS, durable, join_small, table
+from tagweave.llm.common import SEPARATORS, durable, join_small, table, whole
 from tagweave.llm.components import connected_components
 
 LEADING = 3
@@ -261,19 +261,20 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
-    """docs with cleaned texts, and n_lines and n_dropped; other columns unchanged."""
+    """docs with cleaned texts, and n_lines and n_dropped, which replace columns of these
+    names; other columns unchanged."""
     placed = _named(docs).select("doc", F.xxhash64("text").alias("digest"), "text").mapInArrow(_places, "doc long, digest long, pos int, line long")
-    gone = placed.join(recurring_lines(docs), "line").where("doc <> keep").groupBy("doc", "digest").agg(F.collect_set("pos").alias("__gone"))
-    named = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__digest": F.xxhash64(F.col("text").cast("string"))})
-    renamed = gone.select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), "__gone")
-    joined = named.join(renamed, ["__doc", "__digest"], "left")
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    return joined.withColumns({
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long"),
-        "n_dropped": F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long"),
-        "text": F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept),
-    }).drop("__doc", "__digest", "__gone")
+    gone = placed.join(recurring_lines(docs), "line").where("doc <> keep").groupBy("doc", "digest").agg(F.collect_set("pos").alias("gone"))
+    named = whole(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
+    joined = named.join(gone.withColumnRenamed("doc", "id"), ["id", "digest"], "left")
+    parts = F.split("doc.text", "\n")
+    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    cleaned = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(kept).alias("text")
+    return joined.select(
+        *(cleaned if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),
+        F.when(F.col("doc.text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

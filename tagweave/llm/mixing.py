@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import durable, join_small, table, text_of
+from tagweave.llm.common import durable, join_small, table, text_of, whole
 
 #: Most epochs of any source in the standard mix.
 REPEAT_LIMIT = 2.0
@@ -93,10 +93,10 @@ def mix_plan(counted: DataFrame, target_entropy: float | None = None, repeat_lim
     )
 
 
-def _draw(epoch: Column, base: str = "base") -> Column:
+def _draw(epoch: Column) -> Column:
     """A row's place in [0, 1) in one epoch's permutation; rows are known by `base`, a
     hash of id and text."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), epoch, F.col(base)), 11) / F.lit(float(1 << 53))
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), epoch, F.col("base")), 11) / F.lit(float(1 << 53))
 
 
 def _counted(docs: DataFrame, tokens: Column | None) -> DataFrame:
@@ -158,11 +158,11 @@ def mixed_documents(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT,
     # One row per source, from the draws of the last epoch.
     bounds = laid_out(counted, plan).where("epoch = epochs").groupBy("source").agg(F.max("draw").alias("bound"))
     joined = plan.join(bounds.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
-        "source", F.col("epochs").alias("__epochs"), F.coalesce("bound", F.lit(-1.0)).alias("__bound"))
-    based = docs.withColumn("__base", F.xxhash64("doc_id", "text"))
-    with_plan = _sources_equal(based, durable(joined.withColumnRenamed("source", "__source")), "__source")
-    copies = F.col("__epochs") + (_draw(F.col("__epochs"), "__base") <= F.col("__bound")).cast("int")
-    return with_plan.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+        "source", "epochs", F.coalesce("bound", F.lit(-1.0)).alias("bound"))
+    based = whole(docs, F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "text").alias("base"))
+    with_plan = _sources_equal(based, durable(joined.withColumnRenamed("source", "planned")), "planned")
+    copies = F.col("epochs") + (_draw(F.col("epochs")) <= F.col("bound")).cast("int")
+    return with_plan.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

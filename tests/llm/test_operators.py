@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tagweave.llm import exact_dedup, gbdt, line_dedup, mixing, packing, quality, registry, rules, sharding, simhash, token_counts, url_filter
+from tagweave.llm import exact_dedup, gbdt, line_dedup, mixing, near_copies, packing, quality, registry, rules, sharding, simhash, token_counts, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LONG = " ".join(f"w{i % 97}x{i}" for i in range(30_000))
@@ -211,6 +211,39 @@ def test_near_duplicates(docs, empty):
     assert {r.doc_id for r in kept.collect()} >= {1, 3, 7, 9}
 
 
+REPEATED = [
+    (1, "one text that has a few more words in it", "en", "a", 1),
+    (2, "one text that has a few more words in it", "en", "a", 1),
+    (2, "an altogether different story about ships and the sea", "en", "b", 2),
+    (7, "a third one with nothing like it anywhere near", "en", "a", 3),
+    (7, "a third one with nothing like it anywhere near", "en", "a", 3),
+    (None, "one text that has a few more words in it", "en", "c", 4),
+    (None, "a text without an id and without any copy here", "en", "c", 5),
+    (5, None, "en", "a", 6),
+    (5, "", "en", "a", 6),
+    (None, "   ", "en", "a", 6),
+]
+ONCE = [(1, "one"), (2, "an "), (7, "a t"), (None, "a t"), (5, "")]
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_near_duplicates, near_copies.drop_near_copies])
+def test_near_copies_go_by_row(spark, empty, drop):
+    clash = {c: simhash.F.lit("x") for c in ("row", "stays", "fp", "grp", "root", "node", "digest", "n", "filed", "component_id", "best", "first")}
+    frame = spark.createDataFrame(REPEATED, SCHEMA).withColumns(clash).repartition(3)
+    out = drop(frame)
+    assert out.columns == frame.columns
+    assert sorted(map(repr, ((r.doc_id, (r.text or "")[:3].strip(" ") if not (r.text or "").strip() else r.text[:3]) for r in out.collect()))) == sorted(map(repr, ONCE))
+    assert drop(empty).count() == 0
+
+
+def test_exact_duplicates_go_by_row(spark):
+    frame = spark.createDataFrame(REPEATED, SCHEMA).withColumns({c: simhash.F.lit("x") for c in ("row", "kept", "nth", "keep_id", "best", "group_size")}).repartition(3)
+    out = exact_dedup.drop_duplicates(frame)
+    expect = [(2, "one"), (2, "an "), (7, "a t"), (None, "a t"), (5, ""), (None, "   ")]
+    assert out.columns == frame.columns
+    assert sorted(repr((r.doc_id, (r.text or "")[:3])) for r in out.collect()) == sorted(map(repr, expect))
+
+
 def brute_rules(text):
     words = WORD.findall(text or "")
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
@@ -328,6 +361,39 @@ def test_sharding(docs, empty):
     assert rows(sharding.shards(empty)) == []
 
 
+def _jump(key, shards):
+    """The published loop."""
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) % (1 << 64)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def test_jump_hash_brute():
+    keys = np.random.default_rng(2).integers(0, 2**64, 3000, dtype=np.uint64)
+    for n in (1, 2, 40, 41):
+        assert sharding.jump_hash(keys, n).tolist() == [_jump(int(k), n) for k in keys]
+
+
+def test_equal_rows_fill_no_bucket(spark, monkeypatch):
+    """A third of all rows equal in id and text: their shard's buckets stay even."""
+    frame = spark.range(9000).selectExpr("CASE WHEN id % 3 = 0 THEN 5 ELSE id END AS doc_id", "CASE WHEN id % 3 = 0 THEN repeat('hot ', 20) ELSE concat('row ', id, repeat(' x', 38)) END AS text").repartition(6)
+    for bound in (20_000, 0):
+        monkeypatch.setattr(sharding, "BROADCAST_ROWS", bound)
+        out = rows(sharding.shards(frame, 4, bucket_bytes=10_000))
+        assert len(out) == 9000 and sum(r["text"] == "hot " * 20 for r in out) == 3000
+        size = {}
+        for r in out:
+            size.setdefault((r["shard"], r["bucket"]), []).append(r)
+        shard = next(r["shard"] for r in out if r["doc_id"] == 5)
+        counts = [sum(r["doc_id"] == 5 for r in x) for (s, _), x in size.items() if s == shard]
+        assert len({r["shard"] for r in out if r["doc_id"] == 5}) == 1 and len(counts) > 10 and max(counts) < 2 * 3000 / len(counts)
+        for s in range(4):
+            assert sorted(r["slot"] for r in out if r["shard"] == s) == list(range(sum(r["shard"] == s for r in out)))
+
+
 def test_jump_hash_moves_only_to_new_shards():
     keys = np.random.default_rng(1).integers(0, 2**63, 20_000, dtype=np.uint64)
     a, b = sharding.jump_hash(keys, 40), sharding.jump_hash(keys, 41)
@@ -344,6 +410,68 @@ def test_line_dedup(docs, empty):
     assert rows(line_dedup.drop_recurring_lines(empty)) == []
 
 
+def brute_lines(table):
+    """Texts after dropping lines of templates that two documents have, comparing a line
+    with every template of its leaf."""
+    leaves, last = {}, max(i for i, _ in table) + 1
+    for i, text in table:
+        for raw in text.split("\n"):
+            masked = " ".join("<*>" if any(c in "0123456789" for c in t) else t for t in raw.strip(" \t\n\x0b\x0c\r").split(" "))
+            tokens = masked.split(" ")
+            if masked and len(tokens) >= line_dedup.LEAST_TOKENS:
+                docs = leaves.setdefault((len(tokens), *tokens[:3]), {}).setdefault(masked, [last, -1])
+                docs[0], docs[1] = min(docs[0], i), max(docs[1], i)
+    keep = {}
+    for leaf in leaves.values():
+        templates = []
+        for masked in sorted(leaf, key=lambda x: (leaf[x][0], x)):
+            tokens = masked.split(" ")
+            same = [sum(a == b for a, b in zip(t[0], tokens, strict=True)) / len(tokens) for t in templates]
+            at = max(range(len(same)), key=lambda k: (same[k], -k), default=None)
+            if at is not None and same[at] >= 0.8:
+                templates[at][0] = [a if a == b else None for a, b in zip(templates[at][0], tokens, strict=True)]
+                templates[at][1].append(masked)
+            else:
+                templates.append([tokens, [masked]])
+        for _, lines in templates:
+            first, latest = min(leaf[x][0] for x in lines), max(leaf[x][1] for x in lines)
+            if first != latest:
+                keep.update(dict.fromkeys(lines, first))
+    out = []
+    for i, text in table:
+        kept = []
+        for raw in text.split("\n"):
+            masked = " ".join("<*>" if any(c in "0123456789" for c in t) else t for t in raw.strip(" \t\n\x0b\x0c\r").split(" "))
+            if keep.get(masked, i) == i:
+                kept.append(raw)
+        out.append((i, "\n".join(kept), len(text.split("\n")) - len(kept)))
+    return sorted(out)
+
+
+def test_line_dedup_brute(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    vocabulary = [*"abcdef", "x1", "22", "a7b"]
+    table = []
+    for i in range(120):
+        lines = [" ".join(rng.choice(vocabulary, int(rng.integers(0, 12)))) for _ in range(int(rng.integers(0, 8)))]
+        lines += [f"page {i} of the long and winding report {rng.choice(list('stuv'))}", "\tall rights are reserved by us\r"][: int(rng.integers(0, 3))]
+        table.append((i, "\n".join(lines)))
+    frame = spark.createDataFrame(table, "doc_id long, text string").repartition(4)
+    for bound, held in ((50_000, 100_000), (3, 5)):
+        monkeypatch.setattr(line_dedup, "LEAF_LINES", bound)
+        monkeypatch.setattr(line_dedup, "HELD_LINES", held)
+        assert sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in rows(line_dedup.drop_recurring_lines(frame))) == brute_lines(table)
+
+
+def test_repeats_of_another_line_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAF_LINES", 50)
+    variants = [(i, f"user ann has {x} in from the office today") for i, x in enumerate(["logged", "walked", "run"])]
+    crowd = [(100 + i, "user ann has nothing whatever to do with other people") for i in range(500)]
+    frame = spark.createDataFrame(variants + crowd, "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r["n_dropped"] for r in rows(line_dedup.drop_recurring_lines(frame))}
+    assert [out[i] for i in range(3)] == [0, 1, 1] and sum(out.values()) == 2 + 499
+
+
 def test_templates_generalise():
     lines = [(0, "user alice logged in from the office today"), (1, "user alice logged in from the garden today"), (2, "quite another line with many other words")]
     assert line_dedup.group_leaf(lines) == [0, 0, 1]
@@ -413,6 +541,45 @@ def test_mixing_meets_targets(spark):
     assert copies == times
 
 
+def test_mixing_brute(spark):
+    """Weights by bisection; every source's rows by a plain walk through its draws."""
+    rng = np.random.default_rng(7)
+    data = [(i, " ".join(["tok"] * int(rng.integers(0, 40))), str(rng.choice(["a", "b", "c", "d", "e"], p=[0.5, 0.3, 0.1, 0.07, 0.03]))) for i in range(800)]
+    frame = spark.createDataFrame([(*d, 7, 0.5, "p") for d in data], "doc_id long, text string, source string, base int, draw double, __copy string").repartition(5)
+    total = {}
+    for _, text, source in data:
+        total[source] = total.get(source, 0) + len(text.split())
+    all_tokens = sum(total.values())
+    for limit, entropy in ((2.0, None), (1.2, None), (None, 1.45)):
+        low, high = 0.0, 1.0
+        for _ in range(60):
+            a = (low + high) / 2
+            z = sum((t / all_tokens) ** a for t in total.values())
+            w = {s: (t / all_tokens) ** a / z for s, t in total.items()}
+            times = [w[s] / total[s] for s in w]
+            met = -sum(x * math.log(x) for x in w.values()) <= entropy if entropy else max(times) / min(times) <= limit
+            low, high = (low, a) if met else (a, high)
+        budget = max(total[s] / w[s] for s in w)
+        out = rows(mixing.mix(frame, repeat_limit=limit, target_entropy=entropy))
+        for s in total:
+            mine = [r for r in out if r["source"] == s]
+            assert abs(mine[0]["weight"] - w[s]) < 1e-5
+            # Whole epochs have all its rows; the last one stops where the budget is met.
+            n, epochs = sum(d[2] == s for d in data), int(w[s] * budget / total[s] + 1e-6)
+            assert all(sum(r["epoch"] == e for r in mine) == n for e in range(epochs))
+            rest = [r for r in mine if r["epoch"] == epochs]
+            part = w[s] * budget - epochs * total[s]
+            assert part - 1 <= sum(r["tokens"] for r in rest) <= part + 40 or (part < 0.5 and not rest)
+        copies = {}
+        for r in out:
+            copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+        whole = rows(mixing.mixed_documents(frame, repeat_limit=limit, target_entropy=entropy))
+        found = {}
+        for r in whole:
+            found[r["doc_id"]] = found.get(r["doc_id"], 0) + 1
+        assert found == copies and {(r["base"], r["draw"], r["__copy"]) for r in whole} == {(7, 0.5, "p")}
+
+
 def test_quality_classifier(spark, docs, empty):
     rng = np.random.default_rng(0)
     make = lambda k, good: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"], 40)) if good else " | ".join(rng.choice(["x#", "y$", "z&"], 40))
@@ -428,6 +595,47 @@ def test_quality_classifier(spark, docs, empty):
     assert kept.columns == frame.columns and 100 < kept.count() < 200
 
 
+def test_scores_by_walking_every_tree():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 6))
+    trees = gbdt.fit(x, (x[:, 2] * x[:, 3] > 0).astype(float), rounds=20)
+
+    def walk(row):
+        total = trees.bias
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        return 1 / (1 + math.exp(-total))
+
+    assert np.allclose(trees.score(x), [walk(r) for r in x])
+
+
+def test_statistics_brute():
+    for _, text, *_ in DOCS:
+        found = dict(zip(quality.STATISTICS, quality.statistics(text), strict=True))
+        raw = (text or "").encode()
+        words, lines = raw.split(), [x for x in raw.split(b"\n") if x.strip()]
+        n, m, size = max(1, len(words)), max(1, len(lines)), max(1, len(raw))
+        assert found["log_words"] == math.log1p(len(words)) and found["word_length"] == sum(map(len, words)) / n
+        assert math.isclose(found["digit"], sum(48 <= b < 58 for b in raw) / size) and math.isclose(found["beyond_ascii"], sum(b > 127 for b in raw) / size)
+        assert found["distinct_words"] == len(set(words)) / n and found["distinct_lines"] == len(set(lines)) / m
+        assert found["one_letter"] == sum(len(w) == 1 for w in words) / n and found["words_a_line"] == len(words) / m
+        shares = [raw.count(b) / size for b in set(raw)]
+        assert math.isclose(found["byte_entropy"], -sum(p * math.log2(p) for p in shares), abs_tol=1e-9)
+
+
+def test_repeated_ids_train_the_same_trees(spark):
+    data = [(i % 60, ("good words here " if i % 2 else "$$ || ## ") * (1 + i % 7)) for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    found = set()
+    for k in (1, 3, 7):
+        frame = spark.createDataFrame(data[::-1] if k == 3 else data, "doc_id long, text string").repartition(k)
+        found.add(tuple(sorted((r["doc_id"], r["score"]) for r in rows(quality.score_quality(frame, labels)))))
+    assert len(found) == 1
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -491,5 +699,31 @@ def test_differencing_balances():
     assert packing.windows(np.zeros(0, np.int64)).tolist() == []
 
 
-def test_queries_run(spark):
+DIR = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", registry.QUERIES)
+def test_queries_run(spark, duck, name):
+    """Every entry point on the small tables: its columns, one row a document where it
+    says so, and its SQL's rows where it has SQL."""
+    out = registry.QUERIES[name](spark, DIR).toPandas()
+    columns = {
+        "op1": "page_id host path rule verdict", "op2": "doc_id fingerprint component_id", "op3": "doc_id keep_id group_size kept text_sha256",
+        "op4": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op5": "doc_id", "op6": "doc_id n_words n_tokens",
+        "op7": "doc_id size text_crc32 law shard slot grown_shard", "op8": "doc_id text", "op9": "doc_id held_out score predicted",
+        "op10": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    }
+    number = name.partition("_")[0]
+    assert set(columns[number].split()) <= set(out.columns)
+    docs = duck.execute("SELECT doc_id FROM documents ORDER BY 1").df()["doc_id"].tolist()
+    if number in ("op2", "op3", "op4", "op6", "op7", "op8", "op9"):
+        assert sorted(out["doc_id"].tolist()) == docs
+    elif number in ("op5", "op10"):
+        assert sorted(set(out["doc_id"].tolist())) == docs
+    if name in registry.ORACLE_SQL:
+        expect = duck.execute(registry.ORACLE_SQL[name]).df()
+        assert sorted(map(repr, out[expect.columns].itertuples(index=False, name=None))) == sorted(map(repr, expect.itertuples(index=False, name=None)))
+
+
+def test_registry_has_each_operator_once():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES) == list(range(1, 11))
