@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 #: The six ASCII separators; every other character belongs to a word.
 SEPARATORS = " \t\n\x0b\x0c\r"
-SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
+SEPARATOR = r"[\x20\x09-\x0D]"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +41,6 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    """Maximal runs of non-separators of a non-null text, as an array."""
-    trimmed = F.btrim(text, F.lit(SEPARATORS))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
-        F.split(trimmed, SEPARATOR_RUN)
-    )
-
-
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether a table has at most so many rows; reads no more than it needs to tell."""
     return df.limit(rows + 1).count() <= rows

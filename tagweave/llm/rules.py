@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.partitions import spread
-from tagweave.llm.common import SEPARATORS, durable, table, text_of, words_of
+from tagweave.llm.common import SEPARATOR, durable, table, text_of
 
 WINDOW = 5
 LEAST_WORDS = 10
@@ -61,7 +61,10 @@ UNDEFINED = 2 * D
 
 def base_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    step = spread(docs.select(*keep, text_of(text).alias("__text"))).withColumn("__words", words_of(F.col("__text")))
+    step = spread(docs.select(*keep, text_of(text).alias("__text"))).withColumn("__parts", F.split("__text", SEPARATOR))
+    # One cut at every separator gives the words and, by the number of parts, the separators.
+    separators = F.size("__parts") - 1
+    step = step.select(*keep, "__text", F.array_remove("__parts", "").alias("__words"), (F.length("__text") - separators).cast("long").alias("word_chars"))
     step = step.withColumn("n_words", F.size("__words").cast("long"))
     windows = F.transform(
         F.sequence(F.lit(0), F.col("n_words").cast("int") - WINDOW),
@@ -73,7 +76,7 @@ def base_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     measured = step.select(
         *keep,
         "n_words",
-        F.length(F.translate("__text", SEPARATORS, "")).cast("long").alias("word_chars"),
+        "word_chars",
         F.regexp_count("__text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         "__windows",
