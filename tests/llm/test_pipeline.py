@@ -73,3 +73,107 @@ def test_near_copies_are_all_found(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in near_copies.near_copies(frame).collect()}
     assert got == {i: top(i) for i in range(len(texts))}
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, DIR).collect()} == {top(i) for i in range(len(texts))}
+
+
+def test_a_run_goes_on_where_it_failed(spark, monkeypatch):
+    calls = []
+
+    def counted(k, stage):
+        def run(spark, docs, sf_dir):
+            calls.append(k)
+            if k == 2 and calls.count(2) == 1:
+                raise RuntimeError("lost")
+            return docs.limit(40) if k < 4 else docs.select("doc_id")
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(k, s)) for k, (n, s) in enumerate(corpus_pipeline.STAGES)])
+    name = "test-run"
+    try:
+        corpus_pipeline.run(spark, DIR, name)
+    except RuntimeError:
+        pass
+    assert corpus_pipeline.run(spark, DIR, name).count() == 40
+    assert calls == [0, 1, 2, 2, 3, 4]
+    files, path = corpus_pipeline._path(spark, f"{spark.conf.get('spark.checkpoint.dir')}/pipeline-{name}")
+    assert [f.getPath().getName() for f in files.listStatus(path)] == ["4"]
+
+
+def _brute(documents):
+    """Line and near-copy dedup by plain code: the texts left, and the ids kept of them."""
+    from test_operators import brute_lines
+
+    table = sorted((d.doc_id, d.text or "") for d in documents)
+    cleaned = {i: (t, n) for i, t, n in brute_lines(table)}
+    alive = {i: t for i, (t, n) in cleaned.items() if not (n and not t.strip(" \t\n\x0b\x0c\r"))}
+
+    def cut(text):
+        t = text.translate({c: c + 32 for c in range(65, 91)}).encode().split()
+        return {tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set()
+
+    sets = {i: cut(t) for i, t in alive.items()}
+    parent = {i: i for i in sets}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if 5 * small >= 4 * large and (sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])):
+                a, b = sorted((top(i), top(j)))
+                parent[b] = a
+    return alive, {i for i in ids if top(i) == i}
+
+
+def test_stages_against_plain_code(spark, tmp_path):
+    from tagweave.llm import quality
+    from tagweave.llm.common import table
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    scored = {r.doc_id: r.score for r in quality.score_quality(docs, table(spark, DIR, "labels")).collect()}
+    read = {}
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, DIR).write.parquet(f"{tmp_path}/{k}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{k}")
+        read[k] = docs.collect()
+        if k == 0:
+            assert {r.doc_id for r in read[0]} == {i for i, x in scored.items() if x >= 0.7}
+            alive, kept = _brute(read[0])
+        elif k == 1:
+            assert {r.doc_id: r.text or "" for r in read[1]} == alive
+            assert all(r.n_chars == len(r.text) for r in read[1] if r.text is not None and r.n_chars != before.where(F.col("doc_id") == r.doc_id).first().n_chars)
+        elif k == 2:
+            assert {r.doc_id for r in read[2]} == kept
+            assert {r for r in read[2]} <= {r for r in read[1]}
+        elif k == 3:
+            assert {r for r in read[3]} == {r for r in read[2]}
+            times = [sum(r == x for r in read[3]) for x in read[2]]
+            assert min(times) == 1 and max(times) <= 2
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = sorted((r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids) + 1) for r in read[3])
+    assert sorted((r.doc_id, r.doc_tokens) for r in read[4] if r.start == 0) == tokens
+    assert sum(r.length for r in read[4]) == sum(n for _, n in tokens)
+
+
+def test_odd_rows_pass_through(spark, tmp_path):
+    rows = [
+        (None, None, None, None, None, "x", 1), (1, "", "en", "a", 0, "y", 2), (1, None, "en", None, 0, "z", 3), (2, "A plain sentence that says a few things about the weather today.", "en", "a", 60, "x", 4),
+        (2, "A plain sentence that says a few things about the weather today.", "en", "a", 60, "x", 4), (3, " ".join(f"word{i % 977} and{i}" for i in range(20_000)), "en", "b", 1, None, 5), (4, " " * 50_000, "de", "b", 1, "q", 6),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string, doc int").repartition(3)
+    columns = docs.columns
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, DIR)
+        out.write.parquet(f"{tmp_path}/{k}")
+        if name != "packing":
+            assert out.columns == columns
+        if k:  # the classifier may reject any of these rows; the others get them all
+            docs = spark.read.parquet(f"{tmp_path}/{k}")
+    assert docs.count() > 0
