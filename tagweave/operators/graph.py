@@ -68,30 +68,43 @@ def shortest_path(edges: DataFrame, start: str, end: str, depth: int = 10) -> Da
     return hit
 
 
-def simple_paths(edges: DataFrame, start: str, end: str, depth: int, avoid: Sequence[str] = ()) -> DataFrame:
-    """All simple paths; what must be avoided never enters the search."""
+def simple_paths(edges: DataFrame, start: str, end: str, depth: int, avoid: Sequence[str] = (), through: Sequence[str] | None = None) -> DataFrame:
+    """(path, length) of simple paths; what must be avoided never enters the search.
+
+    With `through`, the search ends at the first length at which a path has all of these
+    nodes, and gives the paths of that length. A path is only followed while the end can
+    still be reached in the steps that are left."""
     spark = edges.sparkSession
     hops = edges.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b")).distinct()
     if avoid:
         hops = hops.where(~F.col("b").isin(*map(str, avoid)))
     hops = durable(hops)
+    goal = spark.range(1).select(F.lit(str(end)).alias("id"))
+    near = reach(hops.select(F.col("a").alias("src"), F.col("b").alias("dst")), goal, depth, reverse=True).where(F.col("id") != str(end))
+    left = durable(near.unionByName(goal.withColumn("depth", F.lit(0))).withColumnRenamed("id", "b"))
+    leading = durable(hops.join(left, "b"))
     frontier = spark.range(1).select(F.lit(str(start)).alias("a"), F.array(F.lit(str(start))).alias("path"))
     found = None
-    for _ in range(depth):
-        step = hops.join(frontier, "a").where(~F.array_contains("path", F.col("b")))
+    for level in range(1, depth + 1):
+        step = leading.where(F.col("depth") <= depth - level).join(frontier, "a").where(~F.array_contains("path", F.col("b")))
         grown = durable(step.select(F.col("b").alias("a"), F.array_append("path", F.col("b")).alias("path")))
         hit = grown.where(F.col("a") == str(end)).select("path", (F.size("path") - 1).alias("length"))
+        if through is not None:
+            for node in through:
+                hit = hit.where(F.array_contains("path", str(node)))
+            if not hit.isEmpty():
+                return hit
         found = hit if found is None else found.unionByName(hit)
         frontier = grown.where(F.col("a") != str(end))
+        if frontier.isEmpty():
+            break
     return found
 
 
 def constrained_path(edges: DataFrame, start: str, end: str, must_pass: Sequence[str] = (), must_avoid: Sequence[str] = (), depth: int = 15) -> DataFrame:
-    """The shortest simple path through every node of must_pass and none of must_avoid."""
-    found = simple_paths(edges, start, end, depth, must_avoid)
-    for node in must_pass:
-        found = found.where(F.array_contains("path", str(node)))
-    return found.orderBy("length", "path").limit(1)
+    """The shortest simple path through every node of must_pass and none of must_avoid; of
+    equal ones the smallest."""
+    return simple_paths(edges, start, end, depth, must_avoid, must_pass).orderBy("length", "path").limit(1)
 
 
 def cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
@@ -104,6 +117,8 @@ def cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
         found = closed if found is None else found.unionByName(closed)
         open_ = frontier.where("a > first").where(~F.array_contains("path", F.col("a")))
         frontier = durable(open_.withColumn("path", F.array_append("path", F.col("a"))).join(hops, "a").select("first", F.col("b").alias("a"), "path"))
+        if frontier.isEmpty():
+            break
     return found
 
 
@@ -236,6 +251,54 @@ def subgraph(nodes: DataFrame, edges: DataFrame, start: DataFrame, hops: int) ->
     return nodes.join(near, "id", "left_semi"), kept
 
 
+def call_subgraph(edges: DataFrame, start: DataFrame, depth: int = 5, reverse: bool = False, most: int | None = None) -> DataFrame:
+    """(src, dst, depth): the calls that lead away from start (to it, if reverse), each at
+    the least number of steps it ends; with `most`, so many, nearest first."""
+    near, far = ("dst", "src") if reverse else ("src", "dst")
+    calls = of_kind(edges, "calls").select("src", "dst").distinct()
+    inner = reach(calls, start, depth - 1, reverse) if depth > 1 else start.select("id", F.lit(0).alias("depth")).limit(0)
+    seen = inner.join(start.select("id"), "id", "left_anti").unionByName(start.select("id", F.lit(0).alias("depth")))
+    found = calls.join(seen.withColumnRenamed("id", near), near).select("src", "dst", (F.col("depth") + 1).alias("depth"))
+    return found if most is None else found.orderBy("depth", near, far).limit(most)
+
+
+def project_subgraph(nodes: DataFrame, edges: DataFrame, project: Column, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes of a project (the first `most` by id), and the edges between them."""
+    own = nodes.where(project)
+    own = own if most is None else own.orderBy("id").limit(most)
+    ids = durable(own.select("id"))
+    kept = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return own, kept
+
+
+def call_lists(edges: DataFrame, start: DataFrame, depth: int = 1) -> DataFrame:
+    """(id, calls, called_by): for start and what it reaches in fewer than depth steps, the
+    sorted names of what each calls and is called by."""
+    calls = of_kind(edges, "calls").select("src", "dst").distinct()
+    ids = start.select("id")
+    if depth > 1:
+        ids = ids.unionByName(reach(calls, start, depth - 1).select("id")).distinct()
+    ids = durable(ids)
+    out = calls.join(ids.withColumnRenamed("id", "src"), "src").groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_list("dst")).alias("calls"))
+    into = calls.join(ids.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_list("src")).alias("called_by"))
+    return ids.join(out, "id", "left").join(into, "id", "left")
+
+
+def node_id(file: Column, qualified: Column, line: Column) -> Column:
+    """An id that stays the same as long as file, qualified name and line do."""
+    return F.substring(F.sha2(F.concat_ws(":", file, qualified, line.cast("string")), 256), 1, 32)
+
+
+def build_graph(functions: DataFrame, most: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, unresolved) from functions (file, qualified, line, source): ids that
+    don't change between builds, and an edge for every call that one node answers to."""
+    named = functions.withColumn("id", node_id(F.col("file"), F.col("qualified"), F.col("line")))
+    nodes = named.select("id", F.element_at(F.split("qualified", r"\."), -1).alias("name"), "qualified", "file", "line", F.lit("function").alias("kind"))
+    refs = named.select(F.col("id").alias("src"), F.explode(extract_calls(F.col("source"))).alias("name"))
+    edges, unresolved = resolve_references(refs, nodes, most)
+    return nodes, edges, unresolved
+
+
 def find_nodes(nodes: DataFrame, text: str, column: str = "name") -> DataFrame:
     """Nodes whose name contains the text, whatever its case."""
     return nodes.where(F.contains(F.lower(column), F.lit(text.lower())))
@@ -260,10 +323,28 @@ def resolve_references(refs: DataFrame, nodes: DataFrame, most: int = 5) -> tupl
     return edges, found.where("dst IS NULL").select("src", "name", "candidates")
 
 
+#: Words before a parenthesis that call nothing.
+KEYWORDS = ("if", "for", "while", "switch", "return", "catch")
+
+
 def extract_calls(source: Column) -> Column:
     """Distinct names that are called in a source text, keywords left out."""
     names = F.regexp_extract_all(source, F.lit(r"\b([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
-    return F.array_except(names, F.array(*(F.lit(w) for w in ("if", "for", "while", "switch", "return", "catch"))))
+    return F.array_except(names, F.array(*(F.lit(w) for w in KEYWORDS)))
+
+
+def extract_usages(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, name, receiver, form): every call of a text, line by line; form is call,
+    method (behind a receiver and a dot) or reference (a name given to a collection
+    function). Lines count from 1."""
+    lines = df.select(key, F.posexplode(F.split(text, "\n")).alias("at", "__line"))
+    calls = lines.select(key, (F.col("at") + 1).alias("line"), F.explode(F.regexp_extract_all("__line", F.lit(r"(?:\w+\.)?\w+\s*\("), F.lit(0))).alias("__call"))
+    receiver = F.regexp_extract("__call", r"^(\w+)\.", 1)
+    name = F.regexp_extract("__call", r"(\w+)\s*\($", 1)
+    shown = calls.select(key, "line", name.alias("name"), F.nullif(receiver, F.lit("")).alias("receiver"), F.when(receiver != "", "method").otherwise("call").alias("form"))
+    given = F.regexp_extract_all("__line", F.lit(r"(?:map|filter|find|findAll|each|fold|reduce|sort|sortr)\s*\(\s*(\w+)\s*\)"), F.lit(1))
+    references = lines.select(key, (F.col("at") + 1).alias("line"), F.explode(given).alias("name"), F.lit(None).cast("string").alias("receiver"), F.lit("reference").alias("form"))
+    return shown.unionByName(references).where(~F.col("name").isin(*KEYWORDS))
 
 
 def export(nodes: DataFrame, edges: DataFrame, form: str) -> DataFrame:

@@ -105,12 +105,14 @@ class GraphQuery:
 
     def run(self, nodes: DataFrame, edges: DataFrame) -> DataFrame:
         if self.action == "path":
-            named = nodes.where(F.col("name").isin(self.start, self.end) | F.col("id").cast("string").isin(self.start, self.end))
-            ids = {}
-            for row in named.select("id", "name").orderBy("id").limit(100).collect():  # two names
-                for key in (str(row["id"]), row["name"]):
-                    ids.setdefault(key, str(row["id"]))
-            return graph.shortest_path(edges, ids.get(self.start, self.start), ids.get(self.end, self.end), self.depth)
+            own = F.col("id").cast("string")
+
+            def one(text: str) -> Column:
+                """The node of this id, else the smallest of this name."""
+                return F.coalesce(F.min(F.when(own == text, own)), F.min(F.when(F.col("name") == text, F.col("id"))).cast("string"), F.lit(text))
+
+            start, end = nodes.agg(one(self.start).alias("a"), one(self.end).alias("b")).first()
+            return graph.shortest_path(edges, start, end, self.depth)
         found = self.matched(nodes)
         if self.action == "count":
             return found.agg(F.count("*").alias("n"))

@@ -27,21 +27,22 @@ def index_statistics(index: DataFrame) -> DataFrame:
     return per.agg(F.count("*").alias("tokens"), F.sum("n").alias("postings"), F.round(F.avg("n"), 4).alias("avg_postings"), F.max("n").alias("most"))
 
 
-def _hits(index: DataFrame, term: str) -> DataFrame:
-    """Ids of the exact token, or of tokens that start with it where no token is equal."""
-    starts = index.where(F.col("token").startswith(term))
-    exact = F.max((F.col("token") == term).cast("int"))
-    has = index.where(F.col("token") == term).agg(F.coalesce(exact, F.lit(0)).alias("has"))
-    return starts.crossJoin(F.broadcast(has)).where((F.col("has") == 0) | (F.col("token") == term)).select("id").distinct()
-
-
 def search_all(index: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Ids that every term hits."""
-    hits = None
-    for term in terms:
-        found = _hits(index, term.lower()).withColumn("term", F.lit(term))
-        hits = found if hits is None else hits.unionByName(found)
-    return hits.groupBy("id").agg(F.count_distinct("term").alias("n")).where(F.col("n") == len(set(terms))).select("id")
+    """Ids that every term hits: by the exact token, or by tokens that start with it where
+    no token is equal. One pass over the index and one shuffle by id."""
+    wanted = list(dict.fromkeys(t.lower() for t in terms))
+    token = F.col("token")
+    some = F.lit(False)
+    for t in wanted:
+        some = some | token.startswith(t)
+    flags = [F.bool_or(token == t).alias(f"exact{k}") for k, t in enumerate(wanted)]
+    flags += [F.bool_or(token.startswith(t)).alias(f"start{k}") for k, t in enumerate(wanted)]
+    per = index.where(some).groupBy("id").agg(*flags)
+    known = per.agg(*(F.coalesce(F.bool_or(f"exact{k}"), F.lit(False)).alias(f"known{k}") for k in range(len(wanted))))
+    hit = F.lit(True)
+    for k in range(len(wanted)):
+        hit = hit & F.when(F.col(f"known{k}"), F.col(f"exact{k}")).otherwise(F.col(f"start{k}"))
+    return per.join(F.broadcast(known)).where(hit).select("id")  # known is one row
 
 
 def search_any(index: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -134,8 +135,9 @@ OPERATORS = (
     "?:", "=>", "..", "->", "?->",
 )
 
-#: Characters that may not stand before and after an operator, lest it be part of a longer one.
-_GUARDS = {">": ("-=>", "=>"), "<": ("-<=", "<="), "!": ("", "="), "&": ("&", "&"), "|": ("|", "|")}
+#: Characters that may not stand before and after an operator, lest it be part of a longer
+#: one (fixed values).
+_GUARDS = {">": (">=-", ">="), "<": ("<=-", "<="), "!": ("", "="), "&": ("&", "&"), "|": ("|", "|")}
 
 
 def operator_pattern(operator: str) -> str:
@@ -150,6 +152,21 @@ def operator_counts(df: DataFrame, key: str, text: str, operators: Sequence[str]
     return df.select(key, F.inline(pairs)).where("n > 0")
 
 
+def search_operators(index: DataFrame, key: str, operators: Sequence[str]) -> DataFrame:
+    """Keys of the texts that use every one of the operators, from operator_counts."""
+    asked = set(operators)
+    held = index.where(F.col("operator").isin(*asked)).groupBy(key).agg(F.count("*").alias("__n"))
+    return held.where(F.col("__n") == len(asked)).select(key)
+
+
+def operator_statistics(index: DataFrame) -> DataFrame:
+    """(operator, texts, uses, share): how many texts use an operator and how often, and
+    its share of all (text, operator) pairs, from operator_counts."""
+    per = index.groupBy("operator").agg(F.count("*").alias("texts"), F.sum("n").alias("uses"))
+    total = per.agg(F.sum("texts").alias("__all"))  # one row; per has one for each operator
+    return per.join(F.broadcast(total)).select("operator", "texts", "uses", F.round(F.col("texts") / F.col("__all"), 6).alias("share"))
+
+
 def regex_lines(df: DataFrame, key: str, text: str, pattern: str, context: int = 1) -> DataFrame:
     """Lines that match, with the lines around them."""
     lines = df.select(key, F.split(text, "\n").alias("__lines"))
@@ -175,6 +192,89 @@ def weighted_match(query: str, weights: dict[str, tuple[Column, float]]) -> Colu
     return score
 
 
+#: What an intent may speak of, and what it may ask for with the words that say so (fixed values).
+ENTITIES = ("site", "equip", "point", "meter", "sensor", "ahu", "vav")
+ACTIONS = {
+    "consumption": ("usage", "consumed", "consumption", "energy use"),
+    "efficiency": ("efficiency", "performance", "cop", "kw/ton"),
+    "fault": ("fault", "problem", "issue", "broken", "offline", "down"),
+    "export": ("export", "download", "extract", "dump"),
+    "history": ("history", "historical", "trend", "over time", "past"),
+    "status": ("status", "state", "running", "online", "active"),
+}
+
+
+def intent_score(intent: str, name: Column, category: Column, description: Column, tags: Column, body: Column) -> Column:
+    """How well a record fits an intent: its name is said 10, its category 5, each word of
+    its description of over three letters 2, each tag 3, an entity that is said and in its
+    body 4, each word for an action that its name or description is about 5."""
+    said = F.lit(intent.lower())
+    low = intent.lower()
+    words = F.filter(F.split(F.lower(description), r"\s+"), lambda w: (F.length(w) > 3) & F.contains(said, w))
+    held = F.filter(tags, lambda t: F.contains(said, F.lower(t)))
+    score = F.when(F.contains(said, F.lower(name)), 10).otherwise(0) + F.when(F.contains(said, F.lower(category)), 5).otherwise(0) + 2 * F.size(words) + 3 * F.size(held)
+    for entity in ENTITIES:
+        if entity in low:
+            score = score + F.when(F.contains(body, F.lit(entity)), 4).otherwise(0)
+    for action, ways in ACTIONS.items():
+        n = sum(w in low for w in ways)
+        if n:
+            about = F.contains(F.lower(name), F.lit(action)) | F.contains(F.lower(description), F.lit(action))
+            score = score + F.when(about, 5 * n).otherwise(0)
+    return score
+
+
+def _says(text: str, *fields: Column) -> Column:
+    low = F.lit(text.lower())
+    said = F.lit(False)
+    for f in fields:
+        said = said | F.coalesce(F.contains(F.lower(f), low), F.lit(False))
+    return said
+
+
+def search_templates(df: DataFrame, text: str = "", category: str | None = None, tags: Sequence[str] = ()) -> DataFrame:
+    """Records (name, description, template, category, tags) of a category, with any of the
+    tags, whose text fields or a tag contain the text."""
+    if category is not None:
+        df = df.where(F.col("category") == category)
+    if tags:
+        df = df.where(F.arrays_overlap("tags", F.array(*(F.lit(t) for t in tags))))
+    if text:
+        df = df.where(_says(text, F.col("name"), F.col("description"), F.col("template"), F.array_join("tags", "\n")))
+    return df
+
+
+def search_patterns(df: DataFrame, keyword: str, fields: Sequence[str]) -> DataFrame:
+    """Records whose fields, joined with spaces, contain the keyword."""
+    return df.where(_says(keyword, F.concat_ws(" ", *fields)))
+
+
+def patterns_of_category(df: DataFrame, category: str, key: str = "id") -> DataFrame:
+    """Records whose key starts with the category's name."""
+    return df.where(F.startswith(F.col(key), F.lit(category.lower())))
+
+
+def search_workflows(df: DataFrame, query: str = "", semantic: DataFrame | None = None, category: str | None = None, tags: Sequence[str] = (), n: int = 10) -> DataFrame:
+    """(id, score) of records (id, title, description, category, tags): 1 if the joined
+    fields contain the query, 0.5 more if the title does; the scores of `semantic` (id,
+    score) are added, and its hits without the text count by themselves. A tag filter holds
+    for text hits, the category for both. Without a query all records score 1."""
+    if category is not None:
+        df = df.where(F.col("category") == category)
+    joined = F.concat_ws(" ", "title", "description", "category", F.array_join("tags", " "))
+    text = F.when(_says(query.strip(), joined), 1.0).otherwise(0.0) + F.when(_says(query.strip(), F.col("title")), 0.5).otherwise(0.0) if query.strip() else F.lit(1.0)
+    tagged = F.lit(True)
+    for t in tags:
+        tagged = tagged & F.array_contains(F.transform("tags", F.lower), t.lower())
+    scored = df.select("id", F.when(tagged, text).otherwise(0.0).alias("text"))
+    if semantic is not None:
+        scored = scored.join(semantic.select("id", F.col("score").alias("meaning")), "id", "left")
+    else:
+        scored = scored.withColumn("meaning", F.lit(None).cast("double"))
+    found = scored.where("text > 0 OR meaning IS NOT NULL")
+    return found.select("id", (F.col("text") + F.coalesce("meaning", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "id").limit(n)
+
+
 # --- vectors ---
 
 
@@ -220,3 +320,14 @@ def hybrid(scored: DataFrame, degree: DataFrame, key: str, weight: float = 0.3,
 def upsert(stored: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """Rows of changed in place of those with their key, the rest as they are."""
     return stored.join(changed.select(key), key, "left_anti").unionByName(changed)
+
+
+def count_vectors(stored: DataFrame, project: Column, value: object | None = None) -> DataFrame:
+    """One row: the number of vectors, of a project or of all."""
+    return (stored if value is None else stored.where(project == F.lit(value))).agg(F.count("*").alias("n"))
+
+
+def delete_project(stored: DataFrame, project: Column, value: object) -> tuple[DataFrame, DataFrame]:
+    """(what stays, one row with the number of vectors that go); vectors without a project stay."""
+    gone = F.coalesce(project == F.lit(value), F.lit(False))
+    return stored.where(~gone), stored.agg(F.count_if(gone).alias("n"))

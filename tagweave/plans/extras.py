@@ -9,7 +9,7 @@ from tagweave.functions import records, scalars, units
 from tagweave.functions.filters import Model
 from tagweave.operators import graph, grid, search, series
 from tagweave.plans import templates
-from tagweave.plans.graphs import nations, trade
+from tagweave.plans.graphs import nations, places
 from tagweave.plans.registry import query, table
 
 
@@ -113,9 +113,12 @@ def unit_quantities(spark, d):
     return spark.createDataFrame(rows, "unit string, seconds double")
 
 
-@query("subgraph_export_json", "WITH e AS (SELECT 1) SELECT '{\"id\":\"' || n_nationkey || '\",\"name\":\"' || n_name || '\"}' AS text FROM nation")
+@query("subgraph_export_json", """WITH n AS (SELECT 'r' || r_regionkey AS id, r_name AS name FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1),
+ e AS (SELECT 'r1' AS a, 'n' || n_nationkey AS b FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'n' || n_nationkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)
+ SELECT '{"id":"' || id || '","name":"' || name || '"}' AS text FROM n UNION ALL SELECT '{"source":"' || a || '","target":"' || b || '","type":"contains"}' FROM e""")
 def subgraph_export_json(spark, d):
-    return graph.export(nations(spark, d), trade(spark, d).limit(0), "d3")
+    nodes, edges = places(spark, d)
+    return graph.export(*graph.subgraph(nodes, edges, nodes.where("id = 'r1'"), 2), "d3")
 
 
 @query("find_nodes", "SELECT n_nationkey AS id, n_name AS name FROM nation WHERE lower(n_name) LIKE '%tion%'")

@@ -74,13 +74,43 @@ def section_rank(spark, d):
     return search.rank_sections(sections, "doc_id", "heading", "body", "with the", 3).select("doc_id", "pos", "score")
 
 
-@query(
-    "operator_counts",
-    """WITH c AS (SELECT doc_id, unnest(['*', '%', '|', '&', '..']) AS operator, unnest([len(regexp_extract_all(text, '\\*')), len(regexp_extract_all(text, '%')), len(list_filter(regexp_extract_all(text, '\\|+'), lambda x: x = '|')), len(list_filter(regexp_extract_all(text, '&+'), lambda x: x = '&')), len(regexp_extract_all(text, '\\.\\.'))]) AS n FROM documents)
-       SELECT doc_id, operator, CAST(n AS BIGINT) AS n FROM c WHERE n > 0""",
-)
+def _operator_sql() -> str:
+    """SQL has no look-around: an operator that may be part of a longer one is counted by the
+    maximal runs of the characters it may not touch."""
+    runs = {">": ("[>=-]+", "x[1] = '>' AND (len(x) = 1 OR x[2] = '-')"), "<": ("[<=-]+", "x[1] = '<' AND (len(x) = 1 OR x[2] = '-')"), "&": ("&+", "x = '&'"), "|": ("[|]+", "x = '|'")}
+    counts = []
+    for o in search.OPERATORS:
+        plain = "".join(f"[{c}]" if c not in "^!" else ("\\^" if c == "^" else "!") for c in o)
+        if o in runs:
+            counts.append(f"len(list_filter(regexp_extract_all(text, '{runs[o][0]}'), lambda x: {runs[o][1]}))")
+        elif o == "!":
+            counts.append("len(regexp_extract_all(text, '!')) - len(regexp_extract_all(text, '!='))")
+        else:
+            counts.append(f"len(regexp_extract_all(text, '{plain}'))")
+    names = ", ".join(f"'{o}'" for o in search.OPERATORS)
+    return f"c AS (SELECT doc_id, unnest([{names}]) AS operator, unnest([{', '.join(counts)}]) AS n FROM documents), i AS MATERIALIZED (SELECT doc_id, operator, CAST(n AS BIGINT) AS n FROM c WHERE n > 0)"
+
+
+_OPERATORS = "WITH " + _operator_sql()
+
+
+def _operators(spark, d):
+    return search.operator_counts(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("operator_counts", _OPERATORS + " SELECT * FROM i")
 def operator_counts(spark, d):
-    return search.operator_counts(table(spark, d, "documents"), "doc_id", "text", ["*", "%", "|", "&", ".."])
+    return _operators(spark, d)
+
+
+@query("operator_search", _OPERATORS + " SELECT doc_id FROM i WHERE operator = '*' INTERSECT SELECT doc_id FROM i WHERE operator = '!' INTERSECT SELECT doc_id FROM i WHERE operator = '|'")
+def operator_search(spark, d):
+    return search.search_operators(_operators(spark, d), "doc_id", ["*", "!", "|"])
+
+
+@query("operator_statistics", _OPERATORS + " SELECT operator, count(*) AS texts, CAST(sum(n) AS BIGINT) AS uses, round(count(*) / (SELECT count(*) FROM i), 6) AS share FROM i GROUP BY 1")
+def operator_statistics(spark, d):
+    return search.operator_statistics(_operators(spark, d))
 
 
 @query(
@@ -98,19 +128,62 @@ def diverse_examples(spark, d):
     return search.diverse_examples(docs, F.col("n_chars"), 12, 500, 3000, ["n_chars", "doc_id"]).select("doc_id", "level")
 
 
-@query("template_intent", "SELECT item_id, CAST(CASE WHEN contains(lower(text), 'what') THEN 10 ELSE 0 END + CASE WHEN contains(lower(text), 'the') THEN 10 ELSE 0 END + CASE WHEN contains(lower(text), 'ing') THEN 10 ELSE 0 END AS DOUBLE) AS score FROM benchmark ORDER BY score DESC, item_id LIMIT 5")
+_INTENT = "Export the history of src7 meters in de with past status, from the things over time"
+
+
+@query(
+    "template_intent",
+    f"""WITH t AS (SELECT doc_id, source AS name, lang AS category, substr(text, 1, 400) || ' history' AS description, [source, 'with', lang] AS tags, text AS body, lower('{_INTENT}') AS said FROM documents)
+       SELECT doc_id, CAST(CASE WHEN contains(said, lower(name)) THEN 10 ELSE 0 END + CASE WHEN contains(said, lower(category)) THEN 5 ELSE 0 END + 2 * len(list_filter(regexp_split_to_array(lower(description), '\\s+'), lambda w: len(w) > 3 AND contains(said, w)))
+         + 3 * len(list_filter(tags, lambda w: contains(said, lower(w)))) + CASE WHEN contains(body, 'meter') THEN 4 ELSE 0 END
+         + CASE WHEN contains(lower(description), 'export') THEN 5 ELSE 0 END + CASE WHEN contains(lower(description), 'history') THEN 15 ELSE 0 END + CASE WHEN contains(lower(description), 'status') THEN 5 ELSE 0 END AS INTEGER) AS score FROM t""",
+)
 def template_intent(spark, d):
-    score = search.weighted_match("what the ing", {"title": (F.col("text"), 10.0)})
-    return table(spark, d, "benchmark").select("item_id", score.alias("score")).orderBy(F.desc("score"), "item_id").limit(5)
+    docs = table(spark, d, "documents")
+    about = F.concat(F.substring("text", 1, 400), F.lit(" history"))
+    score = search.intent_score(_INTENT, F.col("source"), F.col("lang"), about, F.array("source", F.lit("with"), "lang"), F.col("text"))
+    return docs.select("doc_id", score.cast("int").alias("score"))
+
+
+def _records(spark, d):
+    """Parts as records to search."""
+    return table(spark, d, "part").select(
+        F.concat(F.lower("p_brand"), F.lit("-"), "p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"), F.col("p_type").alias("template"),
+        F.col("p_brand").alias("category"), F.array(F.concat(F.lit("size"), "p_size"), F.col("p_brand")).alias("tags"), F.col("p_name").alias("title"), "p_partkey",
+    )
+
+
+@query("template_search", "SELECT p_partkey FROM part WHERE p_size IN (3, 7) AND (lower(p_name) LIKE '%1%' OR lower(p_type) LIKE '%1%' OR lower('size' || p_size) LIKE '%1%' OR lower(p_brand) LIKE '%1%')")
+def template_search(spark, d):
+    return search.search_templates(_records(spark, d), "1", tags=["size3", "size7"]).select("p_partkey")
+
+
+@query("pattern_search", "SELECT p_partkey FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || 'size' || p_size || ' ' || p_brand), '1 ')")
+def pattern_search(spark, d):
+    return search.search_patterns(_records(spark, d).withColumn("tags", F.array_join("tags", " ")), "1 ", ["name", "description", "tags"]).select("p_partkey")
+
+
+@query("pattern_category", "SELECT p_partkey FROM part WHERE starts_with(lower(p_brand) || '-', lower((SELECT min(p_brand) FROM part)))")
+def pattern_category(spark, d):
+    first = table(spark, d, "part").agg(F.min("p_brand")).first()[0]
+    return search.patterns_of_category(_records(spark, d), first).select("p_partkey")
+
+
+@query("workflow_search", "WITH m AS (SELECT p_partkey, p_retailprice / 1000 AS s FROM part WHERE p_size = 5), t AS (SELECT p_partkey, CASE WHEN contains(lower(p_name || ' ' || p_type || ' ' || p_brand || ' size' || p_size || ' ' || p_brand), '12') THEN 1.0 ELSE 0 END + CASE WHEN contains(lower(p_name), '12') THEN 0.5 ELSE 0 END AS x FROM part) SELECT p_partkey, round(CAST(x AS DOUBLE) + coalesce(s, 0), 6) AS score FROM t LEFT JOIN m USING (p_partkey) WHERE x > 0 OR s IS NOT NULL ORDER BY CAST(x AS DOUBLE) + coalesce(s, 0) DESC, p_partkey LIMIT 40")
+def workflow_search(spark, d):
+    """Words and meaning together; sizes stand for nearness here."""
+    near = table(spark, d, "part").where("p_size = 5").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") / 1000).alias("score"))
+    found = search.search_workflows(_records(spark, d).withColumn("id", F.col("p_partkey")), "12", near, n=40)
+    return found.select(F.col("id").alias("p_partkey"), F.round("score", 6).alias("score"))
 
 
 _COS = "list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
-_KNN = f"SELECT query, vec_id, score FROM (SELECT q.vec_id AS query, a.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, a.vec_id) AS k FROM embeddings a JOIN embeddings q ON q.vec_id IN (0, 50, 100) AND a.vec_id <> q.vec_id) WHERE k <= 10"
+_KNN = f"SELECT query, vec_id, score FROM (SELECT q.vec_id AS query, a.vec_id, {_COS} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, a.vec_id) AS k FROM embeddings a JOIN embeddings q ON q.vec_id % 50 = 0 AND a.vec_id <> q.vec_id) WHERE k <= 10"
 
 
 def _knn(spark, d, least=None):
     v = table(spark, d, "embeddings")
-    return search.nearest(v, v.where("vec_id IN (0, 50, 100)"), 10, least=least)
+    return search.nearest(v, v.where("vec_id % 50 = 0"), 10, least=least)
 
 
 @query("knn_cosine", f"SELECT query, vec_id, round(score, 5) AS score FROM ({_KNN})")
@@ -136,6 +209,17 @@ def vector_upsert(spark, d):
     return search.upsert(v, v.where("vec_id % 9 = 0").withColumn("label", F.lit(-1)), "vec_id")
 
 
+@query("vector_count", "SELECT count(*) AS n FROM embeddings WHERE label = 3")
+def vector_count(spark, d):
+    return search.count_vectors(table(spark, d, "embeddings"), F.col("label"), 3)
+
+
+@query("vector_delete_project", "SELECT vec_id, (SELECT count(*) FROM embeddings WHERE label = 3) AS gone FROM embeddings WHERE label IS DISTINCT FROM 3")
+def vector_delete_project(spark, d):
+    left, gone = search.delete_project(table(spark, d, "embeddings"), F.col("label"), 3)
+    return left.select("vec_id").join(F.broadcast(gone.withColumnRenamed("n", "gone")))
+
+
 @query("filtered_results", "SELECT doc_id FROM documents WHERE lang = 'en' AND source = 'src7'")
 def filtered_results(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("lang").alias("category"), "source")

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.operators import reports, series
+from tagweave.operators import reports, search, series
 
 
 class TemplateError(ValueError):
@@ -156,17 +156,6 @@ def run(name: str, tables: Mapping[str, DataFrame], **given: Any) -> DataFrame:
     return TEMPLATES[name].run(tables, given)
 
 
-#: What an intent may ask for, and the words that say so (fixed values).
-ACTIONS = {
-    "consumption": ("usage", "consumed", "consumption", "energy use"),
-    "efficiency": ("efficiency", "performance", "cop", "kw/ton"),
-    "fault": ("fault", "problem", "issue", "broken", "offline", "down"),
-    "export": ("export", "download", "extract", "dump"),
-    "history": ("history", "historical", "trend", "over time", "past"),
-    "status": ("status", "state", "running", "online", "active"),
-}
-
-
 def intent_score(t: Template, intent: str) -> int:
     """Name 10, category 5, words of the title 2, keywords 3, tables 4, actions 5 a word."""
     said = intent.lower()
@@ -174,7 +163,7 @@ def intent_score(t: Template, intent: str) -> int:
     score = 10 * (t.name in said) + 5 * (t.category in said)
     score += sum(2 for w in t.title.lower().split() if len(w) > 3 and w in said)
     score += sum(3 for w in t.keywords if w in said) + sum(4 for w in t.tables if w in said)
-    return score + sum(5 for action, words in ACTIONS.items() if action in about for w in words if w in said)
+    return score + sum(5 for action, words in search.ACTIONS.items() if action in about for w in words if w in said)
 
 
 def find(intent: str, n: int = 5) -> list[tuple[str, float]]:
