@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tagweave.functions.filters import Compiler, Model
+from tagweave.functions.lineage import durable
 
 
 class GridError(LookupError):
@@ -110,6 +111,71 @@ def sort_by(df: DataFrame, names: Sequence[str], descending: bool = False, tie:
     return df.orderBy(*(F.desc(k) if descending else F.asc(k) for k in keys))
 
 
+def reverse(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows in the opposite of their order."""
+    return df.orderBy(*(F.desc(k) for k in order))
+
+
+def last(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The last row in order, or none."""
+    return reverse(df, order).limit(1)
+
+
+def get(df: DataFrame, order: Sequence[str], at: int) -> DataFrame:
+    """The row at a place, counted from 0, or none."""
+    return df.orderBy(*order).offset(at).limit(1) if at >= 0 else df.limit(0)
+
+
+def length(df: DataFrame) -> DataFrame:
+    """One row: n, and empty."""
+    return df.agg(F.count("*").alias("n"), (F.count("*") == 0).alias("empty"))
+
+
+def clear(df: DataFrame) -> DataFrame:
+    """No rows, the same columns."""
+    return df.limit(0)
+
+
+def numbered(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """df with each row's place in order, counted from 0; order must be total.
+
+    Sorted range partitions are numbered by themselves and moved on by the sizes of those
+    before them. They are checkpointed first, so sizes and rows are of one sorting."""
+    dealt = durable(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    sizes = dealt.groupBy("__part").count()
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = sizes.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+    inside = dealt.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    return inside.join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__nth") - 1).drop("__part", "__start", "__nth")
+
+
+def insert(df: DataFrame, order: Sequence[str], at: int, rows: DataFrame, rows_order: Sequence[str]) -> DataFrame:
+    """df with `rows` from place `at` on, as columns and `position`; places beyond the end
+    append. Columns that one side lacks are null there."""
+    old, new = numbered(df, order), numbered(rows, rows_order)
+    n, more = old.count(), new.count()
+    at = min(max(at, 0), n)
+    moved = old.withColumn("position", F.when(F.col("position") >= at, F.col("position") + more).otherwise(F.col("position")))
+    return moved.unionByName(new.withColumn("position", F.col("position") + at), allowMissingColumns=True)
+
+
+def set_row(df: DataFrame, order: Sequence[str], at: int, values: dict[str, object]) -> DataFrame:
+    """df, with `position`, whose row at a place has these values and no others."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    here = F.col("position") == at
+    return numbered(df, order).select(*(F.when(here, F.lit(values.get(c)).cast(types[c])).otherwise(F.col(c)).alias(c) for c in df.columns), "position")
+
+
+def zip_rows(a: DataFrame, a_order: Sequence[str], b: DataFrame, b_order: Sequence[str]) -> DataFrame:
+    """Rows of two grids side by side by their places, as far as the shorter one goes."""
+    return numbered(a, a_order, "__at").join(numbered(b, b_order, "__at"), "__at").drop("__at")
+
+
+def flatten(df: DataFrame, column: str) -> DataFrame:
+    """A row for each item of a list of lists; other columns repeat."""
+    return df.withColumn(column, F.explode(F.flatten(F.col(column))))
+
+
 def row_range(df: DataFrame, order: Sequence[str], start: int, end: int | None = None) -> DataFrame:
     """range(n): first n rows, 0 for all; range(a, b): rows a to b, both included."""
     if end is None:
@@ -202,9 +268,54 @@ def list_includes(items: Column, value: Column, start: int = 0) -> Column:
     return F.coalesce(F.array_contains(F.slice(items, start + 1, F.greatest(F.size(items), F.lit(1))), value), F.lit(False))
 
 
+def list_reverse(items: Column) -> Column:
+    return F.reverse(items)
+
+
+def list_flat(items: Column) -> Column:
+    """One level of lists less."""
+    return F.flatten(items)
+
+
+def list_find(items: Column, test: Callable[[Column], Column]) -> Column:
+    """The first item that passes, or null."""
+    return F.get(F.filter(items, test), F.lit(0))
+
+
+def list_reduce(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(items, start, step)
+
+
 # --- dicts ---
 
 
+def dict_get(record: Column, name: str, default: Column | None = None) -> Column:
+    value = F.element_at(record, name)
+    return value if default is None else F.coalesce(value, default)
+
+
+def dict_set(record: Column, name: str, value: Column) -> Column:
+    return _merge_two(record, F.create_map(F.lit(name), value))
+
+
+def dict_has(record: Column, *names: str) -> Column:
+    """Whether it has every name, whatever the values."""
+    out = F.lit(True)
+    for n in names:
+        out = out & F.map_contains_key(record, n)
+    return out
+
+
+def dict_names(record: Column) -> Column:
+    return F.array_sort(F.map_keys(record))
+
+
+def dict_matches(record: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """Whether a pair of name and value passes."""
+    return F.size(F.map_filter(record, test)) > 0
+
+
+
 def _merge_two(old: Column, new: Column) -> Column:
     kept = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
     return F.map_from_entries(F.concat(F.map_entries(kept), F.map_entries(new)))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.filters import Model
+from tagweave.functions.filters import Model, Symbol
 
 
 class OntologyError(ValueError):
@@ -48,7 +48,7 @@ def _names(value: object) -> tuple[str, ...]:
     if not value:
         return ()
     values = value if isinstance(value, (list, tuple)) else [value]
-    return tuple(str(v).lstrip("^") for v in values)
+    return tuple(v.name if isinstance(v, Symbol) else str(v).lstrip("^") for v in values)
 
 
 def read_defs(records: Iterable[dict]) -> list[Def]:
@@ -60,7 +60,7 @@ def read_defs(records: Iterable[dict]) -> list[Def]:
         relations = tuple((k, t) for k in r if k in ("inputs", "outputs", "contains", "containedBy", "equips") for t in _names(r[k]))
         out.append(
             Def(
-                str(r["def"]).lstrip("^"), _names(r.get("is")), _names(r.get("tagOn")), bool(r.get("mandatory")),
+                _names(r["def"])[0], _names(r.get("is")), _names(r.get("tagOn")), bool(r.get("mandatory")),
                 "".join(_names(r.get("of"))[:1]), relations, bool(r.get("transitive")), "".join(_names(r.get("reciprocalOf"))[:1]),
                 _names(r.get("children")), "".join(_names(r.get("lib"))[:1]),
             )
@@ -73,6 +73,8 @@ class Namespace:
     defs: dict[str, Def] = field(default_factory=dict)
     ancestors: dict[str, set[str]] = field(default_factory=dict)
     descendants: dict[str, set[str]] = field(default_factory=dict)
+    #: All tags of every def, where it was built from whole records.
+    records: dict[str, dict] = field(default_factory=dict)
 
     @classmethod
     def build(cls, defs: Iterable[Def]) -> Namespace:
@@ -136,10 +138,35 @@ class Namespace:
     def libs(self) -> list[Def]:
         return [d for d in self.defs.values() if d.feature == "lib"]
 
-    def choices(self, name: str) -> set[str]:
-        """What may stand for a choice: subtypes of the marker that it is `of`."""
-        d = self.by_name(name)
-        return self.all_subs(d.of) if d.of else set()
+    def feature_names(self) -> list[str]:
+        return sorted({d.feature for d in self.features()})
+
+    def choices_for(self, name: str) -> set[str]:
+        """What may stand for a choice: its direct subtypes; nothing may for other defs."""
+        return self.subs(name) if "choice" in self.supers(name) else set()
+
+    def choices(self) -> dict[str, set[str]]:
+        return {d.name: self.choices_for(d.name) for d in self.defs.values() if "choice" in d.supers}
+
+    def associations(self, parent: str, association: str) -> set[str]:
+        """Defs that a def names under an association. One that is computed from its
+        reciprocal, such as tags from tagOn, has the defs that name the parent or one of its
+        supertypes there."""
+        record = self.records.get(association, {})
+        if "association" not in _names(record.get("is")):
+            return set()
+        computed = "computedFromReciprocal" if "computedFromReciprocal" in self.defs else "computed"
+        if computed not in record:
+            return {n for n in _names(self.records.get(parent, {}).get(association)) if n in self.defs}
+        back = "".join(_names(record.get("reciprocalOf"))[:1])
+        if back not in self.defs:
+            return set()
+        above = self.ancestors.get(parent, set())
+        return {n for n, r in self.records.items() if above & set(_names(r.get(back)))}
+
+    def timezones(self) -> list[str]:
+        """The cities that the def of time zones lists, in its order."""
+        return [x for x in str(self.records.get("tz", {}).get("enum", "")).split("\n") if x]
 
     def tags_of(self, name: str) -> set[str]:
         """Tags that apply to an entity, its supertypes' included."""
@@ -185,6 +212,11 @@ class Namespace:
                     relations.setdefault(relation, {}).setdefault(sub, set()).update(self.ancestors.get(term, {term}))
         return Model(refs=refs, descendants=dict(self.descendants), relations=relations)
 
+    def associations_table(self, spark: SparkSession, association: str) -> DataFrame:
+        """(name, associated) for every def."""
+        rows = [(n, x) for n in sorted(self.defs) for x in sorted(self.associations(n, association))]
+        return spark.createDataFrame(rows, "name string, associated string")
+
     def reflect_records(self, records: DataFrame, key: str, tags: str) -> DataFrame:
         """(key, def) for a column that lists each record's tags."""
         spark = records.sparkSession

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import scalars, units
 from tagweave.functions.filters import FilterBuilder, Model, apply_filter
-from tagweave.operators import grid
+from tagweave.operators import grid, usage
 from tagweave.plans.registry import query, table
 
 
@@ -179,16 +179,18 @@ def list_operators(spark, d):
 
 @query(
     "dict_diff_orders",
-    """WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 10 <> 1),
-            b AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 7 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 10 <> 2)
+    """WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01'),
+            b AS (SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1995-07-01')
        SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
               CASE WHEN a.o_orderkey IS NULL THEN 'add' WHEN b.o_orderkey IS NULL THEN 'remove' WHEN a.o_orderstatus IS NOT DISTINCT FROM b.o_orderstatus AND a.o_totalprice IS NOT DISTINCT FROM b.o_totalprice THEN 'same' ELSE 'update' END AS op
        FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey""",
 )
 def dict_diff_orders(spark, d):
+    """Two snapshots: before the last year's orders, and without the first half year's but
+    with urgent ones repriced. Every order is in one of them."""
     o = table(spark, d, "orders")
-    old = o.where("o_orderkey % 10 <> 1")
-    new = o.where("o_orderkey % 10 <> 2").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 7 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    old = o.where("o_orderdate < TIMESTAMP_NTZ '2001-01-01'")
+    new = o.where("o_orderdate >= TIMESTAMP_NTZ '1995-07-01'").withColumn("o_totalprice", F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
     return grid.diff(old, new, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
@@ -263,10 +265,8 @@ def uri_parts(spark, d):
 
 @query("name_suggestions", "SELECT a.n_name AS name, b.n_name AS suggestion, CAST(levenshtein(a.n_name, b.n_name) AS INTEGER) AS distance FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey AND levenshtein(a.n_name, b.n_name) <= 3")
 def name_suggestions(spark, d):
-    """A vocabulary of names against another: both are small dimensions."""
-    a, b = table(spark, d, "nation").alias("a"), table(spark, d, "nation").alias("b")
-    distance = F.levenshtein(F.col("a.n_name"), F.col("b.n_name"))
-    return a.join(F.broadcast(b), (F.col("a.n_nationkey") != F.col("b.n_nationkey")) & (distance <= 3)).select(F.col("a.n_name").alias("name"), F.col("b.n_name").alias("suggestion"), distance.alias("distance"))
+    names = table(spark, d, "nation").select(F.col("n_name").alias("name"))
+    return usage.suggestions(names, names, 3, 25)
 
 
 @query("categories", "SELECT CASE WHEN contains(lower(text), 'thea') THEN 'first' WHEN contains(lower(text), 'ing') OR contains(lower(text), 'ung') THEN 'second' ELSE 'general' END AS category, count(*) AS n FROM documents GROUP BY 1")

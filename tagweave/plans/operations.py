@@ -68,13 +68,16 @@ def unused_functions(spark, d):
     return table(spark, d, "part").join(used, "p_partkey", "left_anti").select("p_partkey")
 
 
-_SYNC = "a AS (SELECT o_orderkey, o_orderdate AS mod FROM orders WHERE o_orderkey % 11 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS mod FROM orders WHERE o_orderkey % 13 <> 0)"
+_SYNC = "a AS (SELECT o_orderkey, o_orderdate AS mod FROM orders WHERE o_orderdate < TIMESTAMP '2001-01-01'), b AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate END AS mod FROM orders WHERE o_orderdate >= TIMESTAMP '1995-07-01')"
 
 
 def _snapshots(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderdate").alias("mod"))
-    moved = F.when(F.col("o_orderkey") % 5 == 0, F.col("mod") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("mod"))
-    return o.where("o_orderkey % 11 <> 0"), o.where("o_orderkey % 13 <> 0").withColumn("mod", moved)
+    """What is stored, without the last year's orders, and what comes in, without the first
+    half year's and with urgent ones moved. Every order is in one of them."""
+    o = table(spark, d, "orders")
+    moved = F.when(F.col("o_orderpriority") == "1-URGENT", F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("o_orderdate"))
+    old = o.where("o_orderdate < TIMESTAMP_NTZ '2001-01-01'").select("o_orderkey", F.col("o_orderdate").alias("mod"))
+    return old, o.where("o_orderdate >= TIMESTAMP_NTZ '1995-07-01'").select("o_orderkey", moved.alias("mod"))
 
 
 @query("sync_classification", f"WITH {_SYNC} SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN 'new' WHEN b.o_orderkey IS NULL THEN 'deleted' WHEN a.mod = b.mod THEN 'unchanged' ELSE 'changed' END AS change FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey")

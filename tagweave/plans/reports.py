@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagweave.operators import reports, series
+from tagweave.operators import grid, reports, series
 from tagweave.plans.registry import query, table
 
 
@@ -224,22 +224,8 @@ def daily_summary(spark, d):
 
 @query("zip_positions", "WITH a AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus = 'P'), b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier) SELECT o_orderkey, s_suppkey FROM a JOIN b USING (k)")
 def zip_positions(spark, d):
-    """Positional pairing; positions come from sorted partitions, not one task."""
-    a = _numbered(table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey"), "o_orderkey")
-    b = _numbered(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
-    return a.join(b, "k").select("o_orderkey", "s_suppkey")
-
-
-def _numbered(df, order):
-    """Row numbers in order, from 1, by range partitions and their sizes."""
-    from pyspark.sql import Window
-
-    dealt = df.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    sizes = dealt.groupBy("__p").count()
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = sizes.select("__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-    inside = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    return inside.join(F.broadcast(starts), "__p").select(df.columns[0], (F.col("__start") + F.col("__i")).alias("k"))
+    orders = table(spark, d, "orders").where("o_orderstatus = 'P'").select("o_orderkey")
+    return grid.zip_rows(orders, ["o_orderkey"], table(spark, d, "supplier").select("s_suppkey"), ["s_suppkey"])
 
 
 @query("hybrid_merge", "WITH a AS (SELECT user_id, count(*) AS s FROM events WHERE event_type = 'click' GROUP BY 1), b AS (SELECT user_id, 0.5 * count(*) AS s FROM events WHERE event_type = 'view' AND value > 50 GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, CAST(coalesce(a.s, 0) + coalesce(b.s, 0) AS DOUBLE) AS score FROM a FULL JOIN b ON a.user_id = b.user_id")
