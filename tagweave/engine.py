@@ -144,10 +144,18 @@ class Engine:
     def impact(self, id_: Any, depth: int = 10) -> DataFrame:
         return graph.impact(self._table("edge"), self._table("node").where(F.col("id") == id_), depth)
 
-    def call_graph(self, id_: Any, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+    def call_graph(self, id_: Any, depth: int = 1) -> DataFrame:
+        """(id, calls, called_by) of a node and what it reaches in fewer than depth steps."""
+        return graph.call_lists(self._table("edge"), self._table("node").where(F.col("id") == id_), depth)
+
+    def subgraph(self, id_: Any, depth: int = 2) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges around a node, in either direction."""
         node = self._table("node")
         return graph.subgraph(node, self._table("edge"), node.where(F.col("id") == id_), depth)
 
+    def call_subgraph(self, id_: Any, depth: int = 5, reverse: bool = False, most: int | None = None) -> DataFrame:
+        return graph.call_subgraph(self._table("edge"), self._table("node").where(F.col("id") == id_), depth, reverse, most)
+
     def graph_text(self, form: str = "dot") -> DataFrame:
         return graph.export(self._table("node"), self._table("edge"), form)
 
@@ -164,3 +172,34 @@ class Engine:
     def similar(self, ids: Sequence[Any], k: int = 10, least: float = 0.5, table: str = "vector", key: str = "vec_id") -> DataFrame:
         df = self._table(table)
         return search.nearest(df, df.where(F.col(key).isin(list(ids))), k, key, least=least)
+
+
+class Workspace:
+    """Projects by name, each an engine of its own, and the one that is asked."""
+
+    def __init__(self) -> None:
+        self.engines: dict[str, Engine] = {}
+        self.current: str | None = None
+
+    def add(self, project: str, engine: Engine, instance: str = "default") -> Workspace:
+        """Projects of several instances are told apart as instance/project."""
+        name = f"{instance}/{project}"
+        self.engines[name] = engine
+        self.current = self.current or name
+        return self
+
+    def list(self, instance: str | None = None) -> list[str]:
+        return sorted(n for n in self.engines if instance is None or n.startswith(f"{instance}/"))
+
+    def use(self, project: str, instance: str = "default") -> Engine:
+        name = f"{instance}/{project}"
+        if name not in self.engines:
+            raise grid.GridError(f"no project {name!r}")
+        self.current = name
+        return self.engines[name]
+
+    @property
+    def engine(self) -> Engine:
+        if self.current is None:
+            raise grid.GridError("no project is open")
+        return self.engines[self.current]

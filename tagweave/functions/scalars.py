@@ -113,3 +113,8 @@ def month_label(ts: Column) -> Column:
 
 def hours_between(a: Column, b: Column) -> Column:
     return (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 3.6e9
+
+
+def is_approximate(a: Column, b: Column, share: float = 0.001) -> Column:
+    """Whether two numbers differ by no more than a share of the smaller one."""
+    return (a == b) | (F.abs(a - b) <= F.least(F.abs(a), F.abs(b)) * share)

@@ -224,3 +224,19 @@ def as_of(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, ts: str =
     both = left.unionByName(right, allowMissingColumns=True)
     w = _by(keys, [ts, "__left"]).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(f"{value}_as_of", F.last("__v", ignorenulls=True).over(w)).where("__left = 1").drop("__v", "__left")
+
+
+def write_samples(history: DataFrame, samples: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
+    """history with samples added, or in place of those of their keys and time."""
+    return history.join(samples.select(*keys, ts), [*keys, ts], "left_anti").unionByName(samples, allowMissingColumns=True)
+
+
+def clear_samples(history: DataFrame, points: DataFrame, keys: Sequence[str], start: str | None = None, end: str | None = None, ts: str = "ts") -> DataFrame:
+    """history without the samples of these points from start up to end, or all of them."""
+    inside = F.lit(True)
+    if start is not None:
+        inside = inside & (F.col(ts) >= F.lit(start).cast(history.schema[ts].dataType))
+    if end is not None:
+        inside = inside & (F.col(ts) < F.lit(end).cast(history.schema[ts].dataType))
+    marked = history.join(points.select(*keys).distinct().withColumn("__gone", F.lit(True)), list(keys), "left")
+    return marked.where(F.col("__gone").isNull() | ~inside).drop("__gone")

@@ -143,3 +143,40 @@ def suggestions(unknown: DataFrame, known: DataFrame, most: int = 3, n: int = 3)
     d = a.join(b, "__len").withColumn("distance", F.levenshtein("name", "suggestion", most)).where("distance > 0")
     nth = F.row_number().over(Window.partitionBy("name").orderBy("distance", "suggestion"))
     return d.withColumn("k", nth).where(F.col("k") <= n).select("name", "suggestion", "distance")
+
+
+def calls_with_arguments(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, name, n_args) of the calls of a text whose arguments hold no parentheses."""
+    calls = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z_]\w*\s*\([^()]*\)"), F.lit(0))).alias("__call"))
+    given = F.trim(F.regexp_extract("__call", r"\(([^()]*)\)", 1))
+    return calls.select(key, F.regexp_extract("__call", r"^(\w+)", 1).alias("name"), F.when(given == "", 0).otherwise(F.size(F.split(given, ","))).alias("n_args"))
+
+
+def validate_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """calls (name, n_args and more) with `problem`, from functions (name, required, most,
+    deprecated): unknown, deprecated, too few or too many arguments; only calls with one."""
+    known = functions.select("name", "required", "most", "deprecated", F.lit(True).alias("__known"))
+    joined = calls.join(known, "name", "left")
+    problem = (
+        F.when(F.col("__known").isNull(), "unknown")
+        .when(F.col("n_args") < F.col("required"), "too few arguments")
+        .when(F.col("n_args") > F.col("most"), "too many arguments")
+        .when(F.col("deprecated"), "deprecated")
+    )
+    return joined.select(*calls.columns, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def corrections(unknown: DataFrame, known: DataFrame, n: int = 3) -> DataFrame:
+    """(name, suggestion) for unknown names: known ones that differ by case or at most two
+    letters, or start with the same three, nearest first. Names meet by their first three
+    letters, or by length as in `suggestions`, never all with all."""
+    near = suggestions(unknown.select(F.lower("name").alias("name")).distinct(), known.select(F.lower("name").alias("name")).distinct(), 2, n)
+    forms = known.select(F.col("name").alias("suggestion"), F.lower("name").alias("low"))
+    asked = unknown.select("name", F.lower("name").alias("low")).distinct()
+    same = asked.join(forms, "low").where("name <> suggestion").select("name", "suggestion", F.lit(0).alias("rank"))
+    edits = near.withColumnRenamed("name", "low").withColumnRenamed("suggestion", "other").join(asked, "low").join(forms.withColumnRenamed("low", "other"), "other").select("name", "suggestion", F.col("distance").alias("rank"))
+    start = F.substring("low", 1, 3)
+    like = asked.where(F.length("low") >= 3).withColumn("start", start).join(forms.select("suggestion", start.alias("start")), "start").where("name <> suggestion").select("name", "suggestion", F.lit(9).alias("rank"))
+    best = same.unionByName(edits).unionByName(like).groupBy("name", "suggestion").agg(F.min("rank").alias("rank"))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("rank", "suggestion"))
+    return best.withColumn("k", nth).where(F.col("k") <= n).select("name", "suggestion")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagweave.engine import Engine
-from tagweave.functions import records, scalars, units
+from tagweave.functions import records, scalars
 from tagweave.functions.filters import Model
 from tagweave.operators import graph, grid, search, series
 from tagweave.plans import templates
@@ -93,12 +93,6 @@ def calls_extracted(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(graph.extract_calls(bare)).alias("name"))
 
 
-@query("builtin_kinds", "SELECT word, kind FROM (SELECT 'read' AS word, 'database' AS kind UNION ALL SELECT 'hisRollup', 'history' UNION ALL SELECT 'trim', 'string' UNION ALL SELECT 'myOwn', NULL)")
-def builtin_kinds(spark, d):
-    words = spark.createDataFrame([("read",), ("hisRollup",), ("trim",), ("myOwn",)], "word string")
-    return words.select("word", records.builtin_kind(F.col("word")).alias("kind"))
-
-
 @query("text_of_pages", "SELECT page_id, regexp_matches(html, '(?i)<script') AS scripted FROM pages")
 def text_of_pages(spark, d):
     """The text of a page has none of its scripts and tags."""
@@ -107,12 +101,6 @@ def text_of_pages(spark, d):
     return pages.select("page_id", (F.col("html").rlike("(?i)<script") & clean).alias("scripted"))
 
 
-@query("unit_quantities", "SELECT * FROM (VALUES ('h', 3600.0::DOUBLE), ('min', 60.0), ('day', 86400.0)) t(unit, seconds)")
-def unit_quantities(spark, d):
-    rows = [(u.id, float(u.scale)) for u in units.UNITS.values() if u.id in ("h", "min", "day") and units.is_duration(u.id)]
-    return spark.createDataFrame(rows, "unit string, seconds double")
-
-
 @query("subgraph_export_json", """WITH n AS (SELECT 'r' || r_regionkey AS id, r_name AS name FROM region WHERE r_regionkey = 1 UNION ALL SELECT 'n' || n_nationkey, n_name FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 's' || s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1),
  e AS (SELECT 'r1' AS a, 'n' || n_nationkey AS b FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'n' || n_nationkey, 's' || s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey = 1)
  SELECT '{"id":"' || id || '","name":"' || name || '"}' AS text FROM n UNION ALL SELECT '{"source":"' || a || '","target":"' || b || '","type":"contains"}' FROM e""")

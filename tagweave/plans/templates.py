@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from datetime import date, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.operators import reports, search, series
@@ -172,4 +172,36 @@ def find(intent: str, n: int = 5) -> list[tuple[str, float]]:
     return sorted((x for x in scored if x[1]), key=lambda x: (-x[1], x[0]))[:n]
 
 
-__all__ = ["TEMPLATES", "Parameter", "Template", "TemplateError", "find", "run"]
+#: What a stored template must have.
+FIELDS = ("id", "name", "category", "template")
+STORED = "id string, name string, category string, description string, template string, tags array<string>, parameters array<struct<name: string, type: string, description: string, required: boolean>>"
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """Stored templates, from JSON files below a folder, one document a file; (path, ...)."""
+    files = spark.read.schema(STORED).json(path, multiLine=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return files.select(F.col("_metadata.file_path").alias("path"), "*")
+
+
+def problems(stored: DataFrame) -> DataFrame:
+    """(id, problem) of stored templates: missing fields, parameters without a name, type or
+    description, placeholders without a parameter, required parameters without a placeholder."""
+    used = F.array_distinct(F.regexp_extract_all("template", F.lit(r"\{\{([^}]+)\}\}"), F.lit(1)))
+    names = F.transform("parameters", lambda p: p["name"])
+    asked = F.transform(F.filter("parameters", lambda p: F.coalesce(p["required"], F.lit(True))), lambda p: p["name"])
+    none = F.array().cast("array<string>")
+
+    def say(prefix: str, items: Column) -> Column:
+        return F.transform(F.coalesce(items, none), lambda x: F.concat(F.lit(prefix), x))
+
+    missing = F.filter(F.array(*(F.when(F.coalesce(F.col(f), F.lit("")) == "", f) for f in FIELDS), F.when(F.col("parameters").isNull(), "parameters")), lambda x: x.isNotNull())
+    unnamed = F.when(F.exists("parameters", lambda p: F.coalesce(p["name"], F.lit("")) == ""), F.array(F.lit("name")))
+    bare = F.transform(F.filter("parameters", lambda p: (F.coalesce(p["type"], F.lit("")) == "") | (F.coalesce(p["description"], F.lit("")) == "")), lambda p: F.coalesce(p["name"], F.lit("?")))
+    found = F.concat(
+        say("missing ", missing), say("a parameter has no ", unnamed), say("no type or description: ", bare),
+        say("no parameter for ", F.array_except(used, F.coalesce(names, none))), say("not used: ", F.array_except(F.coalesce(asked, none), used)),
+    )
+    return stored.select("id", F.explode(found).alias("problem"))
+
+
+__all__ = ["TEMPLATES", "Parameter", "Template", "TemplateError", "find", "load", "problems", "run"]

@@ -84,16 +84,15 @@ def write_text(df: DataFrame, form: str, name: str = "text") -> DataFrame:
     """One row of text per record, made where the record lies: Zinc rows, Trio records or
     JSON. Zinc rows go below the header that `zinc_header` gives."""
     columns = df.columns
+    if form == "zinc":
+        return zinc_rows(df, name)
 
     def one(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False):
                 record = {c: tagged(v.item() if hasattr(v, "item") else v) for c, v in zip(columns, row, strict=True) if v is not None and v == v}
-                if form == "zinc":
-                    out.append(write_zinc(Grid({}, [(c, {}) for c in columns], [record])).split("\n")[2])
-                else:
-                    out.append(write_trio([record]))
+                out.append(write_trio([record]))
             yield pd.DataFrame({name: out})
 
     if form == "json":
@@ -101,6 +100,104 @@ def write_text(df: DataFrame, form: str, name: str = "text") -> DataFrame:
     return df.mapInPandas(one, f"{name} string")
 
 
+def zinc_cell(column: Column, kind: T.DataType) -> Column:
+    """A value as Zinc writes it, in JVM expressions; nothing for null."""
+    if isinstance(kind, T.StringType):
+        text = column
+        for plain, escaped in (("\\", "\\\\"), ('"', '\\"'), ("$", "\\$"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+            text = F.replace(text, F.lit(plain), F.lit(escaped))
+        out = F.concat(F.lit('"'), text, F.lit('"'))
+    elif isinstance(kind, T.BooleanType):
+        out = F.when(column, "T").otherwise("F")
+    elif isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        out = column.cast("string")
+    elif isinstance(kind, T.NumericType):
+        x = column.cast("double")
+        whole = (F.abs(x) < 1e15) & (x == F.floor(x))
+        out = F.when(F.isnan(x), "NaN").when(F.abs(x) == float("inf"), F.when(x > 0, "INF").otherwise("-INF")).when(whole, x.cast("long").cast("string")).otherwise(x.cast("string"))
+    elif isinstance(kind, T.DateType):
+        out = column.cast("string")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        out = F.concat(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("Z UTC"))
+    else:
+        return zinc_cell(F.to_json(column), T.StringType())
+    return F.when(column.isNull(), "").otherwise(out)
+
+
+def zinc_rows(df: DataFrame, name: str = "text") -> DataFrame:
+    """One line of Zinc per row, made where the row lies."""
+    cells = [zinc_cell(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields]
+    return df.select(F.concat_ws(",", *cells).alias(name))
+
+
+def write_files(df: DataFrame, path: str, form: str, mode: str = "errorifexists") -> None:
+    """A folder with a file for each partition, written by all tasks: csv and zinc files
+    have their header each, trio and json files their records."""
+    writer = df.write.mode(mode)
+    if form == "csv":
+        writer.csv(path, header=True)
+    elif form == "json":
+        writer.json(path)
+    elif form == "zinc":
+        header = zinc_header(df)
+
+        def headed(batches: Iterator[Any]) -> Iterator[Any]:
+            import pyarrow as pa
+
+            for k, batch in enumerate(batches):
+                if not k:
+                    yield pa.RecordBatch.from_arrays([pa.array(header.split("\n"))], schema=batch.schema)
+                yield batch
+
+        zinc_rows(df).mapInArrow(headed, "text string").write.mode(mode).text(path)
+    elif form == "trio":
+        write_text(df, "trio").write.mode(mode).text(path, lineSep="\n---\n")
+    else:
+        raise ValueError(f"no format {form!r}")
+
+
+def changed_files(spark: SparkSession, path: str, since: str, include: str | None = None) -> DataFrame:
+    """(path, modified, changed) of every file below a path: whether it changed after a time."""
+    files = spark.read.format("binaryFile").options(recursiveFileLookup="true", **({"pathGlobFilter": include} if include else {})).load(path)
+    return files.select("path", F.col("modificationTime").alias("modified"), (F.col("modificationTime") > F.lit(since).cast("timestamp")).alias("changed"))
+
+
+class Cache:
+    """Derived tables kept as Parquet: one is made again once a source file is newer than
+    it, or it is older than its most age."""
+
+    def __init__(self, spark: SparkSession, folder: str, most_age_s: float | None = None):
+        self.spark, self.folder, self.most_age_s = spark, folder, most_age_s
+
+    def _files(self, path: str) -> Any:
+        jvm, hadoop = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(hadoop), at
+
+    def made_at(self, name: str) -> float | None:
+        """When a table was written whole, in seconds; None if it wasn't."""
+        files, at = self._files(f"{self.folder}/{name}/_SUCCESS")
+        return files.getFileStatus(at).getModificationTime() / 1000 if files.exists(at) else None
+
+    def is_stale(self, name: str, sources: list[str], now: float | None = None) -> bool:
+        import time
+
+        made = self.made_at(name)
+        if made is None or (self.most_age_s is not None and (now or time.time()) - made > self.most_age_s):
+            return True
+        stamp = F.lit(made).cast("timestamp")
+        return any(not changed_files(self.spark, s, "1970-01-01").where(F.col("modified") > stamp).isEmpty() for s in sources)
+
+    def table(self, name: str, sources: list[str], make: Any, now: float | None = None) -> DataFrame:
+        if self.is_stale(name, sources, now):
+            make().write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def clear(self, name: str) -> None:
+        files, at = self._files(f"{self.folder}/{name}")
+        files.delete(at, True)
+
+
 def zinc_header(df: DataFrame) -> str:
     return "\n".join(write_zinc(Grid({}, [(f.name, {}) for f in df.schema])).split("\n")[:2])
 
