@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +99,27 @@ def one_row_each(members: DataFrame) -> DataFrame:
     best = different.groupBy("grp").agg(F.min(order).alias("best"))
     joined = different.join(best, "grp").select("row", (F.col("row") == F.col("best.row")).alias("stays"), "n")
     return joined.where(~F.col("stays") | (F.col("n") > 1)).select("row", "stays")
+
+
+class Bloom:
+    """Which 64-bit hashes may be among a set's. At most `MOST_BITS` bits, however large the
+    set: then more hashes that aren't pass, and none that are is refused."""
+
+    MOST_BITS = 1 << 27
+
+    def __init__(self, hashes: DataFrame, column: str):
+        """hashes: evenly spread longs, such as those of xxHash."""
+        n = hashes.count()
+        self.bits = min(self.MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+        mask = F.lit(self.bits - 1)
+        both = F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))
+        places = hashes.select(F.explode(both).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))
+        # MOST_BITS / 64 rows at most, 16 bytes each.
+        found = places.agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS INT))")).alias("held")).toPandas()
+        words = np.zeros(self.bits // 64, np.int64)
+        words[found["word"].to_numpy(np.int64)] = found["held"].to_numpy(np.int64)
+        self.held = words.tobytes()
+
+    def __contains__(self, value: int) -> bool:
+        a, b = value & self.bits - 1, (value >> 32) & self.bits - 1
+        return bool(self.held[a >> 3] >> (a & 7) & 1 and self.held[b >> 3] >> (b & 7) & 1)

@@ -8,13 +8,15 @@ one template, whose other places become `<*>` as well (He et al., "Drain", 2017)
 A template that occurs in two documents or more recurs; the document with the
 smallest id keeps its lines, all other documents lose theirs.
 
-Each task collapses equal masked lines before they are shuffled, so a line in a third of
-all documents is a few rows. Leaves are counted first; one with more than `LEAF_LINES`
-different lines is parted where lines have no run of tokens in common, even by way of
-others. No template lies across such parts, so the bound changes where lines are compared
-and never the result; lines that are all connected stay in one task. A leaf keeps all its
-templates; a place that varies equals no token. Texts are shuffled once, with the places
-of the lines they lose.
+A first pass over the texts leaves numbers only: for every line its document, place, leaf
+and hash. Leaves that a single document has can't recur. A second pass collects the lines
+of the others, found by a filter of fixed size; each task collapses equal masked lines
+before they are shuffled, so a line in a third of all documents is a few rows. A leaf with
+more than `LEAF_LINES` different lines is parted where lines have no run of tokens in
+common, even by way of others. No template lies across such parts, so the bound changes
+where lines are compared and never the result; lines that are all connected stay in one
+task. A leaf keeps all its templates; a place that varies equals no token. Texts are
+shuffled once, with the places of the lines they lose.
 
 Defined cases: a null text stays null; lines of fewer than `LEAST_TOKENS` tokens and
 blank lines always stay; rows without an id count as one document after all others;
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import SEPARATORS, durable, join_small, table, whole
+from tagweave.llm.common import SEPARATORS, Bloom, durable, join_small, table, whole
 from tagweave.llm.components import connected_components
 
 LEADING = 3
@@ -74,23 +76,24 @@ def _named(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.col("text").cast("string").alias("text"))
 
 
-def _leaf_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: dict[int, int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["leaf", "n"])
-
-    counts: dict[int, int] = {}
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every line that can be dropped: document, digest of the text, place, leaf, hash."""
     for batch in batches:
-        for text in batch.column(0):
-            for _, _, leaf in masked_lines(text.as_py()):
-                counts[leaf] = counts.get(leaf, 0) + 1
-            if len(counts) > HELD_LINES:
-                yield out(counts)
-                counts = {}
-    yield out(counts)
+        row, pos, leaf, line = [], [], [], []
+        for i, text in enumerate(batch.column(2)):
+            for p, masked, where in masked_lines(text.as_py()):
+                row.append(i)
+                pos.append(p)
+                leaf.append(where)
+                line.append(_hash(masked))
+        picked = pa.array(row, pa.int64())
+        columns = [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), pa.array(leaf, pa.int64()), pa.array(line, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "digest", "pos", "leaf", "line"])
 
 
-def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Masked lines of a task, equal ones once, with the smallest and largest document."""
+def _collapsed(batches: Iterator[pa.RecordBatch], wanted: Bloom) -> Iterator[pa.RecordBatch]:
+    """Masked lines of wanted leaves, a task's equal ones once, with the smallest and
+    largest document."""
 
     def out(held: dict[str, list[int]]) -> pa.RecordBatch:
         leaf, lo, hi = (pa.array([x[i] for x in held.values()], pa.int64()) for i in range(3))
@@ -103,6 +106,8 @@ def _collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for _, line, leaf in masked_lines(text.as_py()):
                 x = held.get(line)
                 if x is None:
+                    if leaf not in wanted:
+                        continue
                     held[line] = [leaf, doc, doc]
                     size += len(line)
                 elif doc < x[1]:
@@ -231,12 +236,14 @@ def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("node", pa.array([_hash(x) for x in batch.column(1).to_pylist()], pa.int64()))
 
 
-def recurring_lines(docs: DataFrame) -> DataFrame:
-    """(line, keep): hashes of lines to drop outside document `keep`."""
-    named = _named(docs)
-    lines = named.mapInArrow(_collapsed, "leaf long, masked string, lo long, hi long")
-    sizes = named.select("text").mapInArrow(_leaf_sizes, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n"))
-    often = durable(sizes.where(F.col("n") > LEAF_LINES).select("leaf"))
+def recurring_lines(named: DataFrame, placed: DataFrame) -> DataFrame:
+    """(line, keep): hashes of lines to drop outside document `keep`, from texts (doc,
+    text) and their lines (doc, leaf, line)."""
+    leaves = placed.groupBy("leaf").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("n"))
+    shared = durable(leaves.where("lo < hi").select("leaf", "n"))
+    held = named.sparkSession.sparkContext.broadcast(Bloom(shared, "leaf"))
+    lines = named.select("doc", "text").mapInArrow(lambda batches: _collapsed(batches, held.value), "leaf long, masked string, lo long, hi long")
+    often = shared.where(F.col("n") > LEAF_LINES).select("leaf")
     if not often.isEmpty():
         # Occurrences are counted so far; only leaves of many different lines are crowded.
         different = durable(join_small(lines, often, ["leaf"], "left_semi").groupBy("leaf", "masked").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
@@ -247,24 +254,13 @@ def recurring_lines(docs: DataFrame) -> DataFrame:
     return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_recurring, "line long, keep long")
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, pos, line = [], [], []
-        for i, text in enumerate(batch.column(2)):
-            for p, masked, _ in masked_lines(text.as_py()):
-                row.append(i)
-                pos.append(p)
-                line.append(_hash(masked))
-        picked = pa.array(row, pa.int64())
-        columns = [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(pos, pa.int32()), pa.array(line, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "digest", "pos", "line"])
-
-
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with cleaned texts, and n_lines and n_dropped, which replace columns of these
     names; other columns unchanged."""
-    placed = _named(docs).select("doc", F.xxhash64("text").alias("digest"), "text").mapInArrow(_places, "doc long, digest long, pos int, line long")
-    gone = placed.join(recurring_lines(docs), "line").where("doc <> keep").groupBy("doc", "digest").agg(F.collect_set("pos").alias("gone"))
+    texts = _named(docs)
+    placed = texts.select("doc", F.xxhash64("text").alias("digest"), "text").mapInArrow(_places, "doc long, digest long, pos int, leaf long, line long")
+    placed = durable(placed)
+    gone = placed.join(recurring_lines(texts, placed), "line").where("doc <> keep").groupBy("doc", "digest").agg(F.collect_set("pos").alias("gone"))
     named = whole(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
     joined = named.join(gone.withColumnRenamed("doc", "id"), ["id", "digest"], "left")
     parts = F.split("doc.text", "\n")
