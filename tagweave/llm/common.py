@@ -73,15 +73,18 @@ def row_key(key: Column, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(key.cast("long").cast("string"), F.lit("-")), F.sha2(text_of(text).cast("binary"), 256))
 
 
+#: Most marked rows, of some 80 bytes each, that are broadcast.
+MARKED_ROWS = 100_000
+
+
 def keep_rows(docs: DataFrame, marked: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows whose `row_key` is in `marked` (row, stays) with stays false;
     of rows that share a key with stays true, one remains. `marked` lists every row that
     is dropped or repeats; rows with other keys aren't touched. Columns unchanged."""
     once = marked.groupBy("row").agg(F.max("stays").alias("stays"))
-    joined = whole(docs, row_key(F.col(key), F.col(text)).alias("row")).join(once, "row", "left")
+    joined = join_small(whole(docs, row_key(F.col(key), F.col(text)).alias("row")), once, ["row"], "left", MARKED_ROWS)
     others = joined.where("stays IS NULL")
     if not marked.where("stays").isEmpty():
-        # The join has dealt rows by their key already, so equal ones are together.
         others = others.unionByName(joined.where("stays").dropDuplicates(["row"]))
     return others.select("doc.*")
 
@@ -120,6 +123,15 @@ class Bloom:
         words[found["word"].to_numpy(np.int64)] = found["held"].to_numpy(np.int64)
         self.held = words.tobytes()
 
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """The same for an array of longs."""
+        v, held = values.view(np.uint64), np.frombuffer(self.held, np.uint8)
+        mask, seven = np.uint64(self.bits - 1), np.uint64(7)
+        found = np.ones(len(v), bool)
+        for at in (v & mask, (v >> np.uint64(32)) & mask):
+            found &= (held[at >> np.uint64(3)] >> (at & seven).astype(np.uint8) & 1).astype(bool)
+        return found
+
     def __contains__(self, value: int) -> bool:
         a, b = value & self.bits - 1, (value >> 32) & self.bits - 1
         return bool(self.held[a >> 3] >> (a & 7) & 1 and self.held[b >> 3] >> (b & 7) & 1)
