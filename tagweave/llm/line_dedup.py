@@ -243,10 +243,12 @@ def recurring_lines(named: DataFrame, placed: DataFrame) -> DataFrame:
     shared = durable(leaves.where("lo < hi").select("leaf", "n"))
     held = named.sparkSession.sparkContext.broadcast(Bloom(shared, "leaf"))
     lines = named.select("doc", "text").mapInArrow(lambda batches: _collapsed(batches, held.value), "leaf long, masked string, lo long, hi long")
+    # Equal lines of all tasks meet by line, not by leaf, so a common line is one row of its leaf.
+    lines = lines.groupBy("leaf", "masked").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     often = shared.where(F.col("n") > LEAF_LINES).select("leaf")
     if not often.isEmpty():
         # Occurrences are counted so far; only leaves of many different lines are crowded.
-        different = durable(join_small(lines, often, ["leaf"], "left_semi").groupBy("leaf", "masked").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        different = durable(join_small(lines, often, ["leaf"], "left_semi"))
         crowded = durable(different.groupBy("leaf").count().where(F.col("count") > LEAF_LINES).select("leaf"))
         lines = join_small(lines, often, ["leaf"], "left_anti").unionByName(join_small(different, crowded, ["leaf"], "left_anti"))
         if not crowded.isEmpty():
