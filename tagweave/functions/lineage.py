@@ -4,7 +4,18 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(session: SparkSession) -> str:
+    """The cluster's shared folder. One of our own only in local mode, where driver and
+    tasks are one process; on a cluster an unset folder is an error."""
+    configured = session.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured
+    if session.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="tagweave-")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -12,11 +23,5 @@ def durable(df: DataFrame) -> DataFrame:
     session = df.sparkSession
     context = session.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = session.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tagweave-"))
+        context.setCheckpointDir(shared_folder(session))
     return df.checkpoint(eager=True)
-
-
-def shared_folder(session) -> str:  # noqa: ANN001
-    """The cluster's shared folder; a local one only where none is configured."""
-    return session.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tagweave-")

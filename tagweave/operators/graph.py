@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,18 +20,24 @@ def of_kind(edges: DataFrame, kind: str | None) -> DataFrame:
     return edges if kind is None else edges.where(F.col("kind") == kind)
 
 
+#: Most rows, of an id and a number, that a level or a ranking is broadcast with.
+FEW = 100_000
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int = 5, reverse: bool = False) -> DataFrame:
     """(id, depth): what is reached from start (id) in 1 to depth steps, at least depth.
-    The start itself is in the result if a cycle leads back to it."""
+    The start itself is in the result if a cycle leads back to it. A level that is counted
+    and small is broadcast to the edges; a larger one is joined by a shuffle."""
     a, b = ("dst", "src") if reverse else ("src", "dst")
     hops = durable(edges.select(F.col(a).alias("a"), F.col(b).alias("id")).distinct())
     frontier = start.select(F.col("id").alias("a")).distinct()
-    seen = None
+    n, seen = frontier.count(), None
     for level in range(1, depth + 1):
-        step = hops.join(frontier, "a").select("id").distinct()
-        fresh = durable((step if seen is None else step.join(seen, "id", "left_anti")).withColumn("depth", F.lit(level)))
-        if fresh.isEmpty():
+        if not n:
             break
+        step = hops.join(F.broadcast(frontier) if n <= FEW else frontier, "a").select("id").distinct()
+        fresh = durable((step if seen is None else step.join(seen, "id", "left_anti")).withColumn("depth", F.lit(level)))
+        n = fresh.count()
         seen = fresh if seen is None else seen.unionByName(fresh)
         frontier = fresh.select(F.col("id").alias("a"))
     return seen if seen is not None else start.select("id").limit(0).withColumn("depth", F.lit(0))
@@ -153,17 +160,30 @@ def containment_depth(nodes: DataFrame, edges: DataFrame, most: int = 64) -> Dat
 
 
 def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
-    """(id, rank). Parallel edges count; rank that reaches a node without calls is lost."""
+    """(id, rank). Parallel edges count; rank that reaches a node without calls is lost.
+
+    Links are dealt by their source once and stay so; a round moves ranks to them, which are
+    broadcast where the nodes are counted and few, and what they give to their ends."""
     ids = durable(nodes.select("id").distinct())
     n = ids.count()
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    links = durable(edges.groupBy("src", "dst").agg(F.count("*").alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share")))
+    given = edges.groupBy("src", "dst").agg(F.count("*").alias("times")).join(out, "src").select("src", "dst", (F.col("times") / F.col("out")).alias("share"))
+    for end in ("src", "dst"):  # nodes that aren't listed have no rank
+        given = given.join(ids.withColumnRenamed("id", end), end, "left_semi")
+    # A link of no weight to itself keeps a node that nothing leads to.
+    links = durable(given.unionByName(ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("share"))))
+    few = n <= FEW
+    if not few:
+        links = links.repartition("src").persist(StorageLevel.DISK_ONLY)
     rank = ids.withColumn("rank", F.lit(1.0 / max(1, n)))
     for k in range(rounds):
-        given = links.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        rank = ids.join(given, "id", "left").select("id", (F.lit((1 - damping) / max(1, n)) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
-        if k % 5 == 4:
+        held = rank.withColumnRenamed("id", "src")
+        got = links.join(F.broadcast(held) if few else held, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        rank = got.select("id", (F.lit((1 - damping) / max(1, n)) + damping * F.col("got")).alias("rank"))
+        if k % 5 == 4 or k == rounds - 1:
             rank = durable(rank)
+    if not few:
+        links.unpersist()
     return rank
 
 

@@ -22,6 +22,12 @@ def token_index(df: DataFrame, key: str, *texts: str) -> DataFrame:
     return spread(df.select(key, *texts)).select(F.explode(scalars.tokens(joined)).alias("token"), F.col(key).alias("id")).distinct()
 
 
+def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Sorted by token in range partitions, so a search reads the few row groups that its
+    terms may be in."""
+    index.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode(mode).parquet(path)
+
+
 def index_statistics(index: DataFrame) -> DataFrame:
     per = index.groupBy("token").agg(F.count("*").alias("n"))
     return per.agg(F.count("*").alias("tokens"), F.sum("n").alias("postings"), F.round(F.avg("n"), 4).alias("avg_postings"), F.max("n").alias("most"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tagweave.functions.lineage import shared_folder
 from tagweave.operators import search
 from tagweave.plans.registry import query, table
+from tagweave.sources import readers
 
 _INDEX = "WITH i AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: len(t) >= 2)) AS token, doc_id AS id FROM documents)"
 
@@ -24,6 +26,19 @@ def search_and(spark, d):
     return search.search_all(_index(spark, d), ["the", "thea", "with"])
 
 
+@query("search_saved", _INDEX + " SELECT id FROM i WHERE token LIKE 'licens%' AND ((SELECT count(*) FROM i WHERE token = 'licens') = 0 OR token = 'licens') INTERSECT SELECT id FROM i WHERE token = 'the'")
+def search_saved(spark, d):
+    """Words in an index that is kept, and made again when the documents are newer."""
+    import zlib
+
+    cache = readers.Cache(spark, f"{shared_folder(spark)}/indexes")
+    name = f"tokens-{zlib.crc32(d.encode()):08x}"
+    source = f"{d}/documents.parquet"
+    if cache.is_stale(name, [source]):
+        search.save_index(_index(spark, d), f"{cache.folder}/{name}")
+    return search.search_all(spark.read.parquet(f"{cache.folder}/{name}"), ["licens", "the"])
+
+
 @query("search_or", _INDEX + " SELECT DISTINCT id FROM i WHERE token LIKE 'licens%' OR token LIKE 'apache%'")
 def search_or(spark, d):
     return search.search_any(_index(spark, d), ["licens", "Apache"])

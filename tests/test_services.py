@@ -169,3 +169,23 @@ def test_positions_of_grids(spark):
     assert sorted(r.position for r in grid.insert(frame, ["k"], 99, more, ["k"]).where("k >= 100").collect()) == [10, 11]
     assert grid.get(frame, ["k"], 3).first().v == 6 and grid.get(frame, ["k"], 10).isEmpty() and grid.last(frame, ["k"]).first().k == 9
     assert grid.length(grid.clear(frame)).first().asDict() == {"n": 0, "empty": True}
+
+
+def test_page_rank_against_plain_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    arcs = [(int(a), int(b)) for a, b in rng.integers(0, 12, (40, 2))]
+    edges = spark.createDataFrame(arcs, "src long, dst long")
+    rank = dict.fromkeys(range(11), 1 / 11)  # node 11 isn't listed
+    for _ in range(7):
+        rank = {v: 0.15 / 11 + 0.85 * sum(rank[a] / sum(x == a for x, _ in arcs) for a, b in arcs if b == v and a in rank) for v in rank}
+    for few in (100_000, 0):
+        monkeypatch.setattr(graph, "FEW", few)
+        found = {r.id: r["rank"] for r in graph.page_rank(spark.range(11), edges, 7).collect()}
+        assert set(found) == set(rank) and all(abs(found[v] - rank[v]) < 1e-12 for v in rank)
+        near = {r.id: r.depth for r in graph.reach(edges, spark.range(1), 12).collect()}
+        seen, level, depth = set(), {0}, {}
+        for k in range(1, 13):
+            level = {b for a, b in arcs if a in level} - seen
+            seen |= level
+            depth |= dict.fromkeys(level, k)
+        assert near == depth
