@@ -188,9 +188,11 @@ def page(df: DataFrame, order: Sequence[str], offset: int, limit: int, most: int
 
 
 def list_by(df: DataFrame, column: str, order: Sequence[str]) -> DataFrame:
-    """One row with the column's values in order, without missing ones."""
-    held = F.sort_array(F.collect_list(F.when(F.col(column).isNotNull(), F.struct(*order, F.col(column).alias("__v")))))
-    return df.agg(F.transform(held, lambda x: x["__v"]).alias(column))
+    """The column's values in order, without missing ones: (position, column), a row each, so
+    a long list lies in many partitions. A list in one cell is made by group, where groups
+    are bounded."""
+    held = df.where(F.col(column).isNotNull()).select(*dict.fromkeys([*order, column]))
+    return numbered(held, order).select("position", column)
 
 
 def fold(df: DataFrame, column: str, by: Sequence[str] = (), digits: int | None = None) -> DataFrame:

@@ -7,8 +7,11 @@ Scores are expressions; a ranked answer is a top-k, never a sort of everything.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -283,37 +286,93 @@ def search_workflows(df: DataFrame, query: str = "", semantic: DataFrame | None
 
 # --- vectors ---
 
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
-#: Most query vectors that are broadcast against all rows at once.
+#: Query vectors that are sent to all tasks at once: a few MB at any dimension in use.
 QUERY_BLOCK = 1000
+#: Products of scores that a task holds at once.
+HELD_SCORES = 4_000_000
+
+
+class _Best:
+    """The k best rows of each of some queries, from batches of rows."""
+
+    def __init__(self, asked: np.ndarray, vectors: np.ndarray, k: int, least: float | None, exclude_self: bool):
+        self.asked, self.k, self.least, self.exclude_self = asked, k, least, exclude_self
+        norms = np.sqrt((vectors * vectors).sum(1))
+        self.units = vectors / np.where(norms > 0, norms, np.nan)[:, None]
+        self.keys = np.zeros((len(asked), 0), np.int64)
+        self.scores = np.zeros((len(asked), 0))
+
+    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
+        norms = np.sqrt((vectors * vectors).sum(1))
+        for begin in range(0, len(keys), max(1, HELD_SCORES // max(1, len(self.asked)))):
+            part = slice(begin, begin + max(1, HELD_SCORES // max(1, len(self.asked))))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found = self.units @ (vectors[part] / norms[part, None]).T
+            # Equal vectors must tie, whatever the order their products were summed in.
+            found = np.round(found, 12)
+            bad = np.isnan(found)
+            if self.least is not None:
+                bad |= found < self.least
+            if self.exclude_self:
+                bad |= self.asked[:, None] == keys[None, part]
+            found[bad] = -np.inf
+            self._merge(np.broadcast_to(keys[part], found.shape), found)
+
+    def _merge(self, keys: np.ndarray, scores: np.ndarray) -> None:
+        keys, scores = np.concatenate((self.keys, keys), 1), np.concatenate((self.scores, scores), 1)
+        if scores.shape[1] > self.k:
+            # The k-th best score; all above it and its ties by key stay.
+            order = np.lexsort((keys, -scores), axis=1)[:, : self.k]
+            keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
+        self.keys, self.scores = keys, scores
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row, column = np.nonzero(np.isfinite(self.scores))
+        return self.asked[row], self.keys[row, column], self.scores[row, column]
+
+
+def _rows_of(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of a dimension, and those vectors as rows."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    where = np.flatnonzero(lengths == dim)
+    flat = column.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return where, flat.reshape(len(where), dim)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", least: float | None = None, exclude_self: bool = True) -> DataFrame:
-    """(query, key, score): the k most similar rows of each query by cosine.
-
-    The query set is stated by the caller; blocks of QUERY_BLOCK are broadcast against
-    all rows, and each task keeps its own k best before anything is shuffled."""
-    normed = vectors.select(key, F.col(vector).alias("__v"), norm(F.col(vector)).alias("__n"))
-    asked = queries.select(F.col(key).alias("query"), F.col(vector).alias("__q"), norm(F.col(vector)).alias("__m"))
-    n = asked.count()
+    """(query, key, score): the k most similar rows of each query by cosine, ties by key.
+
+    The query set is stated by the caller; blocks of QUERY_BLOCK are sent to all tasks,
+    which multiply them with their rows in Arrow batches and keep their own k best, so k rows
+    for each query and task are all that is shuffled. Vectors that are null, of length zero or
+    of another dimension are near to nothing."""
+    named = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    asked = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     out = None
-    for block in range(max(1, -(-n // QUERY_BLOCK))):
-        some = asked if n <= QUERY_BLOCK else asked.where(F.pmod(F.xxhash64("query"), F.lit(-(-n // QUERY_BLOCK))) == block)
-        joined = normed.join(F.broadcast(some), F.col("query") != F.col(key) if exclude_self else F.lit(True))
-        scored = joined.select("query", key, F.try_divide(dot(F.col("__v"), F.col("__q")), F.col("__n") * F.col("__m")).alias("score")).where("score IS NOT NULL")
+    for block in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
+        table = some.orderBy("query").toArrow()  # about QUERY_BLOCK rows
+        held = vectors.sparkSession.sparkContext.broadcast((table["query"].to_numpy(), [x.as_py() for x in table["vector"]]))
+
+        def best(batches: Iterator[pa.RecordBatch], held: Any = held) -> Iterator[pa.RecordBatch]:
+            ids, rows = held.value
+            found: dict[int, _Best] = {}
+            for dim in {len(r) for r in rows}:
+                same = [i for i, r in enumerate(rows) if len(r) == dim]
+                found[dim] = _Best(ids[same], np.array([rows[i] for i in same], np.float64).reshape(len(same), dim), k, least, exclude_self)
+            for batch in batches:
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                for dim, kept in found.items():
+                    where, matrix = _rows_of(batch.column(1), dim)
+                    kept.add(keys[where], matrix)
+            for x in found.values():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.rows()], ["query", "key", "score"])
+
+        scored = named.where("key IS NOT NULL").mapInArrow(best, "query long, key long, score double")
         out = scored if out is None else out.unionByName(scored)
-    if least is not None:
-        out = out.where(F.col("score") >= least)
-    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
-    return out.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+    nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return out.withColumn("nth", nth).where(F.col("nth") <= k).select("query", F.col("key").alias(key), "score")
 
 
 def hybrid(scored: DataFrame, degree: DataFrame, key: str, weight: float = 0.3, full: float = 20.0) -> DataFrame:

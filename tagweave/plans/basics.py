@@ -136,9 +136,9 @@ def grid_columns(spark, d):
     return grid.reorder_columns(grid.limit_columns(table(spark, d, "customer"), ["c_mktsegment", "c_acctbal", "c_custkey", "nothing"]), ["c_mktsegment"])
 
 
-@query("grid_list_by", "SELECT list(r_name ORDER BY r_regionkey) AS r_name FROM region")
+@query("grid_list_by", "SELECT row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS position, c_name FROM customer")
 def grid_list_by(spark, d):
-    return grid.list_by(table(spark, d, "region"), "r_name", ["r_regionkey"])
+    return grid.list_by(table(spark, d, "customer"), "c_name", ["c_acctbal", "c_custkey"])
 
 
 @query("grid_add_widen", "SELECT n_nationkey AS id, n_name AS name, CAST(NULL AS DOUBLE) AS bal FROM nation UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tagweave.engine import Engine, Workspace
 from tagweave.functions.filters import Symbol
-from tagweave.operators import graph, graph_dsl, grid, normalize, ontology, usage
+from tagweave.operators import graph, graph_dsl, grid, normalize, ontology, search, usage
 from tagweave.plans import templates
 from tagweave.sources import readers
 from tagweave.sources.values import MARKER
@@ -189,3 +189,28 @@ def test_page_rank_against_plain_rounds(spark, monkeypatch):
             seen |= level
             depth |= dict.fromkeys(level, k)
         assert near == depth
+
+
+def test_nearest_against_plain_cosines(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i, rng.normal(size=6).tolist()) for i in range(120)]
+    data += [(200 + i, data[i][1]) for i in range(30)]  # copies tie
+    data += [(300, None), (301, [0.0] * 6), (302, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (303, [1.0, 2.0]), (304, [2.0, 4.1]), (None, [1.0] * 6)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<float>").repartition(3)
+    whole = {i: np.array(v, np.float32).astype(float) for i, v in data if i is not None and v and None not in v and any(v)}
+    asked = [0, 50, 100, 200, 300, 301, 303]
+    queries = frame.where(F.col("vec_id").isin(asked))
+    expect = {}
+    for q in asked:
+        if q in whole:
+            all_ = [(-round(float(v @ whole[q] / np.linalg.norm(v) / np.linalg.norm(whole[q])), 12), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+            expect[q] = [(i, -s) for s, i in sorted(all_)[:5]]
+    for block, held in ((1000, 4_000_000), (2, 30)):
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        monkeypatch.setattr(search, "HELD_SCORES", held)
+        found = {}
+        for r in search.nearest(frame, queries, 5).collect():
+            found.setdefault(r["query"], []).append((-r.score, r.vec_id))
+        assert {q: [i for _, i in sorted(x)] for q, x in found.items()} == {q: [i for i, _ in x] for q, x in expect.items()}
+    assert search.nearest(frame, queries.limit(0), 5).count() == 0 and search.nearest(frame.limit(0), queries, 5).count() == 0
+    assert {r["query"] for r in search.nearest(frame, queries, 3, least=0.999999).collect()} == {0, 200}
