@@ -123,30 +123,28 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def _distance(rows: DataFrame) -> DataFrame:
     """Adds d2 from the location m* and the Cholesky factor l** of the scatter."""
+    names = rows.columns
+    steps = []  # each uses the ones before it, which one select resolves
     for i, x in enumerate(NAMES):
-        value = F.col(x) - F.col(f"m{i}")
-        for j in range(i):
-            value = value - F.col(f"l{i}{j}") * F.col(f"__z{j}")
-        rows = rows.withColumn(f"__z{i}", value / F.col(f"l{i}{i}"))
-    d2 = sum((F.col(f"__z{i}") * F.col(f"__z{i}") for i in range(1, D)), F.col("__z0") * F.col("__z0"))
-    return rows.withColumn("d2", d2).drop(*(f"__z{i}" for i in range(D)))
+        known = "".join(f" - l{i}{j} * z{j}" for j in range(i))
+        steps.append(f"({x} - m{i}{known}) / l{i}{i} AS z{i}")
+    total = " + ".join(f"z{i} * z{i}" for i in range(D))
+    return rows.selectExpr("*", *steps, f"{total} AS d2").select(*names, "d2")
 
 
 def _factored(params: DataFrame) -> DataFrame:
     """From means m*, and second moments s** of at least FLOOR, the Cholesky factor and
     the logarithm of its determinant."""
+    steps = []
     for i in range(D):
         for j in range(i + 1):
-            value = F.col(f"s{i}{j}")
-            for k in range(j):
-                value = value - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            params = params.withColumn(
-                f"l{i}{j}",
-                # What earlier statistics explain leaves at least a part of the floor.
-                F.sqrt(F.greatest(value, F.lit((0.5 * FLOOR[NAMES[i]]) ** 2))) if i == j else value / F.col(f"l{j}{j}"),
-            )
-    det = sum((F.log(f"l{i}{i}") for i in range(1, D)), F.log("l00"))
-    return params.withColumn("logdet", det).drop(*(f"s{i}{j}" for i in range(D) for j in range(i + 1)))
+            value = f"s{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            # What earlier statistics explain leaves at least a part of the floor.
+            steps.append(f"sqrt(greatest({value}, {(0.5 * FLOOR[NAMES[i]]) ** 2!r}D)) AS l{i}{i}" if i == j else f"({value}) / l{j}{j} AS l{i}{j}")
+    kept = [c for c in params.columns if not (c[0] == "s" and c[1:].isdigit())]
+    factor = [f"l{i}{j}" for i in range(D) for j in range(i + 1)]
+    total = " + ".join(f"ln(l{i}{i})" for i in range(D))
+    return params.selectExpr("*", *steps, f"{total} AS logdet").select(*kept, *factor, "logdet")
 
 
 def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
