@@ -375,6 +375,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id",
     return out.withColumn("nth", nth).where(F.col("nth") <= k).select("query", F.col("key").alias(key), "score")
 
 
+def pooled(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
+    """(key, vector): the mean of each key's vectors, of length one: how the vectors of a
+    text's tokens become that of the text. Places are averaged where they lie before they
+    move; a mean of length zero stays as it is."""
+    places = vectors.select(key, F.posexplode(F.col(vector)).alias("__at", "__x"))
+    means = places.groupBy(key, "__at").agg(F.avg("__x").alias("__x"))
+    whole = means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__x"))), lambda p: p["__x"]).alias("__v"))
+    length = F.sqrt(F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x))
+    return whole.select(key, F.transform("__v", lambda x: F.when(length > 0, x / length).otherwise(x)).alias(vector))
+
+
 def hybrid(scored: DataFrame, degree: DataFrame, key: str, weight: float = 0.3, full: float = 20.0) -> DataFrame:
     """(1 - w) * cosine + w * min(1, degree / full), best first within a query."""
     joined = scored.join(degree, key, "left")

@@ -218,6 +218,13 @@ def hybrid_rank(spark, d):
     return search.hybrid(_knn(spark, d), degree, "vec_id").select("query", "vec_id", F.round("blended", 5).alias("blended"))
 
 
+@query("vectors_pooled", "WITH p AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT label, k, avg(x) AS x FROM p GROUP BY 1, 2), n AS (SELECT label, sqrt(sum(x * x)) AS l FROM m GROUP BY 1) SELECT label, k - 1 AS place, round(x / l, 6) AS x FROM m JOIN n USING (label)")
+def vectors_pooled(spark, d):
+    """The mean direction of each label's vectors."""
+    found = search.pooled(table(spark, d, "embeddings"), "label")
+    return found.select("label", F.posexplode("embedding").alias("place", "x")).select("label", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
 @query("vector_upsert", "SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN -1 ELSE label END AS label FROM embeddings")
 def vector_upsert(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", "label")
