@@ -38,7 +38,7 @@ def grid_insert(spark, d):
     return grid.insert(s, ["k"], 3, n, ["k"])
 
 
-@query("grid_set_row", "SELECT CASE WHEN n_nationkey = 4 THEN 99 ELSE n_nationkey END AS n_nationkey, CASE WHEN n_nationkey = 4 THEN NULL ELSE n_name END AS n_name, n_nationkey AS position FROM nation")
+@query("grid_set_row", "SELECT CASE WHEN n_nationkey = 4 THEN 99 ELSE n_nationkey END AS n_nationkey, CASE WHEN n_nationkey = 4 THEN NULL ELSE n_name END AS n_name, CAST(n_nationkey AS BIGINT) AS position FROM nation")
 def grid_set_row(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", "n_name")
     return grid.set_row(n, ["n_nationkey"], 4, {"n_nationkey": 99})
