@@ -15,7 +15,8 @@ before they are shuffled, so a line in a third of all documents is a few rows. A
 more than `LEAF_LINES` different lines is parted where lines have no run of tokens in
 common, even by way of others. No template lies across such parts, so the bound changes
 where lines are compared and never the result; lines that are all connected stay in one
-task. A leaf keeps all its templates; a place that varies equals no token. Texts are
+task, which reads them in order and keeps their templates and 16 bytes a line. A leaf keeps
+all its templates; a place that varies equals no token. Texts are
 shuffled once, with the places of the lines they lose.
 
 Defined cases: a null text stays null; lines of fewer than `LEAST_TOKENS` tokens and
@@ -27,6 +28,7 @@ then an empty text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from operator import eq
@@ -44,7 +46,7 @@ LEADING = 3
 LEAST_TOKENS = 5
 ALIKE = 0.8
 LEAF_LINES = 50_000
-#: Lines of a leaf up to which all templates are compared, without an index.
+#: Templates of a leaf up to which all are compared, without an index.
 SCANNED = 32
 WILDCARD = "<*>"
 LAST = (1 << 63) - 1
@@ -135,77 +137,87 @@ def _differing(n: int) -> int:
     return next(d for d in range(n, -1, -1) if (n - d) / n >= ALIKE)
 
 
-def group_leaf(lines: list[tuple[int, str]]) -> list[int]:
-    """The template number of each (order, masked line) of one leaf.
-
-    All templates are kept. Where there are many, those that share a run of tokens with
-    the line are compared, which are all that can be alike."""
-    groups: list[int] = []
-    templates: list[list[str | None]] = []  # None is a place that varies
-    index: dict[tuple, set[int]] | None = {} if len(lines) > SCANNED else None
-    for _, line in lines:
+class Leaf:
+    """The templates of one leaf, grown line by line; of the lines only hashes are kept.
+
+    All templates stay. Where there are many, those that share a run of tokens with the
+    line are compared, which are all that can be alike."""
+
+    def __init__(self) -> None:
+        self.templates: list[list[str | None]] = []  # None is a place that varies
+        self.index: dict[tuple, set[int]] | None = None
+        self.lines, self.numbers = array("q"), array("q")
+        self.first, self.last = array("q"), array("q")  # by template
+
+    def place(self, line: str) -> int:
+        """The number of the line's template."""
         tokens = line.split(" ")
-        near = range(len(templates)) if index is None else sorted(set().union(*(index.get(x, ()) for x in blocks(tokens))))
+        if self.index is None and len(self.templates) > SCANNED:
+            self.index = {}
+            for number, template in enumerate(self.templates):
+                for x in blocks(template):
+                    self.index.setdefault(x, set()).add(number)
+        near = range(len(self.templates)) if self.index is None else sorted(set().union(*(self.index.get(x, ()) for x in blocks(tokens))))
         best, number = 0.0, -1
         for i in near:
-            same = sum(map(eq, templates[i], tokens)) / len(tokens)
+            same = sum(map(eq, self.templates[i], tokens)) / len(tokens)
             if same > best:
                 best, number = same, i
         if best >= ALIKE:
-            old = templates[number]
+            old = self.templates[number]
             new = [a if a == b else None for a, b in zip(old, tokens, strict=True)]
+            self.templates[number] = new
         else:
-            number, old, new = len(templates), None, tokens
-            templates.append(tokens)
-        if index is not None and new != old:
+            number, old, new = len(self.templates), None, tokens
+            self.templates.append(tokens)
+        if self.index is not None and new != old:
             for x in blocks(old) if old else ():
-                index[x].discard(number)
+                self.index[x].discard(number)
             for x in blocks(new):
-                index.setdefault(x, set()).add(number)
-        templates[number] = new
-        groups.append(number)
-    return groups
+                self.index.setdefault(x, set()).add(number)
+        return number
+
+    def add(self, line: str, lo: int, hi: int) -> None:
+        number = self.place(line)
+        self.lines.append(_hash(line))
+        self.numbers.append(number)
+        if number == len(self.first):
+            self.first.append(lo)
+            self.last.append(hi)
+        else:
+            self.first[number] = min(self.first[number], lo)
+            self.last[number] = max(self.last[number], hi)
+
+    def recurring(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the lines whose template two documents have, and the document that keeps them."""
+        lines, numbers, first, last = (np.frombuffer(x, np.int64) for x in (self.lines, self.numbers, self.first, self.last))
+        found = first[numbers] != last[numbers]
+        return lines[found], first[numbers[found]]
+
+
+def group_leaf(lines: list[tuple[int, str]]) -> list[int]:
+    """The template number of each (order, masked line) of one leaf."""
+    leaf = Leaf()
+    return [leaf.place(line) for _, line in lines]
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by leaf: the lines whose template occurs in two documents, and the
-    document that keeps them."""
-    rest: pa.Table | None = None
-
-    def flush(part: pa.Table) -> pa.RecordBatch:
-        leaf = part["leaf"].to_numpy()
-        lo, hi = part["lo"].to_numpy(), part["hi"].to_numpy()
-        text = part["masked"].combine_chunks()
-        edge = np.flatnonzero(np.concatenate(([True], leaf[1:] != leaf[:-1], [True])))
-        lines, keeps = [], []
-        for k in np.flatnonzero((np.diff(edge) > 1) | (lo != hi)[edge[:-1]]):
-            a, b = int(edge[k]), int(edge[k + 1])
-            merged: dict[str, tuple[int, int]] = {}
-            for i, line in enumerate(text.slice(a, b - a).to_pylist(), a):
-                first, last = merged.get(line, (LAST, -LAST))
-                merged[line] = min(first, int(lo[i])), max(last, int(hi[i]))
-            ordered = sorted(merged, key=lambda x: (merged[x][0], x))
-            groups = group_leaf([(i, x) for i, x in enumerate(ordered)])
-            span: dict[int, tuple[int, int]] = {}
-            for x, g in zip(ordered, groups, strict=True):
-                first, last = span.get(g, (LAST, -LAST))
-                span[g] = min(first, merged[x][0]), max(last, merged[x][1])
-            for x, g in zip(ordered, groups, strict=True):
-                if span[g][0] != span[g][1]:
-                    lines.append(_hash(x))
-                    keeps.append(span[g][0])
-        return pa.RecordBatch.from_arrays([pa.array(lines, pa.int64()), pa.array(keeps, pa.int64())], ["line", "keep"])
+    """From rows sorted by leaf, document and line: the lines whose template occurs in two
+    documents, and the document that keeps them."""
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)])) for i in range(2)], ["line", "keep"])
 
+    number, leaf = None, Leaf()
     for batch in batches:
-        whole = pa.Table.from_batches([batch])
-        rest = pa.concat_tables([rest, whole]) if rest is not None and rest.num_rows else whole
-        leaf = rest["leaf"].to_numpy()
-        done = int(np.flatnonzero(leaf != leaf[-1])[-1]) + 1 if len(leaf) and leaf[0] != leaf[-1] else 0
-        if done:
-            yield flush(rest.slice(0, done))
-            rest = rest.slice(done)
-    if rest is not None and rest.num_rows:
-        yield flush(rest)
+        found = []
+        for at, line, lo, hi in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if at != number:
+                found.append(leaf.recurring())
+                number, leaf = at, Leaf()
+            leaf.add(line, lo, hi)
+        yield out(found)
+    yield out([leaf.recurring()])
 
 
 def _filed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +265,7 @@ def recurring_lines(named: DataFrame, placed: DataFrame) -> DataFrame:
         lines = join_small(lines, often, ["leaf"], "left_anti").unionByName(join_small(different, crowded, ["leaf"], "left_anti"))
         if not crowded.isEmpty():
             lines = lines.unionByName(_apart(join_small(different, crowded, ["leaf"], "left_semi")))
-    return lines.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_recurring, "line long, keep long")
+    return lines.repartition("leaf").sortWithinPartitions("leaf", "lo", "masked").select("leaf", "masked", "lo", "hi").mapInArrow(_recurring, "line long, keep long")
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
