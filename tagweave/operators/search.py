@@ -22,7 +22,8 @@ from tagweave.functions.partitions import spread
 def token_index(df: DataFrame, key: str, *texts: str) -> DataFrame:
     """(token, id) over one or more text columns."""
     joined = F.concat_ws(" ", *texts)
-    return spread(df.select(key, *texts)).select(F.explode(scalars.tokens(joined)).alias("token"), F.col(key).alias("id")).distinct()
+    # A text's own repeats go before anything is shuffled.
+    return spread(df.select(key, *texts)).select(F.explode(F.array_distinct(scalars.tokens(joined))).alias("token"), F.col(key).alias("id")).distinct()
 
 
 def save_index(index: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -31,3 +31,19 @@ def test_dimensions_join_without_a_shuffle(spark, name):
 def test_no_python_in_builtin_operators(spark):
     for name in ("rollup_15min_max", "periods_above", "sessionize_gap", "dict_diff_orders", "search_or", "html_sections"):
         assert "Python" not in plan(spark, name) and "Pandas" not in plan(spark, name)
+
+
+def test_a_saved_index_is_read_by_its_tokens(spark):
+    text = plan(spark, "search_saved")
+    assert "StringStartsWith(token,licens)" in text and "StringStartsWith(token,the)" in text
+
+
+def test_vector_search_pairs_no_rows(spark):
+    text = plan(spark, "knn_cosine")
+    assert "MapInArrow" in text and "NestedLoop" not in text and "CartesianProduct" not in text
+    assert text.count("Exchange hashpartitioning(query") >= 1
+
+
+def test_word_search_shuffles_each_id_once(spark):
+    text = catalogue.QUERIES["search_and"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "Window" not in text
