@@ -166,6 +166,16 @@ class Engine:
         score = search.doc_score(query, F.col("title"), F.col("body"), F.col("library"))
         return df.withColumn("score", score).where("score > 0").withColumn("shown", search.highlight(F.col("body"), query)).orderBy(F.desc("score"), "title").limit(n)
 
+    def save_index(self, table: str, key: str, texts: Sequence[str], path: str) -> Engine:
+        """Keeps the words of a table at a path, for `search_words`."""
+        search.save_index(search.token_index(self._table(table), key, *texts), path)
+        return self
+
+    def search_words(self, path: str, words: Sequence[str], every: bool = True) -> DataFrame:
+        """(id) of the texts in a kept index that have every word, or any."""
+        index = self.spark.read.parquet(path)
+        return search.search_all(index, words) if every else search.search_any(index, words)
+
     def search_lines(self, pattern: str, table: str, key: str, text: str, context: int = 1) -> DataFrame:
         return search.regex_lines(self._table(table), key, text, pattern, context)
 

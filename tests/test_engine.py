@@ -90,3 +90,11 @@ def test_cost_model(spark):
     text = "readAll(site).each(s => readAll(point).map(p => hisRead(p)))"
     row = spark.range(1).select(usage.cost_model(F.lit(text)).alias("cost"), usage.lint(F.lit(text)).alias("lint"), usage.duration_class(F.lit(300), F.lit(text)).alias("d")).first()
     assert row.cost == (1 + 10 + 10 + 20 + 2 + 2) * 10 and row.d == "1-5s" and row.lint == "n+1,nested,unbounded"
+
+
+def test_words_of_a_kept_index(engine, spark, tmp_path):
+    engine.add("note", spark.createDataFrame([(1, "Sensor north", "broken"), (2, "sensor", "north wing"), (3, "sensors", None)], "id int, a string, b string"))
+    engine.save_index("note", "id", ["a", "b"], f"{tmp_path}/index")
+    assert sorted(r.id for r in engine.search_words(f"{tmp_path}/index", ["Sensor", "nor"]).collect()) == [1, 2]
+    assert sorted(r.id for r in engine.search_words(f"{tmp_path}/index", ["sensor"]).collect()) == [1, 2]
+    assert sorted(r.id for r in engine.search_words(f"{tmp_path}/index", ["sensor", "wing"], every=False).collect()) == [1, 2, 3]
