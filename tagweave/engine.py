@@ -135,6 +135,10 @@ class Engine:
     def graph(self, text: str) -> DataFrame:
         return graph_dsl.parse(text).run(self._table("node"), self._table("edge"))
 
+    def find_nodes(self, text: str, n: int = 50) -> DataFrame:
+        """Nodes whose name contains the text, by name."""
+        return graph.find_nodes(self._table("node"), text).orderBy("name", "id").limit(n)
+
     def callers(self, id_: Any, depth: int = 5) -> DataFrame:
         return graph.callers(self._table("edge"), self._table("node").where(F.col("id") == id_), depth)
 

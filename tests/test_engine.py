@@ -64,6 +64,10 @@ def test_functions(engine, spark):
 
 def test_graph(engine, spark):
     assert {r.id: r.depth for r in engine.callers(1, 5).collect()} == {3: 1, 2: 2, 1: 3}
+    assert [r.name for r in engine.find_nodes("A").collect()] == ["load", "main", "save"]
+    assert {(r.src, r.dst, r.depth) for r in engine.call_subgraph(1, 2).collect()} == {(1, 2, 1), (2, 3, 2)}
+    assert [(r.calls, r.called_by) for r in engine.call_graph(2).collect()] == [([3], [1])]
+    assert engine.subgraph(1, 1)[0].count() == 3
     assert [r.name for r in engine.graph('MATCH WHERE name = "main" CALLEES depth=1').collect()] == ["load"]
     assert [r.cycle for r in graph.cycles(engine.tables["edge"], 5).collect()] == [[1, 2, 3]]
     assert spark.range(1).select(graph.extract_calls(F.lit("foo(bar(1), if (x) { baz.qux() })")).alias("c")).first().c == ["foo", "bar", "qux"]

@@ -102,6 +102,10 @@ def test_definitions_without_problems():
     assert out.defs["b"]["doc"] == "of a" and "secret" not in out.defs["b"] and out.defs["lib:x"]["is"] == _s("lib")
     space = out.namespace()
     assert space.all_supers("b") == {"a", "marker"} and space.feature_names() == ["lib"]
+    assert space.kind_of("doc") == "str" and space.kind_of("b") == "marker" and space.kind_of("tagOn") == "list"
+    site = ontology.Namespace.build([ontology.Def("marker"), ontology.Def("equip", ("marker",), mandatory=True), ontology.Def("hot", ("marker",)), ontology.Def("water", ("equip",)), ontology.Def("hot-water", ("water",))])
+    assert site.implementation("hot-water") == ["hot", "water", "equip"] and site.fits("hot-water", "equip")
+    assert site.reflect(["hot", "water"]) == {"hot", "water", "hot-water", "equip", "marker"}
 
 
 def test_problems_of_definitions():
