@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import exact_dedup, line_dedup, mixing, packing, quality, rules, sharding, simhash, token_counts, url_filter
+from tagweave.llm import exact_dedup, fill_in_middle, line_dedup, mixing, packing, quality, rules, sharding, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_quality_classifier": quality.op9_quality_classifier,
     "op10_packing": packing.op10_packing,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {**exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {**exact_dedup.SQL, **fill_in_middle.SQL}
