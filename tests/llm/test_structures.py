@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.llm import fill_in_middle
+from tagweave.llm import fill_in_middle, prefix_trie, registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -76,3 +76,90 @@ def test_fill_in_middle_chunks():
 
 def test_fill_in_middle_empty(spark):
     assert fill_in_middle.fill_in_middle(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# Conversation trie.
+
+SAID = "conv_id long, turn long, role string, text string"
+
+
+def brute_rebuilt(table):
+    own = defaultdict(list)
+    for conv, turn, role, text, *_ in table:
+        if conv is not None:
+            own[conv].append(((turn is not None, turn or 0), (role or "", text or "")))
+    own = {c: [x[1] for x in sorted(v, key=lambda x: x[0])] for c, v in own.items()}
+    rebuilt = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        rebuilt[c] = own.get(c - c % 100, [])[:h] + turns[h:]
+    return rebuilt
+
+
+def brute_trie(conversations):
+    members, ends = defaultdict(list), defaultdict(list)
+    for c, turns in conversations.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+        ends[tuple(turns)].append(c)
+    kids = defaultdict(list)
+    for node in members:
+        if node:
+            kids[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        leaves[node] = sum(leaves[k] for k in kids[node]) or 1
+        saved[node] = sum(saved[k] for k in kids[node]) + (len(members[node]) - 1) * (len(node[-1][1]) if node else 0)
+    return sorted(
+        (min(m), len(node), min(members[node[:-1]]) if node else -1, len(m), len(kids[node]), leaves[node], saved[node], sha(",".join(map(str, sorted(ends[node])))))
+        for node, m in members.items()
+    )
+
+
+def trie_rows(frame):
+    names = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+    return sorted(tuple(-1 if c == "parent_conv_id" and r[c] is None else r[c] for c in names) for r in frame.collect())
+
+
+def said_table(seed, convs=260):
+    """Conversations over few turns, so prefixes and whole conversations repeat."""
+    rng = random.Random(seed)
+    table = []
+    for c in range(convs):
+        if rng.random() < 0.15:
+            continue
+        same = c % 3 == 0
+        for t in range(4 if same else rng.choice([1, 1, 2, 3, 5, 9, 12])):
+            table.append((c, None if t == 0 and rng.random() < 0.3 else t, rng.choice(["user", "user", None, ""]) if not same else "user", "fixed" if same else rng.choice(["a", "b", "é東", None, ""])))
+    table += [(None, 0, "user", "nobody's"), (7777, 3, "x", "y"), (10_000, 1, None, None)]
+    return table
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prefix_trie(spark, seed, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "RUN", 3)
+    table = said_table(seed)
+    frame = spark.createDataFrame(table, SAID).repartition(5).withColumns({c: F.lit(-1) for c in ("end", "path", "point", "n", "depth", "turns")})
+    turns = prefix_trie.turns_of(frame)
+    assert trie_rows(prefix_trie.trie(prefix_trie.shared_starts(turns))) == brute_trie(brute_rebuilt(table))
+
+
+def test_prefix_trie_repeated_and_nested(spark):
+    """Repeated rows, one conversation within another, and a chain of ends."""
+    table = [(c, t, "u", f"t{t}") for c in range(1000, 1040) for t in range(c - 1000)] + [(5, 1, "u", "x")] * 3 + [(2000, 0, "a", "bc"), (2001, 0, "ab", "c")]
+    frame = spark.createDataFrame(table, SAID)
+    own = defaultdict(list)
+    for c, t, role, text in sorted(table, key=lambda x: (x[0], x[1])):
+        own[c].append((role, text))
+    assert trie_rows(prefix_trie.trie(prefix_trie.turns_of(frame))) == brute_trie(own)
+    assert trie_rows(prefix_trie.trie(prefix_trie.shared_starts(prefix_trie.turns_of(frame)))) == brute_trie(brute_rebuilt(table))
+
+
+def test_prefix_trie_whole_table(spark):
+    table = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert trie_rows(registry.QUERIES["op12_prefix_trie"](spark, "/root/testdata/sf0.01")) == brute_trie(brute_rebuilt(table))
+
+
+def test_prefix_trie_empty(spark):
+    empty = spark.createDataFrame([], SAID)
+    assert prefix_trie.trie(prefix_trie.shared_starts(prefix_trie.turns_of(empty))).count() == 0
