@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read again. Unlike a checkpoint it has the
+    size of its files, where a checkpoint keeps the size that its plan was estimated at,
+    which joins multiply from round to round; for small tables that rounds start from."""
+    path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

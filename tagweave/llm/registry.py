@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagweave.llm import exact_dedup, fill_in_middle, line_dedup, mixing, packing, prefix_trie, quality, rules, sharding, simhash, token_counts, url_filter
+from tagweave.llm import exact_dedup, fill_in_middle, line_dedup, mixing, ngram_join, packing, prefix_trie, quality, rules, sharding, simhash, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": packing.op10_packing,
     "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_ngram_jaccard_join": ngram_join.op13_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {**exact_dedup.SQL, **fill_in_middle.SQL}
+ORACLE_SQL: dict[str, str] = {**exact_dedup.SQL, **fill_in_middle.SQL, **ngram_join.SQL}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.llm import fill_in_middle, prefix_trie, registry
+from tagweave.llm import fill_in_middle, ngram_join, prefix_trie, registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -163,3 +163,85 @@ def test_prefix_trie_whole_table(spark):
 def test_prefix_trie_empty(spark):
     empty = spark.createDataFrame([], SAID)
     assert prefix_trie.trie(prefix_trie.shared_starts(prefix_trie.turns_of(empty))).count() == 0
+
+
+# Jaccard join.
+
+
+def brute_sets(text, words=3):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    w = WORD.findall(low)
+    return frozenset(tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))) if w else frozenset()
+
+
+def brute_join(table, words=3, alike=90):
+    sets = [brute_sets(t, words) for _, t, *_ in table]
+    parent = list(range(len(table)))
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for x, y in combinations(range(len(table)), 2):
+        a, b = sets[x], sets[y]
+        if a and b and 100 * len(a & b) >= alike * len(a | b):
+            parent[find(x)] = find(y)
+    least = {}
+    for k, (i, *_) in enumerate(table):
+        r = find(k)
+        least[r] = min((v for v in (least.get(r), i) if v is not None), default=None)
+    return sorted(((i, len(sets[k]), least[find(k)]) for k, (i, *_) in enumerate(table)), key=repr)
+
+
+def copies_table(seed, bases=12, copies=14):
+    rng = random.Random(seed)
+    table, i = [], 0
+    boiler = "all rights reserved by the owner of this very common passage".split()
+    for base in range(bases):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([2, 3, 11, 40, 90]))] + boiler * (base % 2)
+        for _ in range(copies):
+            edited = list(words)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 4])):
+                k = rng.randrange(len(edited))
+                edited[k : k + 1] = rng.choice([[f"x{rng.randrange(50)}"], [], [edited[k], "ins"]])
+                edited = edited or ["gone"]
+            text = " ".join(edited)
+            table.append((i, text.upper() if rng.random() < 0.2 else text))
+            i += rng.choice([1, 1, 2])
+    table += [(9000, None), (9001, ""), (9002, " \n"), (9003, "one"), (9004, "ONE"), (9005, "one two"), (None, "no id"), (None, table[0][1]), (9003, "other words of the id")]
+    rng.shuffle(table)
+    return table
+
+
+@pytest.mark.parametrize("seed,words,alike", [(1, 3, 90), (2, 2, 75), (3, 3, 60)])
+def test_jaccard_join(spark, seed, words, alike, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWDED", 1)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    monkeypatch.setattr(ngram_join, "FREQUENT", 60)
+    table = copies_table(seed)
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns({c: F.lit(-1) for c in ("n", "node", "grp", "prefix", "digest", "root", "component_id")})
+    out = ngram_join.jaccard_components(docs.repartition(3), words=words, alike=alike)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == brute_join(table, words, alike)
+
+
+def test_jaccard_join_groups(spark):
+    """Sets of one prefix and size form a group, and tests on groups refuse no alike members."""
+    table = copies_table(5, bases=6, copies=20)
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    sets = ngram_join._sets(docs, 3, 90).collect()
+    by = {}
+    for r in sets:
+        assert len(r.prefix) == ngram_join.prefix_length(r.n) and by.setdefault(r.grp, (r.n, r.prefix)) == (r.n, r.prefix)
+    assert len(by) < len({r.node for r in sets})
+    join = ngram_join._Join(docs, 3, 90)
+    passed = join.groups.alias("x").crossJoin(join.groups.alias("y")).where(ngram_join.groups_may_be_alike("x", "y")).select("x.grp", "y.grp").collect()
+    passed = {tuple(r) for r in passed}
+    text = {r.node: brute_sets(t) for r in ngram_join._sets(docs.select("doc_id", "text"), 3, 90).collect() for i, t in table if i == r.doc_id and len(brute_sets(t)) == r.n}
+    grp = {r.node: r.grp for r in sets}
+    alike = [(a, b) for a, b in combinations(text, 2) if text[a] and text[b] and 100 * len(text[a] & text[b]) >= 90 * len(text[a] | text[b])]
+    assert alike and all((grp[a], grp[b]) in passed for a, b in alike)
+
+
+def test_jaccard_join_empty(spark):
+    assert ngram_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
