@@ -50,7 +50,7 @@ SEED = 42
 #: Texts that are read to find frequent shingles; those of so many of them are frequent, this many at most.
 SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 100_000
 #: Pivots of a shingle in each round, and most rounds.
-PIVOTS, ROUNDS = 4, 4
+PIVOTS, ROUNDS = 4, 2
 #: A round is worth it while a shingle has so many groups outside its largest component.
 CROWDED = 64
 #: Most digests, of 8 bytes, that are broadcast to find the candidates' texts.
@@ -60,7 +60,7 @@ STEP = 64
 
 _LANES = range(8)
 _SET = ["node", "n", *(f"b{i}" for i in _LANES)]
-_GROUP = ["grp", "n", "prefix", *(f"all{i}" for i in _LANES), *(f"any{i}" for i in _LANES)]
+_GROUP = ["grp", "n", *(f"all{i}" for i in _LANES), *(f"any{i}" for i in _LANES)]
 
 
 def _id(values: np.ndarray, *more: int) -> int:
@@ -76,6 +76,13 @@ def _lists(found: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat))
 
 
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of x are in a sorted array."""
+    if not len(held):
+        return np.zeros(len(x), bool)
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
+
+
 def prefix_length(n: int, alike: int = ALIKE) -> int:
     """Shingles of a set under which it is filed."""
     return n - -(-alike * n // 100) + 1 if n else 0
@@ -109,7 +116,7 @@ def _sets(docs: DataFrame, words: int, alike: int) -> DataFrame:
                 bits = np.stack([np.packbits(np.bincount((x & np.uint64(lanes - 1)).astype(np.int64), minlength=lanes) & 1).view(np.int64) for x in found])
                 prefixes = []
                 for x in found:
-                    late = np.isin(x, shared.value, assume_unique=True)
+                    late = _among(x, shared.value)
                     prefixes.append(np.concatenate((x[~late], x[late]))[: prefix_length(len(x), alike)])
                 nodes, groups = _longs([_id(x) for x in found]), _longs([_id(p, len(x)) for x, p in zip(found, prefixes, strict=True)])
                 columns = [part.column(0), part.column(1), nodes, pa.array([len(x) for x in found], pa.int64()), *(pa.array(bits[:, i].copy()) for i in _LANES), groups, _lists(prefixes)]
@@ -138,19 +145,22 @@ def sets_may_be_alike(a: str, b: str, alike: int = ALIKE) -> Column:
 
 
 def groups_may_be_alike(a: str, b: str, alike: int = ALIKE) -> Column:
-    """A test that all pairs of groups with alike members pass."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    """A test that all pairs of groups with alike members pass, on sizes and bits."""
 
     def only(x: str, y: str) -> Column:
         """Bits that all members of x set and no member of y."""
         return _sum([F.bit_count(F.col(f"{x}.all{i}").bitwiseAND(F.bitwise_not(F.col(f"{y}.any{i}")))) for i in _LANES])
 
-    p, q = F.col(f"{a}.prefix"), F.col(f"{b}.prefix")
-    # Of two prefixes, one ends no later in the common order: of its set, only what is
-    # behind it can still be shared. Whichever that is, no more than the larger rest is.
-    follow = F.greatest(n - F.size(p), m - F.size(q))
-    most = F.size(F.array_intersect(p, q)) + F.least(follow, n, m)
-    return _sizes_fit(n, m, only(a, b) + only(b, a), alike) & ((100 + alike) * most >= alike * (n + m))
+    return _sizes_fit(F.col(f"{a}.n"), F.col(f"{b}.n"), only(a, b) + only(b, a), alike)
+
+
+def prefixes_may_be_alike(a: str, b: str, alike: int = ALIKE) -> Column:
+    """Another one, on prefixes. Of two prefixes, one ends no later in the common order: of
+    its set, only what is behind it can still be shared. Whichever that is, no more than
+    the larger rest is."""
+    n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.prefix"), F.col(f"{b}.prefix")
+    most = F.size(F.array_intersect(p, q)) + F.greatest(n - F.size(p), m - F.size(q))
+    return (100 + alike) * most >= alike * (n + m)
 
 
 def _made(docs: DataFrame, words: int) -> DataFrame:
@@ -203,11 +213,11 @@ class _Join:
         self.prints = durable(_sets(docs, words, alike))
         some = self.prints.where("n > 0")
         same = [F.max(f"b{i}").alias(f"b{i}") for i in _LANES]  # equal in all rows of a set
-        self.nodes = durable(some.groupBy("node").agg(F.min("digest").alias("digest"), F.max("n").alias("n"), F.max("grp").alias("grp"), F.first("prefix").alias("prefix"), *same))
+        self.nodes = durable(some.groupBy("node").agg(F.min("digest").alias("digest"), F.max("n").alias("n"), F.max("grp").alias("grp"), *same))
         bits = [f(f"b{i}").alias(f"{name}{i}") for name, f in (("all", F.bit_and), ("any", F.bit_or)) for i in _LANES]
-        grouped = self.nodes.groupBy("grp").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.count("*").alias("size"), F.min("node").alias("rep"), *bits)
-        self.groups = durable(grouped)
-        self.nodes = self.nodes.drop("prefix")
+        # Straight from the rows: a set that repeats changes no bit of its group.
+        self.groups = durable(some.groupBy("grp").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("rep"), F.max("node").alias("last"), *bits))
+        self.prints = durable(self.prints.select("doc_id", "node", "n"))  # the wide one can be cleaned
         self.links = stored(self._inside())
         self.filed = _filed(self.groups)
 
@@ -220,7 +230,7 @@ class _Join:
 
     def _inside(self) -> DataFrame:
         """Links of each group's members with the first of them."""
-        firsts = self.groups.where("size > 1").select("grp", F.col("rep").alias("node")).join(self.nodes.drop("grp"), "node")
+        firsts = self.groups.where("rep <> last").select("grp", F.col("rep").alias("node")).join(self.nodes.drop("grp"), "node")
         x, y = self.nodes.alias("x"), firsts.alias("y")
         met = x.join(y, (F.col("x.grp") == F.col("y.grp")) & (F.col("x.node") != F.col("y.node")) & sets_may_be_alike("x", "y", self.alike))
         return self.verified(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
@@ -249,6 +259,12 @@ class _Join:
         )
         return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
+    def by_prefix(self, pairs: DataFrame) -> DataFrame:
+        """Those of different pairs of groups (g, h) that their prefixes let through."""
+        slim = self.groups.select("grp", "n", "prefix")
+        both = pairs.join(slim.alias("x"), F.col("g") == F.col("x.grp")).join(slim.alias("y"), F.col("h") == F.col("y.grp"))
+        return durable(both.where(prefixes_may_be_alike("x", "y", self.alike)).select("g", "h"))
+
     def with_pivots(self, turn: int, roots: DataFrame, parted: DataFrame) -> DataFrame:
         """Sets compared with the pivots of their shingles."""
         place = F.xxhash64(F.lit(turn), "grp")
@@ -262,7 +278,7 @@ class _Join:
         # The test on groups is part of the join, so a shingle's groups never come out in pairs.
         x, y = asked.select("key", "grp").join(slim, "grp").alias("x"), pivots.select("key", F.col("pivot").alias("grp")).join(slim, "grp").alias("y")
         near = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.grp") != F.col("y.grp")) & groups_may_be_alike("x", "y", self.alike))
-        near = near.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct()
+        near = self.by_prefix(near.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct())
         members = self.nodes.join(roots.select("node", "root"), "node")
         met = near.join(members.alias("x"), F.col("g") == F.col("x.grp")).join(
             firsts.alias("y"), (F.col("h") == F.col("y.pivot")) & (F.col("x.root") != F.col("y.root")) & sets_may_be_alike("x", "y", self.alike)
@@ -279,7 +295,7 @@ class _Join:
         once = ~outside | (F.col("x.grp") <= F.col("y.grp"))
         apart = (F.col("x.low") != F.col("y.low")) | (F.col("x.high") != F.col("y.high")) | (F.col("x.low") != F.col("x.high"))
         pairs = few.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & once & apart & groups_may_be_alike("x", "y", self.alike))
-        pairs = durable(pairs.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct())
+        pairs = self.by_prefix(pairs.select(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).distinct())
         # Members of a torn group with each other, also where no other group shares its prefix.
         torn = roots.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
         return self.expanded(pairs.union(torn).distinct(), roots)

@@ -235,7 +235,7 @@ def test_jaccard_join_groups(spark):
         assert len(r.prefix) == ngram_join.prefix_length(r.n) and by.setdefault(r.grp, (r.n, r.prefix)) == (r.n, r.prefix)
     assert len(by) < len({r.node for r in sets})
     join = ngram_join._Join(docs, 3, 90)
-    passed = join.groups.alias("x").crossJoin(join.groups.alias("y")).where(ngram_join.groups_may_be_alike("x", "y")).select("x.grp", "y.grp").collect()
+    passed = join.groups.alias("x").crossJoin(join.groups.alias("y")).where(ngram_join.groups_may_be_alike("x", "y") & ngram_join.prefixes_may_be_alike("x", "y")).select("x.grp", "y.grp").collect()
     passed = {tuple(r) for r in passed}
     text = {r.node: brute_sets(t) for r in ngram_join._sets(docs.select("doc_id", "text"), 3, 90).collect() for i, t in table if i == r.doc_id and len(brute_sets(t)) == r.n}
     grp = {r.node: r.grp for r in sets}
