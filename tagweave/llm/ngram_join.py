@@ -1,11 +1,14 @@
 """Jaccard join of shingle sets by groups of equal prefixes.
 
-Shingles stand in one order for all sets: those that are frequent in a bounded sample come
-last, all others first, by hash. Two sets that are alike share one of their first
+Shingles stand in one order for all sets. Two sets that are alike share one of their first
 n - ceil(t n) + 1 shingles, n each set's size and t the similarity (prefix filtering); any
-order loses nothing. Equal sets collapse first. Sets of equal prefix and size then form one
-group (Bouros, Ge and Mamoulis, "Spatio-textual similarity joins", 2012), and groups, not
-sets, are filed under the prefix's shingles. A pair of groups is let through only if
+order loses nothing, and one with rare shingles first leaves little to compare. A quarter
+of all shingles, chosen by hash, is counted over all texts; those of it that one row alone
+has come first and are no keys at all, since nothing can meet there. Shingles that are
+frequent in a bounded sample come last, all others by hash between. Equal sets collapse
+first. Sets of equal prefix and size then form one group (Bouros, Ge and Mamoulis,
+"Spatio-textual similarity joins", 2012), and groups, not sets, are filed under the
+prefix's shingles. A pair of groups is let through only if
 
 * their sizes may be alike,
 * their prefixes leave enough in common: what they share, and what can still follow, and
@@ -48,7 +51,9 @@ WORDS = 3
 ALIKE = 90
 SEED = 42
 #: Texts that are read to find frequent shingles; those of so many of them are frequent, this many at most.
-SAMPLE, FREQUENT, MOST_FREQUENT = 20_000, 4, 100_000
+SAMPLE, FREQUENT, MOST_FREQUENT = 5_000, 3, 50_000
+#: Shingles below this are counted: a quarter of all 64-bit hashes.
+COUNTED = 1 << 62
 #: Pivots of a shingle in each round, and most rounds.
 PIVOTS, ROUNDS = 4, 2
 #: A round is worth it while a shingle has so many groups outside its largest component.
@@ -103,9 +108,38 @@ def _frequent(docs: DataFrame, words: int) -> np.ndarray:
     return np.sort(np.array([r.key for r in often.orderBy(F.desc("count"), "key").limit(MOST_FREQUENT).collect()], np.int64).view(np.uint64))
 
 
+def _repeated(docs: DataFrame, words: int) -> Bloom:
+    """Which counted shingles may occur in more rows than one."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin in range(0, batch.num_rows, STEP):
+                found = [_counted(shingles(t.as_py(), words)) for t in batch.column(0).slice(begin, STEP)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
+
+    keys = spread(docs).select("text").mapInArrow(read, "key long")
+    return Bloom(durable(keys.groupBy("key").count().where("count > 1").select("key")), "key")
+
+
+def _counted(x: np.ndarray) -> np.ndarray:
+    """Those of sorted shingles that are counted."""
+    return x[: int(np.searchsorted(x, np.uint64(COUNTED)))]
+
+
+def filed_under(x: np.ndarray, repeated: Bloom, frequent: np.ndarray, alike: int) -> tuple[np.ndarray, np.ndarray]:
+    """The prefix of a sorted set, and those of its shingles that others may share."""
+    alone = np.zeros(len(x), bool)
+    few = _counted(x)
+    alone[: len(few)] = ~repeated.among(few.view(np.int64))
+    late = ~alone & _among(x, frequent)
+    prefix = np.concatenate((x[alone], x[~alone & ~late], x[late]))[: prefix_length(len(x), alike)]
+    return prefix, prefix[int(np.count_nonzero(alone)) :]
+
+
 def _sets(docs: DataFrame, words: int, alike: int) -> DataFrame:
-    """doc_id, digest of the text, node (the set's hash), n, parity bits, grp and prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+    """doc_id, digest of the text, node (the set's hash), n, parity bits, grp and the prefix's keys."""
+    context = docs.sparkSession.sparkContext
+    frequent, repeated = context.broadcast(_frequent(docs, words)), context.broadcast(_repeated(docs, words))
     lanes = 64 * len(_LANES)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,16 +148,13 @@ def _sets(docs: DataFrame, words: int, alike: int) -> DataFrame:
                 part = batch.slice(begin, STEP)
                 found = [shingles(t.as_py(), words) for t in part.column(2)]
                 bits = np.stack([np.packbits(np.bincount((x & np.uint64(lanes - 1)).astype(np.int64), minlength=lanes) & 1).view(np.int64) for x in found])
-                prefixes = []
-                for x in found:
-                    late = _among(x, shared.value)
-                    prefixes.append(np.concatenate((x[~late], x[late]))[: prefix_length(len(x), alike)])
-                nodes, groups = _longs([_id(x) for x in found]), _longs([_id(p, len(x)) for x, p in zip(found, prefixes, strict=True)])
-                columns = [part.column(0), part.column(1), nodes, pa.array([len(x) for x in found], pa.int64()), *(pa.array(bits[:, i].copy()) for i in _LANES), groups, _lists(prefixes)]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", *_SET, "grp", "prefix"])
+                prefixes = [filed_under(x, repeated.value, frequent.value, alike) for x in found]
+                nodes, groups = _longs([_id(x) for x in found]), _longs([_id(p, len(x)) for x, (p, _) in zip(found, prefixes, strict=True)])
+                columns = [part.column(0), part.column(1), nodes, pa.array([len(x) for x in found], pa.int64()), *(pa.array(bits[:, i].copy()) for i in _LANES), groups, _lists([k for _, k in prefixes])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", *_SET, "grp", "keys"])
 
     named = spread(docs).select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    return named.mapInArrow(read, f"doc_id long, digest long, {', '.join(f'{c} long' for c in _SET)}, grp long, prefix array<long>")
+    return named.mapInArrow(read, f"doc_id long, digest long, {', '.join(f'{c} long' for c in _SET)}, grp long, keys array<long>")
 
 
 def _sum(terms: list[Column]) -> Column:
@@ -158,8 +189,9 @@ def prefixes_may_be_alike(a: str, b: str, alike: int = ALIKE) -> Column:
     """Another one, on prefixes. Of two prefixes, one ends no later in the common order: of
     its set, only what is behind it can still be shared. Whichever that is, no more than
     the larger rest is."""
-    n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.prefix"), F.col(f"{b}.prefix")
-    most = F.size(F.array_intersect(p, q)) + F.greatest(n - F.size(p), m - F.size(q))
+    n, m, p, q = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.keys"), F.col(f"{b}.keys")
+    behind = F.greatest(*(F.floor((alike * x + 99) / 100) - 1 for x in (n, m)))  # the set without its prefix
+    most = F.size(F.array_intersect(p, q)) + behind
     return (100 + alike) * most >= alike * (n + m)
 
 
@@ -189,7 +221,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, alik
 
 def _filed(groups: DataFrame) -> DataFrame:
     """key and grp, for shingles that two groups or more are filed under."""
-    all_keys = groups.select("grp", F.explode("prefix").alias("key"))
+    all_keys = groups.select("grp", F.explode("keys").alias("key"))
     shared = durable(all_keys.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("key"))
     held = groups.sparkSession.sparkContext.broadcast(Bloom(shared, "key"))
 
@@ -201,7 +233,7 @@ def _filed(groups: DataFrame) -> DataFrame:
             passed = held.value.among(keys)
             yield pa.RecordBatch.from_arrays([pa.array(owners[passed]), pa.array(keys[passed])], ["grp", "key"])
 
-    few = groups.select("grp", "prefix").mapInArrow(read, "grp long, key long")
+    few = groups.select("grp", "keys").mapInArrow(read, "grp long, key long")
     return durable(few.join(shared, "key"))
 
 
@@ -216,7 +248,7 @@ class _Join:
         self.nodes = durable(some.groupBy("node").agg(F.min("digest").alias("digest"), F.max("n").alias("n"), F.max("grp").alias("grp"), *same))
         bits = [f(f"b{i}").alias(f"{name}{i}") for name, f in (("all", F.bit_and), ("any", F.bit_or)) for i in _LANES]
         # Straight from the rows: a set that repeats changes no bit of its group.
-        self.groups = durable(some.groupBy("grp").agg(F.max("n").alias("n"), F.first("prefix").alias("prefix"), F.min("node").alias("rep"), F.max("node").alias("last"), *bits))
+        self.groups = durable(some.groupBy("grp").agg(F.max("n").alias("n"), F.first("keys").alias("keys"), F.min("node").alias("rep"), F.max("node").alias("last"), *bits))
         self.prints = durable(self.prints.select("doc_id", "node", "n"))  # the wide one can be cleaned
         self.links = stored(self._inside())
         self.filed = _filed(self.groups)
@@ -261,7 +293,7 @@ class _Join:
 
     def by_prefix(self, pairs: DataFrame) -> DataFrame:
         """Those of different pairs of groups (g, h) that their prefixes let through."""
-        slim = self.groups.select("grp", "n", "prefix")
+        slim = self.groups.select("grp", "n", "keys")
         both = pairs.join(slim.alias("x"), F.col("g") == F.col("x.grp")).join(slim.alias("y"), F.col("h") == F.col("y.grp"))
         return durable(both.where(prefixes_may_be_alike("x", "y", self.alike)).select("g", "h"))
 

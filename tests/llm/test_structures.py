@@ -220,7 +220,7 @@ def test_jaccard_join(spark, seed, words, alike, monkeypatch):
     monkeypatch.setattr(ngram_join, "PIVOTS", 2)
     monkeypatch.setattr(ngram_join, "FREQUENT", 60)
     table = copies_table(seed)
-    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns({c: F.lit(-1) for c in ("n", "node", "grp", "prefix", "digest", "root", "component_id")})
+    docs = spark.createDataFrame(table, "doc_id long, text string").withColumns({c: F.lit(-1) for c in ("n", "node", "grp", "keys", "digest", "root", "component_id")})
     out = ngram_join.jaccard_components(docs.repartition(3), words=words, alike=alike)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in out.collect()), key=repr) == brute_join(table, words, alike)
 
@@ -232,7 +232,7 @@ def test_jaccard_join_groups(spark):
     sets = ngram_join._sets(docs, 3, 90).collect()
     by = {}
     for r in sets:
-        assert len(r.prefix) == ngram_join.prefix_length(r.n) and by.setdefault(r.grp, (r.n, r.prefix)) == (r.n, r.prefix)
+        assert len(r["keys"]) <= ngram_join.prefix_length(r.n) and by.setdefault(r.grp, (r.n, r["keys"])) == (r.n, r["keys"])
     assert len(by) < len({r.node for r in sets})
     join = ngram_join._Join(docs, 3, 90)
     passed = join.groups.alias("x").crossJoin(join.groups.alias("y")).where(ngram_join.groups_may_be_alike("x", "y") & ngram_join.prefixes_may_be_alike("x", "y")).select("x.grp", "y.grp").collect()
