@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,26 @@ def durable(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(session))
     return df.checkpoint(eager=True)
+
+
+class Scratch:
+    """Tables of a loop, written to the shared folder and read again.
+
+    A checkpoint keeps the size its plan was estimated at, which a loop of joins multiplies
+    from round to round, until the planner is busy with the number alone; a written table
+    has the size of its files. `close` removes them once the loop's result is durable."""
+
+    def __init__(self, session: SparkSession):
+        self.session, self.folder, self.tables = session, f"{shared_folder(session)}/scratch-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.tables}"
+        self.tables += 1
+        df.write.parquet(path)
+        return self.session.read.schema(df.schema).parquet(path)
+
+    def close(self, result: DataFrame) -> DataFrame:
+        result = durable(result)
+        path = self.session.sparkContext._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        return result

@@ -13,7 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagweave.functions.lineage import durable
+from tagweave.functions.lineage import Scratch, durable
 
 
 def of_kind(edges: DataFrame, kind: str | None) -> DataFrame:
@@ -108,24 +108,105 @@ def simple_paths(edges: DataFrame, start: str, end: str, depth: int, avoid: Sequ
     return found
 
 
+def _covering_walk(hops: DataFrame, start: str, end: str, bit: Column, full: int, depth: int) -> DataFrame:
+    """(path): the smallest of the shortest walks from start to end over all needed nodes;
+    no row if there is none. A walk may come by a node twice. One walk is kept for each
+    node and set of needed nodes behind it, so there are no more than nodes x 2^needed."""
+    first = hops.sparkSession.range(1).select(F.lit(start).alias("b"))
+    frontier = durable(first.select(F.col("b").alias("a"), bit.alias("mask"), F.array("b").alias("path")))
+    seen = frontier.select("a", "mask")
+    hit = frontier.select("path").limit(0)
+    for _ in range(depth):
+        step = hops.join(frontier, "a").select("b", F.col("mask").bitwiseOR(bit).alias("mask"), F.array_append("path", F.col("b")).alias("path"))
+        fresh = step.withColumnRenamed("b", "a").join(seen, ["a", "mask"], "left_anti")
+        frontier = durable(fresh.groupBy("a", "mask").agg(F.min("path").alias("path")))
+        hit = frontier.where((F.col("a") == end) & (F.col("mask") == full)).select("path")
+        if not hit.isEmpty() or frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier.select("a", "mask"))
+    return hit
+
+
+def _steps_left(hops: DataFrame, end: str, bit: Column, depth: int) -> DataFrame:
+    """(b, covers, left): the least steps from b to the end over needed nodes `covers`,
+    those behind b; one row for each node and set."""
+    frontier = durable(hops.sparkSession.range(1).select(F.lit(end).alias("b"), F.lit(0).cast("long").alias("covers")))
+    found = frontier.withColumn("left", F.lit(0))
+    for level in range(1, depth):
+        step = hops.join(frontier, "b").select(F.col("a").alias("b"), F.col("covers").bitwiseOR(bit).alias("covers")).distinct()
+        frontier = durable(step.join(found, ["b", "covers"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier.withColumn("left", F.lit(level)))
+    return durable(found)
+
+
 def constrained_path(edges: DataFrame, start: str, end: str, must_pass: Sequence[str] = (), must_avoid: Sequence[str] = (), depth: int = 15) -> DataFrame:
-    """The shortest simple path through every node of must_pass and none of must_avoid; of
-    equal ones the smallest."""
-    return simple_paths(edges, start, end, depth, must_avoid, must_pass).orderBy("length", "path").limit(1)
+    """(path, length) of the shortest simple path through every node of must_pass and none of
+    must_avoid; of equal ones the smallest; no row if none.
+
+    The shortest walk is sought first, over nodes and sets of nodes passed. If it comes by
+    no node twice it is the path. Otherwise simple paths are followed, but only those from
+    which the end can be reached over what is still needed within a length, which grows
+    from that of the walk on."""
+    start, end, needed = str(start), str(end), sorted({*map(str, must_pass)})
+    avoid = {*map(str, must_avoid)}
+    bit = F.lit(0).cast("long")
+    for k, node in enumerate(needed):
+        bit = bit.bitwiseOR(F.when(F.col("b") == node, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
+    full = (1 << len(needed)) - 1
+    hops = edges.select(F.col("src").cast("string").alias("a"), F.col("dst").cast("string").alias("b")).distinct()
+    hops = durable(hops.where((F.col("b") != start) & (F.col("a") != end) & ~F.col("b").isin(*avoid)))
+    walk = durable(_covering_walk(hops, start, end, bit, full, depth))
+    length = (F.size("path") - 1).alias("length")
+    shortest = walk.select(length).first()
+    if shortest is None or not walk.where(F.size(F.array_distinct("path")) == F.size("path")).isEmpty():
+        return walk.select("path", length)
+    left = _steps_left(hops, end, bit, depth)
+    first = hops.sparkSession.range(1).select(F.lit(start).alias("b"))
+    for most in range(shortest.length, depth + 1):
+        frontier = durable(first.select(F.col("b").alias("a"), bit.alias("mask"), F.array("b").alias("path")))
+        for level in range(1, most + 1):
+            grown = hops.join(frontier, "a").where(~F.array_contains("path", F.col("b"))).select("b", F.col("mask").bitwiseOR(bit).alias("mask"), F.array_append("path", F.col("b")).alias("path"))
+            near = left.where(F.col("left") <= most - level)
+            open_ = grown.join(near, "b").where(F.col("mask").bitwiseOR(F.col("covers")) == full).groupBy("b", "mask", "path").agg(F.min("left").alias("left"))
+            frontier = durable(open_.select(F.col("b").alias("a"), "mask", "path"))
+            if frontier.isEmpty():
+                break
+        found = frontier.where(F.col("a") == end).agg(F.min("path").alias("path")).where("path IS NOT NULL")
+        if not found.isEmpty():
+            return found.select("path", length)
+    return walk.select("path", length).limit(0)
 
 
 def cycles(edges: DataFrame, depth: int = 10) -> DataFrame:
-    """(cycle, length): every simple cycle once, written from its smallest node."""
+    """(cycle, length): every simple cycle of at most `depth` nodes once, written from its
+    smallest node. Only links within a strong component can close. Steps back to every
+    possible first node are counted first, over larger nodes alone, and a path grows only
+    where enough steps are left to close it."""
     hops = durable(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
-    frontier = hops.select(F.col("a").alias("first"), F.col("b").alias("a"), F.array("a").alias("path"))
-    found = None
-    for _ in range(depth):
-        closed = frontier.where("a = first").select(F.col("path").alias("cycle"), F.size("path").alias("length"))
-        found = closed if found is None else found.unionByName(closed)
-        open_ = frontier.where("a > first").where(~F.array_contains("path", F.col("a")))
-        frontier = durable(open_.withColumn("path", F.array_append("path", F.col("a"))).join(hops, "a").select("first", F.col("b").alias("a"), "path"))
+    alone = hops.where("a = b").select(F.array("a").alias("cycle"), F.lit(1).alias("length"))
+    part = durable(strong_components(edges))
+    inside = hops.where("a <> b").join(part.withColumnRenamed("id", "a"), "a").join(part.select(F.col("id").alias("b"), F.col("component").alias("other")), "b")
+    inside = durable(inside.where("component = other").select("a", "b"))
+    frontier = durable(inside.where("a > b").select(F.col("b").alias("first"), "a"))
+    back = frontier.withColumn("left", F.lit(1))
+    for level in range(2, depth):
+        step = inside.join(frontier.withColumnRenamed("a", "b"), "b").where("a > first").select("first", "a").distinct()
+        frontier = durable(step.join(back, ["first", "a"], "left_anti"))
         if frontier.isEmpty():
             break
+        back = back.unionByName(frontier.withColumn("left", F.lit(level)))
+    back = durable(back)
+    found = alone
+    paths = durable(inside.where("a < b").select(F.col("a").alias("first"), F.col("b").alias("a"), F.array("a").alias("path")).join(back.where(F.col("left") <= depth - 1), ["first", "a"]))
+    for level in range(2, depth + 1):  # nodes of a path with its end
+        whole = paths.withColumn("path", F.array_append("path", F.col("a")))
+        found = found.unionByName(whole.where("left = 1").select(F.col("path").alias("cycle"), F.size("path").alias("length")))
+        step = whole.drop("left").join(inside, "a").where((F.col("b") > F.col("first")) & ~F.array_contains("path", F.col("b"))).select("first", F.col("b").alias("a"), "path")
+        paths = durable(step.join(back.where(F.col("left") <= depth - level), ["first", "a"]))
+        if paths.isEmpty():
+            break
     return found
 
 
@@ -187,44 +268,118 @@ def page_rank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: flo
     return rank
 
 
-def _spread(labels: DataFrame, hops: DataFrame) -> DataFrame:
-    """Smallest label that reaches each node, along hops (a, b) within equal colours."""
+def _flooded(labels: DataFrame, hops: DataFrame, scratch: Scratch) -> DataFrame:
+    """Smallest label (an ordered struct) that reaches each node along hops (a, b)."""
     while True:
         offers = hops.join(labels.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "label")
-        grown = durable(labels.unionByName(offers).groupBy("id").agg(F.min("label").alias("label")))
-        changed = grown.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old")
-        if changed.isEmpty():
+        grown = scratch.keep(labels.unionByName(offers).groupBy("id").agg(F.min("label").alias("label")))
+        if grown.join(labels.withColumnRenamed("label", "old"), "id").where("label <> old").isEmpty():
             return grown
         labels = grown
 
 
+def _trimmed(hops: DataFrame, scratch: Scratch) -> DataFrame:
+    """hops without those from nodes that nothing leads to or to nodes that lead nowhere."""
+    ends, starts = hops.select(F.col("b").alias("a")).distinct(), hops.select(F.col("a").alias("b")).distinct()
+    return scratch.keep(hops.join(ends, "a", "left_semi").join(starts, "b", "left_semi"))
+
+
+def _without_chains(hops: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """hops in which one link stands for each run of nodes with one link in and one out; the
+    runs (id, head, tail); and rings that are nothing but such nodes (id, ring).
+
+    Every node of a run looks twice as far ahead in each round, so the number of rounds is
+    the logarithm of a run's length."""
+    single = hops.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id")
+    onward = hops.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"), F.min("b").alias("to")).where("n = 1")
+    inner = scratch.keep(onward.join(single, "id").select("id", "to"))
+    if inner.isEmpty():
+        return hops, None, None
+    # last: the farthest node of the run seen so far; least: the smallest; to: what follows.
+    ahead = inner.select("id", "to", F.col("id").alias("last"), F.col("id").alias("least"))
+    running = None
+    while True:
+        then = ahead.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("last").alias("far"), F.col("least").alias("low"))
+        joined = ahead.join(then, "to", "left")
+        ahead = scratch.keep(joined.select("id", F.coalesce("next", "to").alias("to"), F.coalesce("far", "last").alias("last"), F.least("least", "low").alias("least")))
+        open_ = ahead.join(inner.select(F.col("id").alias("to")), "to", "left_semi")
+        state = open_.agg(F.count("*").alias("n"), F.sum(F.xxhash64("least").cast("decimal(38,0)")).alias("h")).first()
+        if not state.n or state == running:  # nothing goes on but rings, whose least is settled
+            break
+        running = state
+    ring = open_.select("id", F.col("least").alias("ring"))
+    runs = ahead.join(inner.select(F.col("id").alias("to")), "to", "left_anti")
+    entered = hops.join(inner.select(F.col("id").alias("b")), "b", "left_semi").join(inner.select(F.col("id").alias("a")), "a", "left_anti")
+    heads = entered.join(runs.select(F.col("id").alias("b"), "last", F.col("to").alias("tail")), "b").select("last", F.col("a").alias("head"), "tail")
+    heads = scratch.keep(heads)
+    chained = scratch.keep(runs.select("id", "last").join(heads, "last").select("id", "head", "tail"))
+    passed = inner.select("id")
+    others = hops.join(passed.withColumnRenamed("id", "a"), "a", "left_anti").join(passed.withColumnRenamed("id", "b"), "b", "left_anti")
+    short = heads.where("head <> tail").select(F.col("head").alias("a"), F.col("tail").alias("b"))
+    return scratch.keep(others.unionByName(short).distinct()), chained, scratch.keep(ring)
+
+
 def strong_components(edges: DataFrame, least: int = 2) -> DataFrame:
     """(id, component): strongly connected sets of at least `least` nodes, named by their
-    smallest node. Colours spread forward; what also reaches its colour backward is a
-    component and leaves; the rest goes on."""
-    hops = durable(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().where("a <> b"))
-    found = None
-    while not hops.isEmpty():
-        ids = hops.select(F.col("a").alias("id")).unionByName(hops.select(F.col("b").alias("id"))).distinct()
-        colour = _spread(ids.select("id", F.col("id").alias("label")), hops)
-        same = hops.join(colour.select(F.col("id").alias("a"), F.col("label").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("label").alias("cb")), "b").where("ca = cb")
-        back = durable(same.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        members = durable(colour.where("id = label"))
+    smallest node.
+
+    Nodes that nothing leads to, or that lead nowhere, are alone and go; runs of nodes with
+    one way in and one way out become one link. In what is left every node is a pivot, in a
+    random order: the first pivot that reaches a node colours it, what reaches its colour's
+    pivot within the colour is a component, and links between colours are cut, since no
+    component lies across. The random order halves chains of components, so the rounds grow
+    with the logarithm of their number."""
+    scratch = Scratch(edges.sparkSession)
+    hops = scratch.keep(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().where("a <> b"))
+    ids = hops.select(F.col("a").alias("id")).unionByName(hops.select(F.col("b").alias("id"))).distinct()
+    found, chains, n, turn = None, [], hops.count(), 0
+
+    def keep(more: DataFrame) -> None:
+        nonlocal found
+        found = more if found is None else found.unionByName(more)
+
+    while n:
+        before = None
+        while n and n != before:
+            before = n
+            hops, chained, rings = _without_chains(hops, scratch)
+            if chained is not None:
+                chains.append(chained)
+                keep(rings.select("id", F.col("ring").alias("component")))
+            hops = _trimmed(hops, scratch)
+            n = hops.count()
+        if not n:
+            break
+        turn += 1
+        nodes = hops.select(F.col("a").alias("id")).unionByName(hops.select(F.col("b").alias("id"))).distinct()
+        colour = _flooded(nodes.select("id", F.struct(F.xxhash64(F.lit(turn), "id").alias("order"), F.col("id").alias("pivot")).alias("label")), hops, scratch)
+        colour = scratch.keep(colour.select("id", F.col("label.pivot").alias("component")))
+        same = hops.join(colour.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(colour.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b").where("ca = cb")
+        same = scratch.keep(same.select("a", "b"))
+        members = fresh = scratch.keep(colour.where("id = component"))
         while True:
-            step = back.join(members.withColumnRenamed("id", "a"), "a").select(F.col("b").alias("id"), "label").distinct()
-            fresh = durable(step.join(members.select("id"), "id", "left_anti"))
+            step = same.join(fresh.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), "component").distinct()
+            fresh = scratch.keep(step.join(members.select("id"), "id", "left_anti"))
             if fresh.isEmpty():
                 break
-            members = durable(members.unionByName(fresh))
-        found = members if found is None else found.unionByName(members)
+            members = members.unionByName(fresh)
+        members = scratch.keep(members)
+        keep(members)
         gone = members.select("id")
-        hops = durable(
-            hops.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti")
-        )
-    if found is None:
+        hops = scratch.keep(same.join(gone.withColumnRenamed("id", "a"), "a", "left_anti").join(gone.withColumnRenamed("id", "b"), "b", "left_anti"))
+        n = hops.count()
+    if found is None and not chains:
         return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
-    sized = found.groupBy("label").count().where(F.col("count") >= least)
-    return found.join(sized, "label").select("id", F.col("label").alias("component"))
+    # A run belongs to a component if both its ends do. The last runs come first: they may
+    # lie between nodes of earlier ones, never the other way about.
+    placed = ids.join(found, "id", "left") if found is not None else ids.withColumn("component", F.lit(None).cast(ids.schema["id"].dataType))
+    placed = scratch.keep(placed.withColumn("component", F.coalesce("component", "id")))
+    for chained in reversed(chains):
+        ends = chained.join(placed.select(F.col("id").alias("head"), F.col("component").alias("x")), "head").join(placed.select(F.col("id").alias("tail"), F.col("component").alias("y")), "tail")
+        drawn = ends.where("x = y").select("id", F.col("x").alias("drawn"))
+        placed = scratch.keep(placed.join(drawn, "id", "left").select("id", F.coalesce("drawn", "component").alias("component")))
+    sized = placed.groupBy("component").agg(F.min("id").alias("least"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return scratch.close(placed.join(sized, "component").select("id", F.col("least").alias("component")))
 
 
 def betweenness(edges: DataFrame, sources: DataFrame, depth: int = 64, scale: float = 1.0) -> DataFrame:
