@@ -38,6 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tagweave.llm.common import SEPARATORS, Bloom, durable, join_small, table, whole
 from tagweave.llm.components import connected_components
@@ -268,6 +269,17 @@ def recurring_lines(named: DataFrame, placed: DataFrame) -> DataFrame:
     return lines.repartition("leaf").sortWithinPartitions("leaf", "lo", "masked").select("leaf", "masked", "lo", "hi").mapInArrow(_recurring, "line long, keep long")
 
 
+@F.arrow_udf(StringType())
+def _without_places(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    """Texts without the lines at these places, each line looked up once in a set."""
+
+    def cut(text: str, places: list[int]) -> str:
+        dropped = set(places)
+        return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in dropped)
+
+    return pa.array([None if t is None else cut(t, g) for t, g in zip(texts.to_pylist(), gone.to_pylist(), strict=True)], pa.string())
+
+
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with cleaned texts, and n_lines and n_dropped, which replace columns of these
     names; other columns unchanged."""
@@ -278,7 +290,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     named = whole(docs, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(F.col("text").cast("string")).alias("digest"))
     joined = named.join(gone.withColumnRenamed("doc", "id"), ["id", "digest"], "left")
     parts = F.split("doc.text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    # Python sees the texts that lose lines alone.
+    kept = _without_places(F.when(F.col("gone").isNotNull(), F.col("doc.text").cast("string")), F.col("gone"))
     cleaned = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(kept).alias("text")
     return joined.select(
         *(cleaned if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")),

@@ -12,8 +12,8 @@ Without a budget the mix is the least one that has every document at least once,
 nothing is dropped.
 
 Defined cases: a null source is a source of its own; a null text has no tokens; a
-source without tokens has weight 0 and appears once; rows equal in id and text lie
-next to each other; an empty table gives an empty mix. The token column may be any
+source without tokens has weight 0 and appears once; rows equal in all columns are
+numbered and drawn one by one, like others; an empty table gives an empty mix. The token column may be any
 expression; the default counts runs of letters and digits, and single other marks.
 """
 
@@ -24,10 +24,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tagweave.llm.common import durable, join_small, table, text_of, whole
+from tagweave.llm.common import MARKED_ROWS, durable, join_small, table, text_of, whole
 
 #: Most epochs of any source in the standard mix.
 REPEAT_LIMIT = 2.0
+#: Numbers of one row that one task makes.
+PIECE = 10_000
 BLOCK_DOCS = 4096
 SEED = 23
 #: Each round of the search evaluates so many exponents in one aggregation.
@@ -94,18 +96,36 @@ def mix_plan(counted: DataFrame, target_entropy: float | None = None, repeat_lim
 
 
 def _draw(epoch: Column) -> Column:
-    """A row's place in [0, 1) in one epoch's permutation; rows are known by `base`, a
-    hash of id and text."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), epoch, F.col("base")), 11) / F.lit(float(1 << 53))
+    """A row's place in [0, 1) in one epoch's permutation; rows are known by `base`, a hash
+    of all their columns, and equal ones by their number, so each has a draw of its own."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), epoch, F.col("base"), F.col("nth")), 11) / F.lit(float(1 << 53))
+
+
+def _base(docs: DataFrame) -> Column:
+    return F.xxhash64(*(F.to_json(F.col(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema))
+
+
+def numbered(rows: DataFrame, times: str = "times") -> DataFrame:
+    """Each row once for each number `nth` below its `times`. Where that is many, its
+    numbers are dealt over the tasks in pieces."""
+    many = rows.where(F.col(times) > PIECE)
+    numbers = rows.where(F.col(times) <= PIECE).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1)))
+    if many.isEmpty():
+        return numbers
+    pieces = many.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(PIECE).cast("long")))).repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    dealt = pieces.withColumn("nth", F.explode(F.sequence(F.col("__from"), F.least(F.col("__from") + PIECE, F.col(times)) - 1))).drop("__from")
+    return numbers.unionByName(dealt)
 
 
 def _counted(docs: DataFrame, tokens: Column | None) -> DataFrame:
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         (default_tokens(text_of("text")) if tokens is None else F.coalesce(tokens.cast("long"), F.lit(0))).alias("tokens"),
-        F.xxhash64("doc_id", "text").alias("base"),
+        _base(docs).alias("base"),
     )
+    # Equal rows combine before they are shuffled.
+    return numbered(durable(rows.groupBy("doc_id", "source", "tokens", "base").agg(F.count("*").alias("times"))))
 
 
 def _sources_equal(left: DataFrame, plan: DataFrame, source: str = "source") -> DataFrame:
@@ -127,7 +147,7 @@ def laid_out(counted: DataFrame, plan: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("source", "epoch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = drawn.groupBy(*key).agg(F.sum("tokens").alias("block_tokens")).select(
         F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("block").alias("b"), F.coalesce(F.sum("block_tokens").over(earlier), F.lit(0)).alias("block_start"))
-    inside = Window.partitionBy(*key).orderBy("draw", "doc_id", "base").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*key).orderBy("draw", "doc_id", "base", "nth").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.withColumn("before", F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
     joined = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("epoch") == F.col("e")) & (F.col("block") == F.col("b")))
     return joined.withColumn("start", F.col("block_start") + F.col("before")).where(
@@ -159,10 +179,18 @@ def mixed_documents(docs: DataFrame, repeat_limit: float | None = REPEAT_LIMIT,
     bounds = laid_out(counted, plan).where("epoch = epochs").groupBy("source").agg(F.max("draw").alias("bound"))
     joined = plan.join(bounds.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select(
         "source", "epochs", F.coalesce("bound", F.lit(-1.0)).alias("bound"))
-    based = whole(docs, F.col("source").cast("string").alias("source"), F.xxhash64("doc_id", "text").alias("base"))
-    with_plan = _sources_equal(based, durable(joined.withColumnRenamed("source", "planned")), "planned")
-    copies = F.col("epochs") + (_draw(F.col("epochs")) <= F.col("bound")).cast("int")
-    return with_plan.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
+    planned = durable(joined.withColumnRenamed("source", "planned"))
+    last = (_draw(F.col("epochs")) <= F.col("bound")).cast("int")
+    based = _sources_equal(whole(docs, F.col("source").cast("string").alias("source"), _base(docs).alias("base"), F.lit(0).cast("long").alias("nth")), planned, "planned")
+    # Rows that are equal in all columns: one of them stands for the copies of all.
+    several = counted.where("times > 1")
+    totals = durable(_sources_equal(several, planned, "planned").groupBy("base").agg(F.sum(F.col("epochs") + last).alias("total")))
+    if totals.isEmpty():
+        return based.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("epochs") + last))).select("doc.*")
+    marked = join_small(based, totals, ["base"], "left", MARKED_ROWS)
+    single = marked.where("total IS NULL").withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("epochs") + last))).select("doc")
+    shared = marked.where("total > 0").groupBy("base").agg(F.first("doc").alias("doc"), F.max("total").alias("total"))
+    return single.unionByName(numbered(shared, "total").select("doc")).select("doc.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.llm import fill_in_middle, ngram_join, prefix_trie, registry
+from tagweave.llm import fill_in_middle, line_dedup, mixing, ngram_join, prefix_trie, registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -245,3 +245,37 @@ def test_jaccard_join_groups(spark):
 
 def test_jaccard_join_empty(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
+
+
+# Equal rows in the mix, and very long texts in line dedup.
+
+
+def test_mixing_repeated_rows(spark, monkeypatch):
+    """A third of all rows equal in every column: no block is crowded, the budget is kept,
+    and the documents are those of the plan."""
+    monkeypatch.setattr(mixing, "PIECE", 100)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 200)
+    few = [(i, f"tok {i}", "a", 1) for i in range(2000)] + [(7, "tok same", "a", 1)] * 1000 + [(8, "twice", "b", k % 2) for k in range(5)]
+    frame = spark.createDataFrame(few, "doc_id long, text string, source string, kind int").repartition(4)
+    for budget in (4000.0, None):
+        planned = mixing.mix(frame, budget=budget).collect()
+        blocks = defaultdict(int)
+        for r in planned:
+            blocks[r.source, r.epoch, r.block] += 1
+        whole = [v for (source, epoch, _), v in blocks.items() if source == "a" and (budget is None and epoch == 0)]
+        assert not whole or max(whole) <= 2 * sum(whole) / len(whole)
+        if budget:
+            assert abs(sum(r.tokens for r in planned) - budget) <= 10
+        made = mixing.mixed_documents(frame, budget=budget).collect()
+        assert sorted((r.doc_id, r.source) for r in made) == sorted((r.doc_id, r.source) for r in planned)
+        if budget is None:
+            assert {tuple(r) for r in made} == set(few)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    """Half a million recurring lines are cleaned in linear time."""
+    line = "this very line recurs in both documents"
+    long = "\n".join([line] * 250_000 + ["only here stands a line of its own"] + [line] * 250_000)
+    out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame([(1, line), (2, long)], "doc_id long, text string")).collect()}
+    assert out[1].text == line and out[1].n_dropped == 0
+    assert out[2].text == "only here stands a line of its own" and out[2].n_dropped == 500_000 and out[2].n_lines == 500_001
