@@ -120,10 +120,11 @@ class Bloom:
 
     MOST_BITS = 1 << 27
 
-    def __init__(self, hashes: DataFrame, column: str):
-        """hashes: evenly spread longs, such as those of xxHash."""
+    def __init__(self, hashes: DataFrame, column: str, each: int = 16):
+        """hashes: evenly spread longs, such as those of xxHash; each: bits for one of them
+        at least. Four let one in ten others pass."""
         n = hashes.count()
-        self.bits = min(self.MOST_BITS, 1 << max(16, (16 * n).bit_length()))
+        self.bits = min(self.MOST_BITS, 1 << max(16, (each * n).bit_length()))
         mask = F.lit(self.bits - 1)
         both = F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask))
         places = hashes.select(F.explode(both).alias("at")).groupBy(F.shiftright("at", 6).alias("word"))

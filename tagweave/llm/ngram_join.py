@@ -118,7 +118,7 @@ def _repeated(docs: DataFrame, words: int) -> Bloom:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["key"])
 
     keys = spread(docs).select("text").mapInArrow(read, "key long")
-    return Bloom(durable(keys.groupBy("key").count().where("count > 1").select("key")), "key")
+    return Bloom(durable(keys.groupBy("key").count().where("count > 1").select("key")), "key", 4)
 
 
 def _counted(x: np.ndarray) -> np.ndarray:
@@ -223,7 +223,7 @@ def _filed(groups: DataFrame) -> DataFrame:
     """key and grp, for shingles that two groups or more are filed under."""
     all_keys = groups.select("grp", F.explode("keys").alias("key"))
     shared = durable(all_keys.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("key"))
-    held = groups.sparkSession.sparkContext.broadcast(Bloom(shared, "key"))
+    held = groups.sparkSession.sparkContext.broadcast(Bloom(shared, "key", 4))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
