@@ -156,9 +156,15 @@ def operator_pattern(operator: str) -> str:
 
 
 def operator_counts(df: DataFrame, key: str, text: str, operators: Sequence[str] = OPERATORS) -> DataFrame:
-    """(key, operator, n) for the operators that a text uses; one pass over each text."""
-    pairs = F.array(*(F.struct(F.lit(o).alias("operator"), F.regexp_count(text, F.lit(operator_pattern(o))).cast("long").alias("n")) for o in operators))
-    return df.select(key, F.inline(pairs)).where("n > 0")
+    """(key, operator, n) for the operators that a text uses; one pass over each text. It cuts
+    out the runs of operators' characters: an operator and what may not stand beside it lie
+    within one run, and only the runs are searched for each operator."""
+    marks = "".join(re.escape(c) for c in sorted(set("".join(operators))))
+    alone = "".join(re.escape(o) for o in operators if len(o) == 1)
+    runs = F.regexp_extract_all(text, F.lit(f"[{marks}]{{2,}}" + (f"|[{alone}]" if alone else "")), F.lit(0))
+    cut = df.select(key, F.array_join(runs, " ").alias("__runs")).where("__runs <> ''")
+    pairs = F.array(*(F.struct(F.lit(o).alias("operator"), F.regexp_count("__runs", F.lit(operator_pattern(o))).cast("long").alias("n")) for o in operators))
+    return cut.select(key, F.inline(pairs)).where("n > 0")
 
 
 def search_operators(index: DataFrame, key: str, operators: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagweave.functions.calls import calls
 from tagweave.functions.scalars import half_up
 
 
@@ -146,10 +147,8 @@ def suggestions(unknown: DataFrame, known: DataFrame, most: int = 3, n: int = 3)
 
 
 def calls_with_arguments(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, name, n_args) of the calls of a text whose arguments hold no parentheses."""
-    calls = df.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"[A-Za-z_]\w*\s*\([^()]*\)"), F.lit(0))).alias("__call"))
-    given = F.trim(F.regexp_extract("__call", r"\(([^()]*)\)", 1))
-    return calls.select(key, F.regexp_extract("__call", r"^(\w+)", 1).alias("name"), F.when(given == "", 0).otherwise(F.size(F.split(given, ","))).alias("n_args"))
+    """(key, name, n_args) of all calls of a text, those inside others' arguments too."""
+    return calls(df, key, text).select(key, "name", "n_args")
 
 
 def validate_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:

@@ -118,9 +118,9 @@ def operator_counts(spark, d):
     return _operators(spark, d)
 
 
-@query("operator_search", _OPERATORS + " SELECT doc_id FROM i WHERE operator = '*' INTERSECT SELECT doc_id FROM i WHERE operator = '!' INTERSECT SELECT doc_id FROM i WHERE operator = '|'")
+@query("operator_search", _OPERATORS + " SELECT doc_id FROM i WHERE operator = '*' INTERSECT SELECT doc_id FROM i WHERE operator = '%' INTERSECT SELECT doc_id FROM i WHERE operator = '&&'")
 def operator_search(spark, d):
-    return search.search_operators(_operators(spark, d), "doc_id", ["*", "!", "|"])
+    return search.search_operators(_operators(spark, d), "doc_id", ["*", "%", "&&"])
 
 
 @query("operator_statistics", _OPERATORS + " SELECT operator, count(*) AS texts, CAST(sum(n) AS BIGINT) AS uses, round(count(*) / (SELECT count(*) FROM i), 6) AS share FROM i GROUP BY 1")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagweave.engine import Engine, Workspace
 from tagweave.functions import records, scalars, units
+from tagweave.functions.calls import calls
 from tagweave.operators import series, usage
 from tagweave.plans import templates
 from tagweave.plans.registry import query, table
@@ -46,6 +47,23 @@ def calls_validated(spark, d):
     return usage.validate_calls(usage.calls_with_arguments(sources, "c_custkey", "source"), _functions(spark, d)).select("c_custkey", "problem")
 
 
+@query("calls_nested", f"""WITH {_FUNCTIONS}, c AS (SELECT c_custkey AS k, 'NATION_' || c_nationkey AS name, 'NATION_' || (c_nationkey + 1) AS inside, 'F' || (c_custkey % 7) AS d FROM customer),
+ n AS (SELECT k, 0 AS seq, 2 AS line, name, 2 AS n_args, 0 AS depth, NULL AS outer_name, d FROM c UNION ALL SELECT k, 1, 3, inside, CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END, 1, name, d FROM c UNION ALL SELECT k, 2, 3, 'size', 0, 2, inside, d FROM c WHERE k % 2 = 0)
+ SELECT k AS c_custkey, seq, line, name, n_args, depth, outer_name, d AS definition, CASE WHEN f.name IS NULL THEN 'unknown' WHEN n_args < required THEN 'too few arguments' WHEN n_args > most THEN 'too many arguments' WHEN deprecated THEN 'deprecated' END AS problem FROM n LEFT JOIN f USING (name)
+ WHERE f.name IS NULL OR n_args < required OR n_args > most OR deprecated""")
+def calls_nested(spark, d):
+    """Calls inside others' arguments, with the function they stand in; strings and comments
+    hold none."""
+    c = F.col("c_custkey")
+    given = F.when(c % 2 == 0, "[a, b], rows.size()").otherwise(F.lit(""))
+    source = F.concat(
+        F.lit("F"), c % 7, F.lit(": (a, b) => do\n  NATION_"), F.col("c_nationkey"), F.lit("(\"NATION_1(a, b, c) // \", // NATION_2(\n    NATION_"),
+        F.col("c_nationkey") + 1, F.lit("("), given, F.lit("))\n  /* NATION_3(\n a) */ (a + b)\nend\n"),
+    )
+    found = calls(table(spark, d, "customer").select("c_custkey", source.alias("source")), "c_custkey", "source")
+    return usage.validate_calls(found, _functions(spark, d)).select("c_custkey", "seq", "line", "name", "n_args", "depth", F.col("outer").alias("outer_name"), "definition", "problem")
+
+
 @query("calls_corrected", """WITH k AS (SELECT n_name AS suggestion FROM nation), u AS (SELECT lower(n_name) AS name FROM nation WHERE n_nationkey < 3 UNION ALL SELECT 'NAT'),
  p AS (SELECT u.name, suggestion, least(CASE WHEN lower(suggestion) = lower(name) THEN 0 ELSE 9 END, CASE WHEN levenshtein(lower(name), lower(suggestion)) BETWEEN 1 AND 2 THEN levenshtein(lower(name), lower(suggestion)) ELSE 9 END) AS rank FROM u, k WHERE suggestion <> name AND lower(suggestion)[1:3] = lower(name)[1:3]),
  e AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, suggestion) AS k FROM p) SELECT name, suggestion FROM e WHERE k <= 3 AND rank < 2 OR name = 'NAT' AND k <= 3""")

@@ -3,13 +3,17 @@
 import itertools
 import json
 import os
+import re
 import time
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tagweave.engine import Engine, Workspace
+from tagweave.functions import calls
 from tagweave.functions.filters import Symbol
 from tagweave.operators import graph, graph_dsl, grid, normalize, ontology, search, usage
 from tagweave.plans import templates
@@ -165,6 +169,80 @@ def test_calls_of_a_text(spark):
     assert forms == {(1, "read", None, "call"), (2, "map", "sites", "method"), (2, "toRec", None, "reference"), (3, "now", None, "call"), (3, "f", None, "call")}
 
 
+CALLS = {
+    "readAll(site)": [("readAll", 1, None)],
+    "add(1, 2, 3)": [("add", 3, None)],
+    "now()": [("now", 0, None)],
+    "add(1, _)": [("add", 2, None)],
+    'readAll(site).sort("name")': [("readAll", 1, None), ("sort", 1, None)],
+    "data.size": [],
+    "list[0] rec->dis": [],
+    "list.or(a)": [("or", 1, None)],
+    "core::readAll(site)": [("readAll", 1, None)],
+    "do\n  someFunc()\n  [1, 2]\nend": [("someFunc", 0, None)],
+    "rewrite(id) (v, ts) => do\n  if (v == nan()) return null\n  [ts, v]\nend": [("rewrite", 2, None), ("nan", 0, None)],
+    "rows.each((r, i) => f(r, i))": [("each", 1, None), ("f", 2, "each")],
+    "map(rows) r => g(r)": [("map", 2, None), ("g", 1, None)],
+    "f((a, b) => a, [1, 2], {a: 1, b: 2})": [("f", 3, None)],
+    "f(g(h(1), 2), h())": [("f", 2, None), ("g", 2, "f"), ("h", 1, "g"), ("h", 0, "f")],
+    "f((g(1, 2)), 3)": [("f", 2, None), ("g", 2, "f")],
+    'f("g(1, 2)", `h(1)`) // k(1)\n/* z(1)': [("f", 2, None)],
+    '"a\\"b(1)" c(2)': [("c", 1, None)],
+    'r"\\" d(1)': [("d", 1, None)],
+    '\"\"\"a(1)\nb()\"\"\" c(2)': [("c", 1, None)],
+    '"open a(1)\nb(2)': [("b", 1, None)],
+    "a\n(b + c)": [],
+    "f(]1, 2) g(": [("f", 2, None), ("g", 0, None)],
+    "f([1, 2) + g(3)": [("f", 1, None), ("g", 1, None)],
+}
+
+
+def test_calls_by_tokens(spark):
+    for text, expected in CALLS.items():
+        assert [(c["name"], c["n_args"], c["outer"]) for c in calls.calls_of(text)] == expected, text
+    text = "load: (x, y: 3) => do\n  helper: (z) => go(z)\n  save(x,\n    y)\nend\nother: x => put(x)\nfoo(1)"
+    assert [(c["name"], c["line"], c["definition"]) for c in calls.calls_of(text)] == [("go", 2, "load"), ("save", 3, "load"), ("put", 6, "other"), ("foo", 7, None)]
+    rows = [(1, "f(g(1), 2)", "x"), (1, "f(g(1), 2)", "x"), (2, None, "x"), (3, "", None), (None, "h()", "y")]
+    frame = spark.createDataFrame(rows, "id int, t string, name string")
+    got = sorted(((r.id or 0, r.seq, r.name, r.n_args, r.depth) for r in calls.calls(frame, "id", "t").collect()))
+    assert got == [(0, 0, "h", 0, 0), (1, 0, "f", 2, 0), (1, 0, "f", 2, 0), (1, 1, "g", 1, 1), (1, 1, "g", 1, 1)]
+    assert calls.calls(frame.limit(0), "id", "t").count() == 0
+
+
+@settings(deadline=None)
+@given(st.recursive(st.just(()), lambda inner: st.lists(st.one_of(st.none(), inner), max_size=4).map(tuple), max_leaves=12))
+def test_calls_of_random_nesting(tree):
+    """A call is a tuple of arguments, each another call or a number."""
+    expected = []
+
+    def write(call, outer, depth):
+        name = f"f{len(expected)}"
+        expected.append((name, len(call), outer, depth))
+        return f"{name}({', '.join('1' if a is None else write(a, name, depth + 1) for a in call)})"
+
+    text = write(tree, None, 0)
+    assert [(c["name"], c["n_args"], c["outer"], c["depth"]) for c in calls.calls_of(text)] == expected
+
+
+def test_calls_of_long_texts_are_linear():
+    n = 200_000
+    for text, found in (("f(" * n, n), (")" * n, 0), ('"' * (n + 1), 0), ("/*" * n, 0), ("f(a, " * n + ")" * n, n), ("([{" * n + "]" * n, 0), ("(" * n + "g() " * n, n)):
+        start = time.monotonic()
+        assert len(calls.calls_of(text)) == found and time.monotonic() - start < 20
+
+
+def test_operators_in_runs(spark):
+    """Counted in the runs as they are in the whole text."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("=!<>+-*/%&|^~?:. a\n"), 60)) for _ in range(200)] + ["", None, "a...b", "-" * 50, "plain. text: yes?"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    expected = {(i, o): len(re.findall(search.operator_pattern(o), t)) for i, t in enumerate(texts) if t for o in search.OPERATORS}
+    got = {(r.id, r.operator): r.n for r in search.operator_counts(frame, "id", "t").collect()}
+    assert got == {k: n for k, n in expected.items() if n}
+    both = {r.id for r in search.search_operators(search.operator_counts(frame, "id", "t"), "id", ["->", "&&"]).collect()}
+    assert both == {i for i, _ in enumerate(texts) if expected.get((i, "->")) and expected.get((i, "&&"))} and both
+
+
 def test_positions_of_grids(spark):
     frame = spark.range(10).selectExpr("id AS k", "id * 2 AS v").repartition(4)
     more = spark.createDataFrame([(100, 1), (101, 2)], "k long, v long")
