@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -292,93 +291,167 @@ def search_workflows(df: DataFrame, query: str = "", semantic: DataFrame | None
 
 # --- vectors ---
 
-#: Query vectors that are sent to all tasks at once: a few MB at any dimension in use.
+#: Queries multiplied at once.
 QUERY_BLOCK = 1000
-#: Products of scores that a task holds at once.
+#: Scores kept at once in a task.
 HELD_SCORES = 4_000_000
+#: Rows that a task holds while the queries pass, at most.
+PART_ROWS = 32_768
+#: Cells that the vectors of a dimension are dealt to, at most.
+CELLS = 64
+#: Room for the rounding of angles; far above it, and far below what prunes.
+_SLACK = 1e-6
 
 
-class _Best:
-    """The k best rows of each of some queries, from batches of rows."""
-
-    def __init__(self, asked: np.ndarray, vectors: np.ndarray, k: int, least: float | None, exclude_self: bool):
-        self.asked, self.k, self.least, self.exclude_self = asked, k, least, exclude_self
-        norms = np.sqrt((vectors * vectors).sum(1))
-        self.units = vectors / np.where(norms > 0, norms, np.nan)[:, None]
-        self.keys = np.zeros((len(asked), 0), np.int64)
-        self.scores = np.zeros((len(asked), 0))
-
-    def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
-        norms = np.sqrt((vectors * vectors).sum(1))
-        for begin in range(0, len(keys), max(1, HELD_SCORES // max(1, len(self.asked)))):
-            part = slice(begin, begin + max(1, HELD_SCORES // max(1, len(self.asked))))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                found = self.units @ (vectors[part] / norms[part, None]).T
-            # Equal vectors must tie, whatever the order their products were summed in.
-            found = np.round(found, 12)
-            bad = np.isnan(found)
-            if self.least is not None:
-                bad |= found < self.least
-            if self.exclude_self:
-                bad |= self.asked[:, None] == keys[None, part]
-            found[bad] = -np.inf
-            self._merge(np.broadcast_to(keys[part], found.shape), found)
-
-    def _merge(self, keys: np.ndarray, scores: np.ndarray) -> None:
-        keys, scores = np.concatenate((self.keys, keys), 1), np.concatenate((self.scores, scores), 1)
-        if scores.shape[1] > self.k:
-            # The k-th best score; all above it and its ties by key stay.
-            order = np.lexsort((keys, -scores), axis=1)[:, : self.k]
-            keys, scores = np.take_along_axis(keys, order, 1), np.take_along_axis(scores, order, 1)
-        self.keys, self.scores = keys, scores
-
-    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row, column = np.nonzero(np.isfinite(self.scores))
-        return self.asked[row], self.keys[row, column], self.scores[row, column]
-
-
-def _rows_of(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the vectors of a dimension, and those vectors as rows."""
+def _unit_rows(column: pa.ListArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of a dimension that have a direction, and these as unit rows."""
     lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
     where = np.flatnonzero(lengths == dim)
-    flat = column.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return where, flat.reshape(len(where), dim)
+    rows = column.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(where), dim)
+    norms = np.sqrt((rows * rows).sum(1))
+    good = np.isfinite(norms) & (norms > 0)
+    return where[good], rows[good] / norms[good, None]
+
+
+def _best(asked: np.ndarray, units: np.ndarray, keys: np.ndarray, held: np.ndarray, k: int, least: float | None, exclude_self: bool) -> tuple[np.ndarray, ...]:
+    """(query, key, score) of the k best held rows of each asked one."""
+    found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    step = max(1, HELD_SCORES // max(1, len(asked)))
+    for begin in range(0, len(keys), step):
+        # Equal vectors must tie, whatever the order their products were summed in.
+        scores = np.round(units @ held[begin : begin + step].T, 12)
+        if least is not None:
+            scores[scores < least] = -np.inf
+        if exclude_self:
+            scores[asked[:, None] == keys[None, begin : begin + step]] = -np.inf
+        high = scores > -np.inf
+        if scores.shape[1] > k:
+            high &= scores >= np.partition(scores, -k, axis=1)[:, -k][:, None]  # the k-th best and its ties
+        row, column = np.nonzero(high)
+        row, key, score = (np.concatenate(p) for p in zip(found, (row, keys[begin + column], scores[row, column])))
+        order = np.lexsort((key, -score, row))
+        row, key, score = row[order], key[order], score[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found = (row[kept], key[kept], score[kept])
+    return asked[found[0]], found[1], found[2]
+
+
+def _has_direction(vector: str) -> Column:
+    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x))
+    return F.col(vector).isNotNull() & fine & F.exists(vector, lambda x: x != 0)
+
+
+def _pivots(named: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """For each dimension some vectors as unit rows, CELLS at most, one for about a thousand
+    rows: one of each residue of the keys' hash. Any choice gives the same result."""
+    some = max(1, min(CELLS, rows // 1000))
+    picked = named.where(_has_direction("vector")).groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("key"), F.lit(some)).alias("at")).agg(F.min_by("vector", "key").alias("vector"))
+    out: dict[int, list[np.ndarray]] = {}
+    for r in picked.orderBy("dim", "at").collect():  # CELLS rows a dimension at most
+        row = np.array(r["vector"], np.float64)
+        norm = np.sqrt((row * row).sum())
+        if np.isfinite(norm) and norm > 0:
+            out.setdefault(r["dim"], []).append(row / norm)
+    return {dim: np.array(rows) for dim, rows in out.items()}
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", least: float | None = None, exclude_self: bool = True) -> DataFrame:
     """(query, key, score): the k most similar rows of each query by cosine, ties by key.
 
-    The query set is stated by the caller; blocks of QUERY_BLOCK are sent to all tasks,
-    which multiply them with their rows in Arrow batches and keep their own k best, so k rows
-    for each query and task are all that is shuffled. Vectors that are null, of length zero or
-    of another dimension are near to nothing."""
-    named = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = queries.select(F.col(key).cast("long").alias("query"), F.col(vector).cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    out = None
-    for block in range(blocks):
-        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == block)
-        table = some.orderBy("query").toArrow()  # about QUERY_BLOCK rows
-        held = vectors.sparkSession.sparkContext.broadcast((table["query"].to_numpy(), [x.as_py() for x in table["vector"]]))
-
-        def best(batches: Iterator[pa.RecordBatch], held: Any = held) -> Iterator[pa.RecordBatch]:
-            ids, rows = held.value
-            found: dict[int, _Best] = {}
-            for dim in {len(r) for r in rows}:
-                same = [i for i, r in enumerate(rows) if len(r) == dim]
-                found[dim] = _Best(ids[same], np.array([rows[i] for i in same], np.float64).reshape(len(same), dim), k, least, exclude_self)
-            for batch in batches:
-                keys = batch.column(0).to_numpy(zero_copy_only=False)
-                for dim, kept in found.items():
-                    where, matrix = _rows_of(batch.column(1), dim)
-                    kept.add(keys[where], matrix)
-            for x in found.values():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in x.rows()], ["query", "key", "score"])
-
-        scored = named.where("key IS NOT NULL").mapInArrow(best, "query long, key long, score double")
-        out = scored if out is None else out.unionByName(scored)
+    Rows lie in the cell of their nearest pivot, cells in parts of bounded size. A query goes
+    to the parts of those cells that can hold one of its k best: by the triangle inequality on
+    angles, no row of a cell is nearer than the pivot's angle less the cell's radius, and k
+    rows are within the angle plus the radius of the cells that hold them. Rows are shuffled
+    once, a part's rows come before its queries, and a task holds one part while the queries
+    pass in Arrow batches; each leaves k rows. The driver gets pivots and the sizes of cells,
+    never a query. Vectors that are null, without direction or of another dimension are near
+    to nothing; with exclude_self, no row of a query's key is an answer."""
+    named = vectors.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("key IS NOT NULL")
+    asked = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector")).where("key IS NOT NULL")
+    session = vectors.sparkSession
+    per_key = named.groupBy("key").count().agg(F.sum("count"), F.max("count")).first()
+    rows, repeats = per_key[0] or 0, per_key[1] or 0
+    pivots = _pivots(named, rows)
+    dims = sorted(pivots)
+    first = dict(zip(dims, np.cumsum([0, *(len(pivots[d]) for d in dims)]).tolist()))
+
+    def placed(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each dimension: places of vectors, and their angles to its pivots."""
+        for dim in dims:
+            where, units = _unit_rows(batch.column(1), dim)
+            if len(where):
+                yield dim, where, np.arccos(np.clip(units @ pivots[dim].T, -1, 1))
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, _, angles in placed(batch):
+                cell = angles.argmin(1)
+                for c in np.unique(cell):
+                    mine = angles[cell == c, c]
+                    yield pa.RecordBatch.from_pydict({"cell": [int(c) + first[dim]], "n": [len(mine)], "radius": [float(mine.max())]})
+
+    n_cells = sum(len(p) for p in pivots.values())
+    sizes, radii = np.zeros(n_cells, np.int64), np.zeros(n_cells)
+    measured = named.mapInArrow(cells_of, "cell long, n long, radius double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"))
+    for r in measured.collect():  # as many rows as pivots
+        sizes[r["cell"]], radii[r["cell"]] = r["n"], r["radius"]
+    size = max(1, min(PART_ROWS, max(256, rows // session.sparkContext.defaultParallelism)))
+    parts = np.maximum(1, -(-sizes // size))
+    need = k + (repeats if exclude_self else 0)
+    reach = np.pi if least is None else float(np.arccos(np.clip(least, -1, 1)))
+
+    def held_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, where, angles in placed(batch):
+                cell = angles.argmin(1) + first[dim]
+                columns = [pa.array(cell), pa.array(parts[cell]), batch.column(0).take(pa.array(where)), batch.column(1).take(pa.array(where))]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "parts", "key", "vector"])
+
+    def sent_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, where, angles in placed(batch):
+                mine = slice(first[dim], first[dim] + angles.shape[1])
+                far = np.where(sizes[mine] > 0, angles + radii[mine], np.inf)
+                order = far.argsort(1)
+                enough = np.cumsum(sizes[mine][order], 1) >= need
+                bound = np.where(enough.any(1), np.take_along_axis(far, order, 1)[np.arange(len(far)), enough.argmax(1)], np.pi)
+                wanted = (angles - radii[mine] <= np.minimum(bound, reach)[:, None] + _SLACK) & (sizes[mine] > 0)
+                query, cell = np.nonzero(wanted)
+                cell, at = cell + first[dim], pa.array(where[query])
+                columns = [pa.array(cell), pa.array(parts[cell]), batch.column(0).take(at), batch.column(1).take(at)]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "parts", "key", "vector"])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, keys, held, ready = None, [], [], False
+        for batch in batches:
+            marks = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+            edges = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1).tolist(), len(marks)]
+            for begin, end in zip(edges, edges[1:]):
+                if begin == end:
+                    continue
+                group, side = tuple(marks[begin, :2].tolist()), marks[begin, 2]
+                if group != current:
+                    current, keys, held, ready = group, [], [], False
+                for at in range(begin, end, QUERY_BLOCK):
+                    piece = batch.slice(at, min(QUERY_BLOCK, end - at))
+                    column = piece.column(4)
+                    where, units = _unit_rows(column, len(column[0]))
+                    ids = piece.column(3).to_numpy(zero_copy_only=False)[where]
+                    if side == 0:
+                        keys.append(ids)
+                        held.append(units)
+                    elif keys:
+                        if not ready:
+                            keys, held, ready = [np.concatenate(keys)], [np.concatenate(held)], True
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(ids, units, keys[0], held[0], k, least, exclude_self)], ["query", "key", "score"])
+
+    shape = "cell long, parts long, key long, vector array<double>"
+    stored = named.mapInArrow(held_rows, shape).select("cell", F.pmod(F.xxhash64("key", "vector"), "parts").alias("part"), F.lit(0).alias("side"), "key", "vector")
+    sent = asked.mapInArrow(sent_queries, shape).select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("side"), "key", "vector")
+    dealt = stored.unionByName(sent).repartition(int(max(1, parts.sum())), "cell", "part").sortWithinPartitions("cell", "part", "side")
+    scored = dealt.mapInArrow(answers, "query long, key long, score double")
     nth = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
-    return out.withColumn("nth", nth).where(F.col("nth") <= k).select("query", F.col("key").alias(key), "score")
+    return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("query", F.col("key").alias(key), "score")
 
 
 def pooled(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:

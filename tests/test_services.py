@@ -296,3 +296,27 @@ def test_nearest_against_plain_cosines(spark, monkeypatch):
         assert {q: [i for _, i in sorted(x)] for q, x in found.items()} == {q: [i for i, _ in x] for q, x in expect.items()}
     assert search.nearest(frame, queries.limit(0), 5).count() == 0 and search.nearest(frame.limit(0), queries, 5).count() == 0
     assert {r["query"] for r in search.nearest(frame, queries, 3, least=0.999999).collect()} == {0, 200}
+
+
+def test_nearest_skips_cells_that_hold_none_of_the_best(spark, monkeypatch):
+    """Clustered rows in many cells and parts, some keys repeated: the answers are those of
+    all pairs."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(8, 12)) * 5
+    data = [(i, (centres[i % 8] + rng.normal(size=12)).tolist()) for i in range(9000)]
+    data += [(i, (centres[0] + rng.normal(size=12)).tolist()) for i in range(3)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+    asked = frame.where("vec_id % 900 = 0 OR vec_id = 1")
+    monkeypatch.setattr(search, "PART_ROWS", 300)
+    keys, rows = np.array([i for i, _ in data]), np.array([v for _, v in data])
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    for least in (None, 0.97):
+        expect = {}
+        for q in {i for i, _ in data if i % 900 == 0 or i == 1}:
+            every = [(-round(float(s), 9), int(i)) for u in units[keys == q] for i, s in zip(keys, units @ u) if i != q and (least is None or s >= least)]
+            expect[q] = sorted(every)[:7]
+        found = {q: [] for q in expect}
+        frame_ = search.nearest(frame, asked, 7, least=least)
+        for r in frame_.collect():
+            found[r["query"]].append((-round(r.score, 9), r.vec_id))
+        assert {q: sorted(x) for q, x in found.items()} == expect
