@@ -2,16 +2,19 @@
 
 Buckets are half-open and aligned to midnight; a period lasts from its first sample to
 the sample after its last, or to its last sample where the series ends. Ordered work
-is a window partitioned by point, so it scales with the number of points.
+is a window partitioned by point, so it scales with the number of points; where one point
+may hold most samples, `slice_s` cuts series into slices of so many seconds (slices.py).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.operators import slices
+
 _CALENDAR = {"year", "quarter", "month", "week", "day", "hour", "minute"}
 _FOLDS = {"avg": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
 
@@ -50,24 +53,20 @@ def rollup(df: DataFrame, keys: Sequence[str], value: str, interval: str | None
     return df.groupBy(*by).agg(*(F.round(_FOLDS[f](value), digits).alias(f"{f}_{value}") for f in folds))
 
 
-def _by(keys: Sequence[str], order: Sequence[str]) -> object:
-    return Window.partitionBy(*keys).orderBy(*order)
-
-
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column, name: str = "island") -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], state: Column, name: str = "island", slice_s: float | None = None) -> DataFrame:
     """Adds `__state` and a running number that grows where the state changes."""
-    w = _by(keys, order)
-    marked = df.withColumn("__state", state)
-    new = F.when(F.col("__state").eqNullSafe(F.lag("__state").over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    stepped = marked.withColumn("__new", new)
-    return stepped.withColumn(name, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    marked = df.withColumn("__state", state).withColumn("__was", F.struct("__state"))
+    beside = slices.neighbours(marked, keys, order, ["__was"], width_s=slice_s)
+    same = F.col("prev___was").isNotNull() & F.col("__state").eqNullSafe(F.col("prev___was")["__state"])
+    stepped = beside.withColumn("__new", F.when(same, 0).otherwise(1)).drop("__was", "prev___was")
+    return slices.running(stepped, keys, order, "__new", name, slice_s).drop("__new")
 
 
-def periods(df: DataFrame, keys: Sequence[str], condition: Column, ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+def periods(df: DataFrame, keys: Sequence[str], condition: Column, ts: str = "ts", order: Sequence[str] = (), slice_s: float | None = None) -> DataFrame:
     """Longest runs in which the condition holds: keys, start, end, duration_s, samples."""
     by = [ts, *order]
-    ahead = df.withColumn("__next", F.coalesce(F.lead(ts).over(_by(keys, by)), F.col(ts)))
-    runs = islands(ahead, keys, by, F.coalesce(condition, F.lit(False))).where("__state")
+    ahead = slices.neighbours(df, keys, by, ahead=[ts], width_s=slice_s)
+    runs = islands(ahead.withColumn("__next", F.coalesce(f"next_{ts}", ts)).drop(f"next_{ts}"), keys, by, F.coalesce(condition, F.lit(False)), slice_s=slice_s).where("__state")
     out = runs.groupBy(*keys, "island").agg(F.min(ts).alias("start"), F.max("__next").alias("end"), F.count("*").alias("samples"))
     return out.withColumn("duration_s", seconds(F.col("end")) - seconds(F.col("start"))).drop("island")
 
@@ -76,14 +75,14 @@ def lasting(found: DataFrame, at_least_s: float) -> DataFrame:
     return found.where(F.col("duration_s") >= at_least_s)
 
 
-def sessions(df: DataFrame, keys: Sequence[str], gap_s: float, value: str, ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+def sessions(df: DataFrame, keys: Sequence[str], gap_s: float, value: str, ts: str = "ts", order: Sequence[str] = (), slice_s: float | None = None) -> DataFrame:
     """Hits at most gap_s apart merge: start, end, n, max and avg of value."""
     by = [ts, *order]
-    since = seconds(F.col(ts)) - F.lag(seconds(F.col(ts))).over(_by(keys, by))
-    marked = df.withColumn("__new", F.when(since <= gap_s, 0).otherwise(1))
-    running = _by(keys, by).rowsBetween(Window.unboundedPreceding, 0)
+    beside = slices.neighbours(df, keys, by, [ts], width_s=slice_s)
+    since = seconds(F.col(ts)) - seconds(F.col(f"prev_{ts}"))
+    marked = beside.withColumn("__new", F.when(since <= gap_s, 0).otherwise(1))
     return (
-        marked.withColumn("__session", F.sum("__new").over(running))
+        slices.running(marked, keys, by, "__new", "__session", slice_s)
         .groupBy(*keys, "__session")
         .agg(
             F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"),
@@ -93,20 +92,19 @@ def sessions(df: DataFrame, keys: Sequence[str], gap_s: float, value: str, ts: s
     )
 
 
-def longest_streak(df: DataFrame, keys: Sequence[str], state: str, order: Sequence[str]) -> DataFrame:
+def longest_streak(df: DataFrame, keys: Sequence[str], state: str, order: Sequence[str], slice_s: float | None = None) -> DataFrame:
     """Length of the longest run of equal states."""
-    runs = islands(df, keys, order, F.col(state)).groupBy(*keys, "island").agg(F.count("*").alias("n"))
+    runs = islands(df, keys, order, F.col(state), slice_s=slice_s).groupBy(*keys, "island").agg(F.count("*").alias("n"))
     return runs.groupBy(*keys).agg(F.max("n").alias("longest"))
 
 
-def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    w = _by(keys, order)
-    return df.select("*", *(F.lag(c).over(w).alias(f"prev_{c}") for c in columns))
+def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], slice_s: float | None = None) -> DataFrame:
+    return slices.neighbours(df, keys, order, columns, width_s=slice_s)
 
 
-def rate_of_change(df: DataFrame, keys: Sequence[str], value: str, ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+def rate_of_change(df: DataFrame, keys: Sequence[str], value: str, ts: str = "ts", order: Sequence[str] = (), slice_s: float | None = None) -> DataFrame:
     """Largest |change| per minute between neighbours that lie apart in time."""
-    w = with_previous(df.withColumn("__s", seconds(F.col(ts))), keys, [ts, *order], [value, "__s"])
+    w = with_previous(df.withColumn("__s", seconds(F.col(ts))), keys, [ts, *order], [value, "__s"], slice_s)
     minutes = (F.col("__s") - F.col("prev___s")) / 60
     rate = F.when(minutes > 0, F.abs(F.col(value) - F.col(f"prev_{value}")) / minutes)
     return w.groupBy(*keys).agg(F.round(F.max(rate), 4).alias("max_rate"))
@@ -129,11 +127,11 @@ def flat_line(value: str, share: float = 0.01) -> Column:
     return (F.max(value) - F.min(value)) < share * F.avg(value)
 
 
-def gaps(df: DataFrame, keys: Sequence[str], times: float = 3.0, ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+def gaps(df: DataFrame, keys: Sequence[str], times: float = 3.0, ts: str = "ts", order: Sequence[str] = (), slice_s: float | None = None) -> DataFrame:
     """Intervals longer than `times` the mean one: count, longest, and coverage of the
     span at the mean of the shortest expected rate."""
-    w = _by(keys, [ts, *order])
-    since = df.withColumn("__s", seconds(F.col(ts))).withColumn("__d", F.col("__s") - F.lag("__s").over(w))
+    beside = slices.neighbours(df.withColumn("__s", seconds(F.col(ts))), keys, [ts, *order], ["__s"], width_s=slice_s)
+    since = beside.withColumn("__d", F.col("__s") - F.col("prev___s"))
     mean = since.groupBy(*keys).agg(F.avg("__d").alias("__mean"))
     joined = since.join(mean, list(keys))
     out = joined.groupBy(*keys).agg(
@@ -152,9 +150,9 @@ def coverage(df: DataFrame, keys: Sequence[str], start: str, end: str, expected_
     return inside.groupBy(*keys).agg(F.round(100.0 * F.count("*") / F.first(due), 4).alias("coverage"))
 
 
-def transitions(df: DataFrame, keys: Sequence[str], state: str, ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+def transitions(df: DataFrame, keys: Sequence[str], state: str, ts: str = "ts", order: Sequence[str] = (), slice_s: float | None = None) -> DataFrame:
     """Changes of state, and changes per hour of the span."""
-    w = with_previous(df, keys, [ts, *order], [state])
+    w = with_previous(df, keys, [ts, *order], [state], slice_s)
     changed = F.count_if(F.col(state) != F.col(f"prev_{state}"))
     hours = (F.max(seconds(F.col(ts))) - F.min(seconds(F.col(ts)))) / 3600
     return w.groupBy(*keys).agg(changed.alias("transitions"), F.round(F.try_divide(changed.cast("double"), hours), 4).alias("per_hour"))
@@ -201,14 +199,14 @@ def baseline_deviation(df: DataFrame, split: str, value: str, ts: str = "ts") ->
     ).drop("__base", "__all")
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], value: str, interval: str, start: str, end: str, ts: str = "ts") -> DataFrame:
+def interpolate(df: DataFrame, keys: Sequence[str], value: str, interval: str, start: str, end: str, ts: str = "ts", slice_s: float | None = None) -> DataFrame:
     """A regular series that carries the last known value forward."""
     grid = df.select(*keys).distinct().select(
         *keys, F.explode(F.sequence(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"), F.expr(f"INTERVAL {interval}"))).alias(ts))
     all_rows = df.select(*keys, F.col(ts).cast("timestamp_ntz").alias(ts), value, F.lit(0).alias("__grid")).unionByName(
         grid.withColumn(value, F.lit(None).cast(df.schema[value].dataType)).withColumn("__grid", F.lit(1)))
-    w = _by(keys, [ts, "__grid"]).rowsBetween(Window.unboundedPreceding, 0)
-    return all_rows.withColumn(value, F.last(value, ignorenulls=True).over(w)).where("__grid = 1").drop("__grid")
+    filled = slices.known(all_rows, keys, [ts, "__grid"], value, "__known", slice_s).where("__grid = 1")
+    return filled.withColumn(value, F.col("__known")).drop("__grid", "__known")
 
 
 def join_series(a: DataFrame, b: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:
@@ -217,13 +215,12 @@ def join_series(a: DataFrame, b: DataFrame, keys: Sequence[str], ts: str = "ts")
     return a.join(other, [*keys, ts])
 
 
-def as_of(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, ts: str = "ts") -> DataFrame:
+def as_of(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, ts: str = "ts", slice_s: float | None = None) -> DataFrame:
     """a with b's last value at or before each time: one union and one ordered window."""
     left = a.select("*", F.lit(None).cast(b.schema[value].dataType).alias("__v"), F.lit(1).alias("__left"))
     right = b.select(*keys, ts, F.col(value).alias("__v"), F.lit(0).alias("__left"))
     both = left.unionByName(right, allowMissingColumns=True)
-    w = _by(keys, [ts, "__left"]).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"{value}_as_of", F.last("__v", ignorenulls=True).over(w)).where("__left = 1").drop("__v", "__left")
+    return slices.known(both, keys, [ts, "__left"], "__v", f"{value}_as_of", slice_s).where("__left = 1").drop("__v", "__left")
 
 
 def write_samples(history: DataFrame, samples: DataFrame, keys: Sequence[str], ts: str = "ts") -> DataFrame:

@@ -138,12 +138,32 @@ def lint(source: Column) -> Column:
 
 def suggestions(unknown: DataFrame, known: DataFrame, most: int = 3, n: int = 3) -> DataFrame:
     """(name, suggestion, distance): known names within `most` edits, nearest first.
-    Only names of like length are compared."""
-    a = unknown.select(F.col("name").alias("name"), F.explode(F.sequence(F.length("name") - most, F.length("name") + most)).alias("__len"))
-    b = known.select(F.col("name").alias("suggestion"), F.length("name").alias("__len"))
-    d = a.join(b, "__len").withColumn("distance", F.levenshtein("name", "suggestion", most)).where("distance > 0")
+
+    A known name is cut into most + 1 pieces. With so many edits at most, one piece is whole
+    in the unknown name, within as many places of where it stood: names meet by the known
+    name's length and a piece, which finds all pairs and compares only those. A name of fewer
+    letters than pieces has an empty piece and meets all names of like length."""
+    pieces = F.sequence(F.lit(0), F.lit(most))
+
+    def cut(length: Column, piece: Column) -> tuple[Column, Column]:
+        start = F.floor(piece * length / (most + 1))
+        return start, F.floor((piece + 1) * length / (most + 1)) - start
+
+    stored = known.select(F.col("name").alias("suggestion"), F.length("name").alias("len")).where("suggestion IS NOT NULL").distinct()
+    stored = stored.select("*", F.explode(pieces).alias("piece"))
+    start, size = cut(F.col("len"), F.col("piece"))
+    stored = stored.select("suggestion", "len", "piece", F.substring("suggestion", start.cast("int") + 1, size.cast("int")).alias("part"))
+
+    asked = unknown.select("name", F.length("name").alias("own")).where("name IS NOT NULL").distinct()
+    asked = asked.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("own") - most), F.col("own") + most)).alias("len")).select("*", F.explode(pieces).alias("piece"))
+    start, size = cut(F.col("len"), F.col("piece"))
+    low, high = F.greatest(F.lit(0), start.cast("int") - most), F.least(F.col("own") - size.cast("int"), start.cast("int") + most)
+    asked = asked.select("name", "len", "piece", size.cast("int").alias("size"), low.alias("low"), high.alias("high")).where("low <= high")
+    asked = asked.select("name", "len", "piece", F.explode(F.sequence("low", "high")).alias("at"), "size").select("name", "len", "piece", F.substring("name", F.col("at") + 1, F.col("size")).alias("part")).distinct()
+
+    met = asked.join(stored, ["len", "piece", "part"]).select("name", "suggestion", F.levenshtein("name", "suggestion", most).alias("distance")).where("distance > 0").distinct()
     nth = F.row_number().over(Window.partitionBy("name").orderBy("distance", "suggestion"))
-    return d.withColumn("k", nth).where(F.col("k") <= n).select("name", "suggestion", "distance")
+    return met.withColumn("k", nth).where(F.col("k") <= n).select("name", "suggestion", "distance")
 
 
 def calls_with_arguments(df: DataFrame, key: str, text: str) -> DataFrame:

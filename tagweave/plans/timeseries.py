@@ -10,7 +10,7 @@ from tagweave.functions.filters import apply_filter
 from tagweave.functions.scalars import cooling_degrees, heating_degrees
 from tagweave.functions.spans import resolve
 from tagweave.operators import series
-from tagweave.plans.registry import query, table
+from tagweave.plans.registry import SQL, query, table
 
 SPLIT = "2024-01-16 00:00:00"
 
@@ -239,3 +239,41 @@ def as_of_last_purchase(spark, d):
 def interpolate_daily(spark, d):
     last = table(spark, d, "events").groupBy("user_id", "ts").agg(F.max_by("value", "event_id").alias("value"))
     return series.interpolate(last, ["user_id"], "value", "1 DAY", "2024-01-05 00:00:00", "2024-01-10 00:00:00").select("user_id", "ts", "value")
+
+
+# One point holds most of all samples, so its series is cut by days.
+
+_DAY = 86400.0
+_HOT = "(SELECT * REPLACE (CASE WHEN user_id % 7 = 0 THEN user_id ELSE -1 END AS user_id) FROM events)"
+
+
+def _hot(spark, d):
+    return table(spark, d, "events").withColumn("user_id", F.when(F.col("user_id") % 7 == 0, F.col("user_id")).otherwise(F.lit(-1).cast("long")))
+
+
+def _hot_sql(name: str) -> str:
+    return SQL[name].replace("FROM events", f"FROM {_HOT}")
+
+
+@query("hot_periods", _hot_sql("periods_above"))
+def hot_periods(spark, d):
+    found = series.periods(_hot(spark, d), ["user_id"], F.col("value") > 60, order=["event_id"], slice_s=_DAY)
+    return series.lasting(found, 3600)
+
+
+@query("hot_sessions", _hot_sql("sessionize_gap"))
+def hot_sessions(spark, d):
+    return series.sessions(_hot(spark, d), ["user_id"], 7200, "value", order=["event_id"], slice_s=_DAY)
+
+
+@query("hot_streak", _hot_sql("stuck_streak"))
+def hot_streak(spark, d):
+    return series.longest_streak(_hot(spark, d), ["user_id"], "event_type", ["ts", "event_id"], slice_s=_DAY)
+
+
+@query("hot_as_of", _hot_sql("as_of_last_purchase"))
+def hot_as_of(spark, d):
+    e = _hot(spark, d)
+    bought = e.where("event_type = 'purchase'").groupBy("user_id", "ts").agg(F.max("value").alias("value"))
+    clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    return series.as_of(clicks, bought, ["user_id"], "value", slice_s=_DAY).select("event_id", "value_as_of")

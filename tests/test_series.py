@@ -65,3 +65,43 @@ def test_ladders_and_issues(spark):
         reports.ratio(F.lit(1.0), F.lit(0.0)).alias("r"),
     ).first()
     assert tuple(row) == ("b", "x; z", None)
+
+
+def test_slices_of_a_hot_point_give_what_one_window_gives(spark):
+    """One point with most samples, null keys and times, equal times, runs across borders."""
+    import random
+
+    from tagweave.operators import slices
+
+    rng = random.Random(3)
+    rows, at = [], START
+    for i in range(900):
+        at += timedelta(minutes=rng.choice([0, 1, 7, 40, 900]) if i % 50 else 4000)
+        point = None if i % 31 == 0 else "hot" if i % 10 else f"p{i % 3}"
+        rows.append((point, None if i % 211 == 5 else at, i, None if i % 13 == 0 else float((i // 60) % 2 * 9 + i % 2), i // 70))
+    df = spark.createDataFrame(rows, "point string, ts timestamp_ntz, id int, v0 double, state int").repartition(5)
+    other = df.where("id % 9 = 4").select("point", "ts", F.col("id").cast("double").alias("w")).groupBy("point", "ts").agg(F.max("w").alias("w"))
+    keys, by = ["point"], ["id"]
+    calls = {
+        "before": lambda s: series.with_previous(df, keys, ["ts", "id"], ["v0", "id"], s),
+        "beside": lambda s: slices.neighbours(df, keys, ["ts", "id"], ["v0"], ["id", "ts"], s),
+        "islands": lambda s: series.islands(df, keys, ["ts", "id"], F.col("v0") > 5, slice_s=s),
+        "periods": lambda s: series.periods(df, keys, F.col("v0") > 5, order=by, slice_s=s),
+        "sessions": lambda s: series.sessions(df, keys, 3600, "v0", order=by, slice_s=s),
+        "streak": lambda s: series.longest_streak(df, keys, "state", ["ts", "id"], s),
+        "rate": lambda s: series.rate_of_change(df, keys, "v0", order=by, slice_s=s),
+        "gaps": lambda s: series.gaps(df, keys, order=by, slice_s=s),
+        "transitions": lambda s: series.transitions(df, keys, "state", order=by, slice_s=s),
+        "as of": lambda s: series.as_of(df, other, keys, "w", slice_s=s),
+        "grid": lambda s: series.interpolate(other, keys, "w", "6 hours", "2024-01-01", "2024-01-20", slice_s=s),
+    }
+    for name, call in calls.items():
+        whole = call(None)
+        expect = sorted(map(repr, whole.collect()))
+        for width in (1800.0, 86400.0, 1e9):
+            parted = call(width)
+            assert parted.columns == whole.columns, name
+            assert sorted(map(repr, parted.collect())) == expect, (name, width)
+    spread = slices._sliced(df, "ts", 86400.0).where("point = 'hot'").groupBy("__slice").count()
+    assert spread.agg(F.max("count")).first()[0] < 0.2 * 900
+    assert slices.neighbours(df.limit(0), keys, ["ts"], ["v0"], width_s=60).count() == 0

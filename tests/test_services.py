@@ -320,3 +320,25 @@ def test_nearest_skips_cells_that_hold_none_of_the_best(spark, monkeypatch):
         for r in frame_.collect():
             found[r["query"]].append((-round(r.score, 9), r.vec_id))
         assert {q: sorted(x) for q, x in found.items()} == expect
+
+
+def test_suggestions_are_those_of_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abé") for _ in range(rng.randrange(0, 12))) for _ in range(160)] + ["readAll", "readAlll", "redAl", "hisRead"]
+    known = spark.createDataFrame([(w,) for w in words[::2]] + [(None,), (words[0],)], "name string")
+    unknown = spark.createDataFrame([(w,) for w in words[1::2]] + [(None,), (words[1],)], "name string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+        return row[-1]
+
+    for most in (1, 2, 3):
+        expect = {(a, b, edits(a, b)) for a in words[1::2] for b in words[::2] if 0 < edits(a, b) <= most}
+        found = [tuple(r) for r in usage.suggestions(unknown, known, most, 10**6).collect()]
+        assert len(found) == len(set(found)) and set(found) == expect
