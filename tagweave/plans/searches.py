@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from tagweave.functions.lineage import shared_folder
@@ -29,10 +31,8 @@ def search_and(spark, d):
 @query("search_saved", _INDEX + " SELECT id FROM i WHERE token LIKE 'licens%' AND ((SELECT count(*) FROM i WHERE token = 'licens') = 0 OR token = 'licens') INTERSECT SELECT id FROM i WHERE token = 'the'")
 def search_saved(spark, d):
     """Words in an index that is kept, and made again when the documents are newer."""
-    import zlib
-
     cache = readers.Cache(spark, f"{shared_folder(spark)}/indexes")
-    name = f"tokens-{zlib.crc32(d.encode()):08x}"
+    name = f"tokens-{hashlib.sha256(d.encode()).hexdigest()}"
     source = f"{d}/documents.parquet"
     if cache.is_stale(name, [source]):
         search.save_index(_index(spark, d), f"{cache.folder}/{name}")
