@@ -22,12 +22,15 @@ def zinc_lines(spark, d):
     return readers.zinc_rows(c)
 
 
-@query("files_changed", "SELECT 'nation.parquet' AS file, true AS since_1970, false AS since_2999 UNION ALL SELECT 'region.parquet', true, false")
+@query("files_changed", "SELECT 'orders.parquet' AS file, true AS since_1970, false AS since_2999, count(*) AS n_rows FROM orders UNION ALL SELECT 'documents.parquet', true, false, count(*) FROM documents")
 def files_changed(spark, d):
-    """Whether files are newer than a time, as a cache asks."""
-    old = readers.changed_files(spark, d, "1970-01-02", "[nr]*ion.parquet").select("path", F.col("changed").alias("since_1970"))
-    new = readers.changed_files(spark, d, "2999-01-01", "[nr]*ion.parquet").select("path", F.col("changed").alias("since_2999"))
-    return old.join(new, "path").select(F.element_at(F.split("path", "/"), -1).alias("file"), "since_1970", "since_2999")
+    """Whether files are newer than a time, as a cache asks, and the rows each would bring."""
+    names = "{orders,documents}.parquet"
+    old = readers.changed_files(spark, d, "1970-01-02", names).select("path", F.col("changed").alias("since_1970"))
+    new = readers.changed_files(spark, d, "2999-01-01", names).select("path", F.col("changed").alias("since_2999"))
+    held = [table(spark, d, t).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows")) for t in ("orders", "documents")]
+    found = old.join(new, "path").withColumn("file", F.element_at(F.split("path", "/"), -1))
+    return found.join(held[0].unionByName(held[1]), "file").select("file", "since_1970", "since_2999", "n_rows")
 
 
 _FUNCTIONS = "f AS (SELECT n_name AS name, n_nationkey % 3 AS required, n_nationkey % 3 + 1 AS most, n_nationkey = 7 AS deprecated FROM nation)"
