@@ -24,13 +24,16 @@ def zinc_lines(spark, d):
 
 @query("files_changed", "SELECT 'orders.parquet' AS file, true AS since_1970, false AS since_2999, count(*) AS n_rows FROM orders UNION ALL SELECT 'documents.parquet', true, false, count(*) FROM documents")
 def files_changed(spark, d):
-    """Whether files are newer than a time, as a cache asks, and the rows each would bring."""
-    names = "{orders,documents}.parquet"
-    old = readers.changed_files(spark, d, "1970-01-02", names).select("path", F.col("changed").alias("since_1970"))
-    new = readers.changed_files(spark, d, "2999-01-01", names).select("path", F.col("changed").alias("since_2999"))
-    held = [table(spark, d, t).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("n_rows")) for t in ("orders", "documents")]
-    found = old.join(new, "path").withColumn("file", F.element_at(F.split("path", "/"), -1))
-    return found.join(held[0].unionByName(held[1]), "file").select("file", "since_1970", "since_2999", "n_rows")
+    """Whether tables' files are newer than a time, as a cache asks, and the rows each would
+    bring. A table is one file or a folder of them; it changed if any of its files did."""
+    found = None
+    for t in ("orders", "documents"):
+        at = f"{d}/{t}.parquet"
+        ages = [readers.changed_files(spark, at, since).agg(F.coalesce(F.bool_or("changed"), F.lit(False)).alias(name)) for since, name in (("1970-01-02", "since_1970"), ("2999-01-01", "since_2999"))]
+        one = ages[0].crossJoin(ages[1]).crossJoin(table(spark, d, t).agg(F.count("*").alias("n_rows")))
+        one = one.select(F.lit(f"{t}.parquet").alias("file"), "since_1970", "since_2999", "n_rows")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 _FUNCTIONS = "f AS (SELECT n_name AS name, n_nationkey % 3 AS required, n_nationkey % 3 + 1 AS most, n_nationkey = 7 AS deprecated FROM nation)"

@@ -342,3 +342,13 @@ def test_suggestions_are_those_of_all_pairs(spark):
         expect = {(a, b, edits(a, b)) for a in words[1::2] for b in words[::2] if 0 < edits(a, b) <= most}
         found = [tuple(r) for r in usage.suggestions(unknown, known, most, 10**6).collect()]
         assert len(found) == len(set(found)) and set(found) == expect
+
+
+def test_changed_tables_in_folders(spark, tmp_path):
+    """A table may be a folder of files: one row a table, of all its rows, also without any."""
+    import __spark_entry__
+
+    spark.range(10).withColumnRenamed("id", "o_orderkey").repartition(3).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = __spark_entry__.queries()["files_changed"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, out)) == [("documents.parquet", True, False, 0), ("orders.parquet", True, False, 10)]
