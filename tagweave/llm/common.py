@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,12 +31,31 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tagweave-")
 
 
+#: Spark's setting under which a query's shuffle files go once it has ended.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run here leave no shuffle files behind. Otherwise these
+    stay until the driver happens to collect its garbage, and a job of hundreds of steps
+    holds those of all of them at once."""
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which outlives lost executors."""
+    """Cut lineage through a reliable checkpoint, which outlives lost executors; what was
+    shuffled for it is removed with it written."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    with shuffles_go(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # select: the setting holds for queries made under it
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -42,10 +63,22 @@ def stored(df: DataFrame) -> DataFrame:
     size of its files, where a checkpoint keeps the size that its plan was estimated at,
     which joins multiply from round to round; for small tables that rounds start from."""
     path = f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_go(df.sparkSession):
+        df.select("*").write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that one partition of a small table has at most.
+ROWS_EACH = 10_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """A table of so many small rows in partitions that follow its rows, as adaptive
+    execution does where it may: a table that was dealt over hundreds of partitions, but
+    fits into one, needs no shuffle. Larger tables keep their partitions."""
+    return df.coalesce(max(1, -(-rows // ROWS_EACH)))
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null as the empty text."""
     column = F.col(column) if isinstance(column, str) else column

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.partitions import spread
-from tagweave.llm.common import Bloom, durable, join_small, stored, table
+from tagweave.llm.common import Bloom, durable, join_small, packed, stored, table
 from tagweave.llm.components import connected_components
 from tagweave.llm.near_copies import shingles
 
@@ -209,14 +209,17 @@ def _made(docs: DataFrame, words: int) -> DataFrame:
 
 def _alike(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, alike: int) -> DataFrame:
     """Those of different pairs (a, b) of sets that are alike."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    digests = durable(nodes.join(asked, "node").select("digest"))
-    texts = join_small(docs.select("text", F.xxhash64("text").alias("digest")), digests, ["digest"], rows=ASKED).dropDuplicates(["digest"])
+    n = pairs.count()
+    pairs = packed(pairs, n)
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    digests = durable(join_small(nodes, asked, ["node"], rows=ASKED).select("digest"))
+    texts = join_small(docs.select("text", F.xxhash64("text").alias("digest")), packed(digests, 2 * n), ["digest"], rows=ASKED).dropDuplicates(["digest"])
     sets = durable(_made(texts, words))
     other = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("other"))
     both = pairs.join(other, "b").join(sets.withColumnRenamed("node", "a"), "a")
     common = F.size(F.array_intersect("shingles", "other"))
-    return durable(both.where((100 + alike) * common >= alike * (F.col("n") + F.col("m"))).select("a", "b"))
+    alike_pairs = both.where((100 + alike) * common >= alike * (F.col("n") + F.col("m"))).select("a", "b")
+    return packed(durable(alike_pairs), n)
 
 
 def _filed(groups: DataFrame) -> DataFrame:

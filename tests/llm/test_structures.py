@@ -1,8 +1,10 @@
 """Fill-in-the-middle, the conversation trie and the Jaccard join against brute force, on small and odd tables."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 from itertools import combinations
@@ -11,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tagweave.llm import fill_in_middle, line_dedup, mixing, ngram_join, prefix_trie, registry
+from tagweave.llm import common, components, fill_in_middle, line_dedup, mixing, ngram_join, prefix_trie, registry
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -279,3 +281,37 @@ def test_line_dedup_of_a_very_long_text(spark):
     out = {r.doc_id: r for r in line_dedup.drop_recurring_lines(spark.createDataFrame([(1, line), (2, long)], "doc_id long, text string")).collect()}
     assert out[1].text == line and out[1].n_dropped == 0
     assert out[2].text == "only here stands a line of its own" and out[2].n_dropped == 500_000 and out[2].n_lines == 500_001
+
+
+# What steps leave on disk, and small tables in few partitions.
+
+
+def _shuffle_files(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for _, _, files in os.walk(d) for f in files if f.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("step", [common.durable, common.stored])
+def test_steps_leave_no_shuffle_files(spark, step):
+    before = _shuffle_files(spark)
+    base = spark.range(5000, numPartitions=7).withColumn("key", F.col("id") % 100)
+    grouped = base.groupBy("key").count().hint("merge").join(base, "key").groupBy("key").agg(F.sum("count").alias("n"))
+    out = step(grouped)
+    for _ in range(50):  # executors are told, not waited for
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(common.SHUFFLES_GO, None) in (None, "false")
+    # Both the result and the table it was made from can be read again.
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, grouped.collect())) == [(k, 2500) for k in range(100)]
+
+
+@pytest.mark.parametrize("each", [7, 10_000])
+def test_components_packed(spark, each, monkeypatch):
+    """Chains, stars and a repeated link over many partitions, whether or not they fit into one."""
+    monkeypatch.setattr(common, "ROWS_EACH", each)
+    links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(201, 200), (200, 201), (300, 300)]
+    got = dict(components.connected_components(spark.createDataFrame(links, "a long, b long").repartition(60)).collect())
+    assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200}
+    edges = spark.createDataFrame(links, "a long, b long").repartition(60)
+    assert common.packed(edges, len(links)).rdd.getNumPartitions() == min(60, -(-len(links) // each))
