@@ -1,15 +1,21 @@
-"""Near copies by an exact similarity join of word shingles.
+"""Near copies by SimHash, and by an exact similarity join for what its bits can't find.
 
 A text is the set of its five-word shingles; two texts are near copies if the Jaccard
-similarity of their sets is `ALIKE` or more. Equal sets collapse first. In an order of
+similarity of their sets is `ALIKE` or more. Equal sets collapse first. Each set has a
+SimHash fingerprint, and fingerprints that differ in at most three bits are found by
+op2's comparison of bit planes (`simhash.links`); their sets are made again and intersected,
+so bits alone link nothing. What that links is one component.
+
+Three bits find only the closest of copies: two sets that are 0.8 alike differ in about
+ten of 64. So sets of different components are then joined exactly. In an order of
 all shingles, the sets of two near copies have one of their first n - ceil(0.8 n) + 1
 shingles in common, n each set's size (prefix filtering; Chaudhuri et al., 2006), so
 sets are filed under those shingles and only sets filed together are candidates. Any
 order loses nothing: shingles that are frequent in a bounded sample come last, all
 others first, by hash, which keeps hot shingles out of prefixes.
 
-A shingle's sets are compared with the smallest of them first. What that links is one
-component; then only sets of different components are compared, so a large group of
+A shingle's sets are compared with the smallest of them first, unless SimHash has
+connected the two. What that links is one component; then only sets of different components are compared, so a large group of
 near copies costs about as many comparisons as it has members. Candidates pass two
 tests that no near copy fails, on sizes and on parity bits (each bit that differs is a
 shingle that only one set has; 256, for large sets 4,096 more), before the sets
@@ -30,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagweave.functions.partitions import spread
+from tagweave.llm import simhash
 from tagweave.llm.common import Bloom, durable, join_small, keep_rows, one_row_each, row_key
 from tagweave.llm.components import connected_components
 
@@ -80,7 +87,7 @@ def _sample(docs: DataFrame) -> list[int]:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, row (its key), digest of the text, node (the set's hash), n, parity bits, and the shingles that a set is filed under."""
+    """doc_id, row (its key), digest of the text, node (the set's hash), n, fp (its fingerprint), parity bits, and the shingles that a set is filed under."""
     p, q = ALIKE
     shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(_sample(docs), np.int64).view(np.uint64)))
 
@@ -97,11 +104,12 @@ def _sets(docs: DataFrame) -> DataFrame:
                 filed = [np.concatenate((x[~y], x[y]))[: n - -(-p * n // q) + 1 if n else 0] for x, y, n in zip(found, late, sizes, strict=True)]
                 wide = [_parity(x, WIDE) if len(x) > LARGE else np.zeros(0, np.int64) for x in found]
                 columns = [part.column(0), part.column(1), part.column(2), pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(sizes, pa.int64())]
+                columns.append(pa.array(np.array([simhash.set_fingerprint(x) for x in found], np.uint64).view(np.int64)))
                 columns += [*(pa.array(lanes[:, i].copy()) for i in range(4)), _lists(wide), _lists([x.view(np.int64) for x in filed])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "node", "n", *_BITS, "wide", "filed"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "digest", "node", "n", "fp", *_BITS, "wide", "filed"])
 
     named = spread(docs).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row"), F.xxhash64("text").alias("digest"), "text")
-    return named.mapInArrow(read, f"doc_id long, row string, digest long, node long, n long, {', '.join(f'{b} long' for b in _BITS)}, wide array<long>, filed array<long>")
+    return named.mapInArrow(read, f"doc_id long, row string, digest long, node long, n long, fp long, {', '.join(f'{b} long' for b in _BITS)}, wide array<long>, filed array<long>")
 
 
 def _parity(x: np.ndarray, bits: int) -> np.ndarray:
@@ -166,16 +174,34 @@ def _passing(prints: DataFrame, wanted: Bloom) -> DataFrame:
     return prints.select("node", "filed").mapInArrow(read, "node long, key long")
 
 
+def _by_fingerprint(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): links of different sets whose fingerprints are at most three bits apart and
+    whose similarity is verified. Sets of one fingerprint are compared with the smallest."""
+    prints = durable(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    near = simhash.links(prints.select("fp"))
+    ends = near.join(prints.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    same = nodes.join(prints, "fp").where("node <> least").select(F.col("node").alias("x"), F.col("least").alias("y"))
+    pairs = durable(ends.select("x", "y").union(same).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    attributes = nodes.select("node", "n", "wide", *_BITS)
+    tested = pairs.join(attributes.alias("x"), F.col("a") == F.col("x.node")).join(attributes.alias("y"), F.col("b") == F.col("y.node"))
+    return _alike(durable(tested.where(_may_be_alike("x", "y")).select("a", "b")), docs, nodes)
+
+
 def _links(docs: DataFrame, prints: DataFrame, nodes: DataFrame) -> DataFrame:
     """(a, b): links of different sets that span all components of near copies."""
+    closest = _by_fingerprint(docs, nodes)
+    known = connected_components(closest).withColumnRenamed("node", "member")
     filed = prints.select("node", F.explode("filed").alias("key"))
     least = durable(filed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most"))
     # Few shingles are shared: a filter of fixed size leaves little to be shuffled again.
     shared = durable(_passing(prints, Bloom(least, "key")).join(least, "key").where("node <> least").distinct())
     attributes = nodes.select("node", "n", "wide", *_BITS)
     pairs = shared.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    ofs = [known.select(F.col("member").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab"]
+    apart = F.coalesce("a_root", "a") != F.coalesce("b_root", "b")
+    pairs = pairs.join(ofs[0], "a", "left").join(ofs[1], "b", "left").where(apart).select("a", "b")
     tested = pairs.join(attributes.alias("x"), F.col("a") == F.col("x.node")).join(attributes.alias("y"), F.col("b") == F.col("y.node"))
-    stars = _alike(durable(tested.where(_may_be_alike("x", "y")).select("a", "b")), docs, nodes)
+    stars = closest.unionByName(_alike(durable(tested.where(_may_be_alike("x", "y")).select("a", "b")), docs, nodes))
 
     roots = connected_components(stars).withColumnRenamed("node", "member")
     placed = shared.join(roots, F.col("node") == F.col("member"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -191,7 +217,7 @@ def _members(docs: DataFrame, text: str, key: str) -> DataFrame:
     """doc_id, row, root (a set of the component) and component_id for every row."""
     named = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prints = durable(_sets(named))
-    nodes = durable(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.max("n").alias("n"), F.first("wide").alias("wide"), *(F.max(b).alias(b) for b in _BITS)))
+    nodes = durable(prints.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.max("n").alias("n"), F.max("fp").alias("fp"), F.first("wide").alias("wide"), *(F.max(b).alias(b) for b in _BITS)))
     roots = connected_components(_links(named, prints, nodes)).withColumnRenamed("node", "member")
     rooted = nodes.join(roots, F.col("node") == F.col("member"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -49,6 +49,24 @@ STEP = 65_536
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits."""
+    lanes = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    return np.concatenate([np.bincount(lanes[:, lane], minlength=256) @ _BYTE_BITS for lane in range(8)])
+
+
+def _majority(ones: np.ndarray, total: int) -> int:
+    return sum(1 << b for b in np.flatnonzero(2 * ones > total).tolist())
+
+
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashed shingles."""
+    ones = np.zeros(64, np.int64)
+    for begin in range(0, len(hashes), STEP):
+        ones += _ones(hashes[begin : begin + STEP])
+    return _majority(ones, len(hashes))
+
+
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes.lower changes A-Z alone
     if not tokens:
@@ -63,10 +81,8 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED)
     for begin in range(0, total, STEP):
         count = min(STEP, total - begin)
         hashes = np.fromiter((xxhash.xxh64_intdigest(next(shingles), seed) for _ in range(count)), np.uint64, count)
-        lanes = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
-        for lane in range(8):
-            ones[8 * lane : 8 * lane + 8] += np.bincount(lanes[:, lane], minlength=256) @ _BYTE_BITS
-    return sum(1 << b for b in np.flatnonzero(2 * ones > total).tolist())
+        ones += _ones(hashes)
+    return _majority(ones, total)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:

@@ -177,3 +177,27 @@ def test_odd_rows_pass_through(spark, tmp_path):
         if k:  # the classifier may reject any of these rows; the others get them all
             docs = spark.read.parquet(f"{tmp_path}/{k}")
     assert docs.count() > 0
+
+
+def test_near_copies_by_fingerprint(spark, monkeypatch):
+    """SimHash alone links the closest copies; its links are verified; the exact join adds the rest."""
+    import numpy as np
+    from tagweave.llm import near_copies, simhash
+
+    rng = np.random.default_rng(3)
+    base = [f"w{x}" for x in rng.integers(0, 10**6, 4000)]
+    close, far = [*base[:-1], "other"], list(base)
+    for at in range(0, 4000, 60):
+        far[at] = f"x{at}"
+    texts = [" ".join(x) for x in (base, close, far)] + ["a text of its own that is like no other", None]
+    sets = [near_copies.shingles(t) for t in texts]
+    prints = [simhash.set_fingerprint(x) for x in sets]
+    assert prints[0] != prints[2] and (prints[0] ^ prints[1]).bit_count() <= 3 < (prints[0] ^ prints[2]).bit_count()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    ids = lambda: [r.component_id for r in near_copies.near_copies(frame).orderBy("doc_id").collect()]
+    assert ids() == [0, 0, 0, 3, 4]
+    with monkeypatch.context() as m:  # nothing filed under shingles
+        m.setattr(near_copies, "_passing", lambda prints, wanted: prints.select("node", F.lit(0).cast("long").alias("key")).limit(0))
+        assert ids() == [0, 0, 2, 3, 4]
+        m.setattr(simhash, "set_fingerprint", lambda x: 7)  # bits alone link nothing
+        assert ids()[3:] == [3, 4]
